@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailweave.functions.arrow import flat_map, flat_map_batches
+from mailweave.session import cut_lineage
 
 #: A word that occurs at least so often is known; one that ends fewer than 1 % of its lines isn't an ending.
 KNOWN, ENDING = 3, 0.01
@@ -32,7 +33,7 @@ _CLOSED = re.compile(
     re.I,
 )
 _ITEM = re.compile(r"(?:[-*•–]|\d{1,3}[.)])\s+\S")
-_ENDING_WORD = re.compile(r"([^\W\d_]+(?:[-'’][^\W\d_]+)*)(?:[.!?…:,;]|[ \t]*\n)")
+_ENDS = ".!?…:,;\x01"
 _SENTENCE = re.compile(r"[.!?…。][\"”’»)]*\s+")
 CLOSING = re.compile(r"^(?:best|kind|warm|many|with|yours|thanks|thx|cheers|br|regards|mit|viele|freundliche|cordialement|bien|saludos|atentamente|sincerely|mfg|rgds)\b", re.I)
 
@@ -76,14 +77,20 @@ def ending(text: str) -> tuple[str, str, bool]:
 
 
 def _count_words() -> object:
-    """Batch -> (word, n, n_end): a Counter per batch is the map-side combine."""
+    """Batch -> (word, n, n_end): raw tokens are counted first, so each distinct one is taken apart once; the map-side combine."""
 
     def batch(texts: list[str]) -> Iterable[tuple]:
-        n, ends = Counter(), Counter()
+        raw: Counter = Counter()
         for t in texts:
             whole = t[: t.rfind("\n")] if "\n" in t else t[: max(t.rfind(". "), 0)]
-            n.update(_WORD.findall(whole))
-            ends.update(_ENDING_WORD.findall(whole))
+            raw.update(whole.replace("\n", "\x01 ").split())  # \x01 marks the end of a line
+        n, ends = Counter(), Counter()
+        for token, k in raw.items():
+            words = _WORD.findall(token)
+            for w in words:
+                n[w] += k
+            if words and token[-1] in _ENDS and _WORD.search(token.rstrip(_ENDS)[-1:]):
+                ends[words[-1]] += k
         return ((w, k, ends[w]) for w, k in n.items())
 
     return batch
@@ -102,6 +109,16 @@ def vocabulary(documents: DataFrame, text: str = "text") -> DataFrame:
     return flat_map_batches(documents.where(f"length({text}) > 0").select(text), _count_words, "word string, n long, n_end long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
 
 
+def trie(vocab: DataFrame) -> DataFrame:
+    """(word, n, n_end, prefix): the words of vocab and the inner nodes of its trie in one table, made in one pass; prefix tells
+    that a known word goes on from here."""
+    none = F.lit(0).cast("long")
+    leaf = F.struct("word", "n", "n_end", F.lit(False).alias("prefix"))
+    inner = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.struct(F.left("word", i).alias("word"), none.alias("n"), none.alias("n_end"), F.lit(True).alias("prefix")))
+    nodes = F.when((F.col("n") >= KNOWN) & (F.length("word") > 1), F.concat(F.array(leaf), inner)).otherwise(F.array(leaf))
+    return vocab.select(F.explode(nodes).alias("x")).select("x.*").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"), F.max("prefix").alias("prefix"))
+
+
 def cut_documents(documents: DataFrame, salt: int = 16) -> DataFrame:
     """(doc_id, source, cut, reason) for every document, NULL and empty texts included (never cut).
 
@@ -110,17 +127,14 @@ def cut_documents(documents: DataFrame, salt: int = 16) -> DataFrame:
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     feats = flat_map(documents.where("length(text) > 0").select("doc_id", "source", "text"), _features, f"doc_id {kind}, source string, kind string, word string, chars int, bytes int")
+    feats = cut_lineage(feats)  # four readers; the texts are looked at once
     spikes = [
         feats.groupBy("source", F.col(unit).alias("length")).count().groupBy("source").agg(F.max_by("count", "length").alias("at"), F.max("length").alias("length"), F.sum("count").alias("all"))
         .where((F.col("at") >= LIMIT_TEXTS) & (F.col("at") >= F.col("all") * LIMIT_SHARE)).select("source", F.col("length").alias(f"max_{unit}"))
         for unit in ("chars", "bytes")
     ]
-    vocab = vocabulary(documents)
-    known = vocab.where(F.col("n") >= KNOWN)
     final = feats.where("word <> ''").groupBy("word").agg(F.count("*").alias("n_final"))
-    # the trie, as its prefixes: only those that end some text are kept by the join
-    nodes = known.where(F.length("word") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.left("word", i))).alias("word")).distinct().withColumn("prefix", F.lit(True))
-    words = final.join(vocab, "word", "left").join(nodes, "word", "left").select(
+    words = final.join(trie(vocabulary(documents)), "word", "left").select(
         "word", "n_final", (F.coalesce("n", F.lit(0)) < KNOWN).alias("unknown"), F.coalesce("prefix", F.lit(False)).alias("prefix"), (F.coalesce("n_end", F.lit(0)) < F.coalesce("n", F.lit(0)) * ENDING).alias("never_ends")
     )
     salted = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
