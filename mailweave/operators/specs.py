@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailweave.functions.arrow import flat_map
-from mailweave.functions.text import capitalise, find, replace_all, strip
+from mailweave.functions.text import WS, capitalise, find, replace_all, strip
 from mailweave.words import MATERIALS, REFERENCE_WORDS, SUBJECTS
 
 _N = r"\d+(?:\.\d+)?"
@@ -34,6 +34,16 @@ PATTERNS: list[tuple[str, str]] = [
     ("Fit/Interference", r"([HhKkMmNnPpRrSsTtUu]\d{1,2}\s*/\s*[a-z]\d{1,2}|(?:H7|H6|H8|k6|m6|n6|p6|js6|g6|f7|e8)\b)"),
     ("Hub Bore", rf"(?:hub|bore|coupling)\s*(?:bore|diameter|dia|size)?\s*(?:[:=]|is|of)?\s*({_N})\s*(mm|inch|in)?"),
 ]
+def portable(pattern: str) -> str:
+    """The pattern with white space of all scripts spelt out, for engines whose own class knows ASCII only."""
+    return WS.join(part.replace(r"[\-\s]", "[\\-" + WS[1:]) if r"[\-\s]" in part else part for part in _outside(pattern))
+
+
+def _outside(pattern: str) -> list[str]:
+    """Pieces of pattern between white-space escapes that stand outside brackets."""
+    return re.split(r"(?<!\\-)\\s", pattern)
+
+
 #: Categories whose pattern has no unit group.
 UNITLESS = {"Thread/Bolt", "Standards", "IP Rating", "Efficiency Class", "Coupling Style", "Fit/Interference"}
 # What is deleted before extraction, and what looks like a quantity but isn't one.
@@ -60,15 +70,15 @@ def category_matches(mails: DataFrame, categories: list[str] | None = None, text
     for n, (category, pattern) in enumerate(PATTERNS):
         if categories and category not in categories:
             continue
-        raws = F.regexp_extract_all(F.col("t"), F.lit("(?iu)" + pattern), F.lit(0))
+        raws = F.regexp_extract_all(F.col("t"), F.lit("(?iu)" + portable(pattern)), F.lit(0))
         found.append(F.arrays_zip(F.array_repeat(F.lit(n), F.size(raws)).alias("n"), F.array_repeat(F.lit(category), F.size(raws)).alias("category"), raws.alias("raw")))
     x = mails.select("mail_id", prefilter(F.col(text)).alias("t")).select("mail_id", F.posexplode(F.concat(*found)).alias("pos", "m")).select("mail_id", "pos", "m.*").withColumn("raw", strip(F.col("raw")))
     w = x.groupBy("mail_id", "n", "category", F.lower("raw").alias("k")).agg(F.min_by("raw", "pos").alias("raw_match"))
     value, unit = F.lit(None).cast("string"), F.lit(None).cast("string")
     for n, (category, pattern) in enumerate(PATTERNS):
         hit = F.col("n") == n
-        value = F.when(hit, F.col("raw_match") if category == "Thread/Bolt" else F.regexp_extract("raw_match", "(?iu)" + pattern, 1)).otherwise(value)
-        unit = F.when(hit, F.lit("") if category in UNITLESS else F.regexp_extract("raw_match", "(?iu)" + pattern, 2)).otherwise(unit)
+        value = F.when(hit, F.col("raw_match") if category == "Thread/Bolt" else F.regexp_extract("raw_match", "(?iu)" + portable(pattern), 1)).otherwise(value)
+        unit = F.when(hit, F.lit("") if category in UNITLESS else F.regexp_extract("raw_match", "(?iu)" + portable(pattern), 2)).otherwise(unit)
     return w.select("mail_id", "category", F.col("n").alias("category_ord"), "raw_match", value.alias("value"), unit.alias("unit"))
 
 

@@ -244,12 +244,13 @@ SQL["d7_rebuilt_bodies"] = f"WITH {PARAS}, r AS (SELECT *, row_number() OVER (PA
 
 def _re2(category: str, pattern: str) -> str:
     """RE2 has no lookahead: the character after a one-letter unit is matched too and cut off afterwards."""
-    return "(?i)" + pattern.replace("W(?![a-zA-Z])", "W(?:[^a-zA-Z]|$)").replace("V(?![a-zA-Z])", "V(?:[^a-zA-Z]|$)").replace("A(?![a-zA-Z])", "A(?:[^a-zA-Z]|$)").replace("g(?!a)", "g(?:[^aA]|$)")
+    return "(?i)" + X.portable(pattern).replace("W(?![a-zA-Z])", "W(?:[^a-zA-Z]|$)").replace("V(?![a-zA-Z])", "V(?:[^a-zA-Z]|$)").replace("A(?![a-zA-Z])", "A(?:[^a-zA-Z]|$)").replace("g(?!a)", "g(?:[^aA]|$)")
 
 
 def _raw(category: str) -> str:
-    letter = {"Power": "W", "Voltage": "V", "Current": "A", "Weight/Mass": "g"}.get(category)
-    return f"regexp_replace(raw, '(?is)^(\\d+(?:\\.\\d+)?\\s*{letter})[^a-zA-Z]$', '\\1')" if letter and letter != "g" else "regexp_replace(raw, '(?is)^(\\d+(?:\\.\\d+)?\\s*g)[^aA]$', '\\1')" if letter else "raw"
+    unit, after = {"Power": ("W", "^a-zA-Z"), "Voltage": ("V", "^a-zA-Z"), "Current": ("A", "^a-zA-Z"), "Weight/Mass": ("g", "^aA")}.get(category, ("", ""))
+    pattern = r"(?is)^(\d+(?:\.\d+)?" + WS + f"*{unit})[{after}]$"
+    return f"regexp_replace(raw, {lit(pattern)}, '\\1')" if unit else "raw"
 
 
 def _matches_sql() -> str:
@@ -387,7 +388,9 @@ def g2_tagged_sentences(spark: SparkSession, root: str) -> DataFrame:
     return x.select("mail_id", F.col("sent_ord").cast("long").alias("sent_ord"), F.array_join("trigger_keywords", ",").alias("keywords"), "is_unresolved", F.round("confidence", 6).alias("confidence"))
 
 
-_SCORE = f"(least(len(k) * 0.2::DOUBLE, 0.4::DOUBLE) + CASE WHEN {s_match('sentence', S.WITH_UNIT)} THEN 0.35::DOUBLE WHEN {s_match('sentence', S.ANY_NUMBER)} THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN len(list_filter(k, lambda w: contains(w, ' '))) > 0 THEN 0.1::DOUBLE ELSE 0 END)"
+# \b of RE2 knows ASCII letters only; a number beside any letter isn't one
+_ANY_NUMBER = r"(?:^|[^\p{L}\p{N}_])\d+(?:\.\d+)?(?:$|[^\p{L}\p{N}_])"
+_SCORE = f"(least(len(k) * 0.2::DOUBLE, 0.4::DOUBLE) + CASE WHEN {s_match('sentence', S.WITH_UNIT)} THEN 0.35::DOUBLE WHEN {s_match('sentence', _ANY_NUMBER)} THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN len(list_filter(k, lambda w: contains(w, ' '))) > 0 THEN 0.1::DOUBLE ELSE 0 END)"
 _NWORDS = f"len(list_filter(regexp_split_to_array(sentence, {lit(WS + '+')}), lambda w: length(w) > 0))"
 SQL["g2_tagged_sentences"] = f"WITH {SENTENCES}, t AS (SELECT *, {_words_sql(ENGINEERING_KEYWORDS)} AS k FROM s) SELECT mail_id, sent_ord, array_to_string(k, ',') AS keywords, ({_marker_sql('true')}) IS NOT NULL AS is_unresolved, round(least(1.0::DOUBLE, CASE WHEN {_NWORDS} < 4 THEN {_SCORE} * 0.5 WHEN {_NWORDS} > 5 THEN {_SCORE} + 0.05::DOUBLE ELSE {_SCORE} END), 6) AS confidence FROM t WHERE len(k) > 0"
 

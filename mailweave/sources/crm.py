@@ -24,7 +24,7 @@ def from_tables(messages: DataFrame, parents: DataFrame, name: str, by: str = "c
     first = parents.where(F.col(column) == name).orderBy("id").limit(1).select(F.col("id").alias(key))
     x = messages.join(F.broadcast(first), key, "left_semi")  # one row
     body = F.when(F.length("text_body") > 0, F.col("text_body")).otherwise(F.coalesce("html_body", F.lit("")))
-    split = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda a: a != "")
+    split = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda a: F.trim(a)), lambda a: a != "")
     return x.select(
         F.col("id").alias("message_id"), F.col("from_name").alias("sender_name"), F.col("from_address").alias("sender_address"), split("to_address").alias("recipients"), split("cc_address").alias("cc"), F.col("message_date").alias("date"),
         "subject", body.alias("body"), F.concat(F.lit("SF-Case-" if by == "case" else "SF-Opp-"), F.lit(name)).alias("source_file"),
