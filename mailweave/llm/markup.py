@@ -31,7 +31,7 @@ _TAG = rf"</?(?:{'|'.join(ELEMENTS)})(?:\s[^<>]*)?/?>|<!--|<!DOCTYPE"
 CONSTRUCTS: dict[str, tuple[str, tuple[str, ...], re.Pattern]] = {
     "tag": ("html", ("<",), re.compile(_TAG, re.I)),
     "entity": ("html", ("&",), re.compile(r"&(?:[A-Za-z]{2,8}\d{0,2}|#\d{2,6}|#[xX][0-9A-Fa-f]{2,5});")),
-    "heading": ("markdown", ("# ",), re.compile(_LEAD + r"#{2,6} +\S|^#{1} +[A-Z]", re.M)),
+    "heading": ("markdown", ("# ",), re.compile(_LEAD + r"#{2,6} +\S|" + _LEAD + r"# +[A-Z]", re.M)),
     "fence": ("markdown", ("```", "~~~"), re.compile(_LEAD + r"(?:```|~~~)", re.M)),
     "bold": ("markdown", ("**",), re.compile(r"(?<![\w*])\*\*(?=[^\s*])[^*\n]*(?:\n[^*\n]+)?(?<=\S)\*\*(?![\w*])")),
     "bold_underscore": ("markdown", ("__",), re.compile(r"(?<![\w_])__(?=[^\s_])[^_]{1,200}(?<=[^\s_])__(?![\w_])")),
@@ -49,7 +49,7 @@ CONSTRUCTS: dict[str, tuple[str, tuple[str, ...], re.Pattern]] = {
     "wiki_table": ("wiki", ("{|", "|}", "|-"), re.compile(r"\{\||" + _LEAD + r"\|[-}]\s*$", re.M)),
     "wiki_quotes": ("wiki", ("''",), re.compile(r"''+[^'\n]+(?:\n[^'\n]+)?''+")),
     "macro": ("wiki", ("{", "h", "bq", "||"), re.compile(r"\{(?:code|noformat|quote|panel|color|info|note)(?::[^}]*)?\}|" + _LEAD + r"(?:h[1-6]|bq)\. \S|" + _LEAD + r"\|\|[^|\n]+\|\|", re.M | re.I)),
-    "command": ("latex", ("\\", "$$"), re.compile(r"\\(?:begin|end|section|subsection|subsubsection|paragraph|emph|textbf|textit|texttt|underline|href|url|footnote|cite|ref|label|title|author|frac|sqrt|documentclass|usepackage|text|SI|num|mathrm|caption)\*?\s*[\[{]|\\item\b|\\\[|\\\(|\$\$|\\(?:frac|cdot|pi|Delta|leq|geq|times)\b|(?<!\\)\\\\[ \t]*$", re.M)),
+    "command": ("latex", ("\\", "$$"), re.compile(r"\\(?:begin|end|section|subsection|subsubsection|paragraph|emph|textbf|textit|texttt|underline|href|url|footnote|cite|ref|label|title|author|frac|sqrt|documentclass|usepackage|text|SI|num|mathrm|caption)\*?\s*[\[{]|(?<![\w:\\./])\\[a-zA-Z]{3,}\b(?!\\)|\\item\b|\\\[|\\\(|\$\$|\\(?:frac|cdot|pi|Delta|leq|geq|times)\b|(?<!\\)\\\\[ \t]*$", re.M)),
     "formula": ("latex", ("$",), re.compile(r"(?<![\w$\\])\$(?=[^\s$])[^$\n]*[\\^_=][^$\n]*(?:\n[^$\n]+)?\$(?![\w$])")),
 }
 
@@ -208,6 +208,7 @@ _REWRITE = [
     (re.compile(r"\\begin\{(?:itemize|enumerate|tabular|table|center|document)\}(?:\{[^}]*\})?[^\n]*\n?"), ""), (re.compile(r"\\end\{(?:itemize|enumerate|tabular|table|center|document)\}\n?"), ""),
     (re.compile(r"\\item\s*"), "- "), (re.compile(r"\\section\*?\{([^}]*)\}"), r"# \1"), (re.compile(r"\\subsection\*?\{([^}]*)\}"), r"## \1"), (re.compile(r"\\subsubsection\*?\{([^}]*)\}"), r"### \1"),
     (re.compile(r"\\href\{[^}]*\}\{([^}]*)\}"), r"\1"), (re.compile(r"\\(?:emph|textbf|textit|texttt|underline|url|text|num|footnote|title|caption)\{([^{}]*)\}"), r"\1"), (re.compile(r"\\SI\{([^{}]*)\}\{([^{}]*)\}"), r"\1 \2"),
+    (re.compile(r"(?<![\w:\\./])\\(?:noindent|par|centering|newline|hline|maketitle|bigskip|smallskip|medskip|newpage)\b[ \t]*"), ""),
     (re.compile(r"^([^\n]*?) & ([^\n]*?)\s*\\\\[ \t]*$", re.M), lambda m: f"{m[1]} | {m[2].replace(' & ', ' | ')}"), (re.compile(r"\\\\[ \t]*$", re.M), ""),
     (re.compile(r"^(={2,6})\s*([^=\n]+?)\s*\1\s*$", re.M), lambda m: "#" * (len(m[1]) - 1) + " " + m[2]), (re.compile(r"^h([1-6])\. (.+)$", re.M), lambda m: "#" * int(m[1]) + " " + m[2]), (re.compile(r"^bq\. ", re.M), "> "),
     (re.compile(r"^\{\|[^\n]*\n?|^\|\}\s*\n?|^\|-[^\n]*\n?", re.M), ""), (re.compile(r"^!\s*(.+)$", re.M), lambda m: re.sub(r"\s*!!\s*", " | ", m[1])),

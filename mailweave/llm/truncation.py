@@ -34,6 +34,7 @@ _CLOSED = re.compile(
 )
 _ITEM = re.compile(r"(?:[-*•–]|\d{1,3}[.)])\s+\S")
 _ENDS = ".!?…:,;\x01"
+_UNFINISHED = re.compile(r"(?:,\s*\d*|\b[A-Z]{2}-\d{0,3}|[-:])$")  # no list item ends like this
 _SENTENCE = re.compile(r"[.!?…。][\"”’»)]*\s+")
 CLOSING = re.compile(r"^(?:best|kind|warm|many|with|yours|thanks|thx|cheers|br|regards|mit|viele|freundliche|cordialement|bien|saludos|atentamente|sincerely|mfg|rgds)\b", re.I)
 
@@ -63,6 +64,8 @@ def ending(text: str) -> tuple[str, str, bool]:
     before = bare[:cut].rstrip() if cut > 0 else ""
     previous = before[before.rfind("\n") + 1 :].strip()
     if _ITEM.match(last):
+        if _UNFINISHED.search(last):
+            return PROSE, word, True
         return ITEM, word, text[-1:] not in ("\n",)
     if CLOSING.match(previous) and len(previous.split()) <= 4 and len(last.split()) <= 3 and not re.search(r"[a-z]{3}[.]", last):
         return SIGNED, word, True
