@@ -33,6 +33,13 @@ def test_spellings(spark):
     assert resolve(spark, ("TRIQUARWORK", None), ("Triquarwork Engi. Limited", None), ("The Triquarwork Engineering Company", None), ("Triqarwork Engineering Ltd", None), ("Celdramoform Couplings BV", None)) == [4, 4, 4, 4, 5]
 
 
+def test_large_directory_gives_the_same(spark):
+    p = spark.createDataFrame(PEOPLE, "person_id long, kind string, name string, address string, company string")
+    s = spark.createDataFrame([("Ted Fennendezyk", ""), ("J. Gryithobach", "kinmundotec"), ("Celdramoform", ""), ("Somebody Else", "")], "name string, domain string")
+    a = sorted(tuple(r) for r in N.resolve_spellings(s, p).collect())
+    assert a == sorted(tuple(r) for r in N.resolve_spellings(s, p, broadcast_rows=1).collect()) and len(a) == 3
+
+
 def test_nobody(spark):
     assert resolve(spark, ("Theodore Igrarpiquet", "x@polquargear.example"), ("noreply", "noreply@polquargear.example"), ("Mail Delivery System", None), (None, "theodore.fennendezyk@polquargear.example"), ("", None), ("  ", None), ("123", None), ("Theodore Fennendezyk", None), ("x" * 100000, None)) == [None] * 9
     assert resolve(spark) == []
