@@ -29,30 +29,57 @@ def tfidf(sentences: DataFrame) -> DataFrame:
     return tf.join(df, ["thread_id", "term"]).join(total, "thread_id").select("thread_id", "sent_id", "term", (F.col("tf") * (F.log(F.col("n") / F.col("df")) + 1)).alias("w"))
 
 
-def cosine_edges(vectors: DataFrame, min_similarity: float = 0.0) -> DataFrame:
-    """(thread_id, i, j, sim), i < j: cosine of sentences that share a term, through the inverted index (no cross join)."""
-    norm = vectors.groupBy("thread_id", "sent_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    v = vectors.join(norm, ["thread_id", "sent_id"]).select("thread_id", "term", "sent_id", (F.col("w") / F.col("norm")).alias("u"))
-    a, b = v.alias("a"), v.alias("b")
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    """(thread_id, sent_id, term, u, df): vectors of length 1; df is the number of the thread's sentences with the term."""
+    norm = vectors.groupBy("thread_id", "sent_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
+    df = vectors.groupBy("thread_id", "term").agg(F.count("*").alias("df"))
+    return vectors.join(norm, ["thread_id", "sent_id"]).join(df, ["thread_id", "term"]).select("thread_id", "sent_id", "term", (F.col("w") / F.col("norm")).alias("u"), "df")
+
+
+def cosine_edges(vectors: DataFrame, min_similarity: float) -> DataFrame:
+    """(thread_id, i, j, sim), i < j: sentences of a thread whose cosine is above min_similarity (which must be positive).
+
+    Exact prefix filtering: with terms in order of rarity, sentences that are so similar share a term before the point
+    where the rest of a vector is too short to reach the bound, so common terms are never joined.
+    """
+    if min_similarity <= 0:
+        raise ValueError("a bound above 0 is needed; all pairs are never listed")
+    sent = unit_vectors(vectors).groupBy("thread_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "u"))).alias("v"))  # one sentence's terms
+    rest = F.aggregate("v", F.struct(F.lit(1.0 + 1e-9).alias("left"), F.array().cast("array<string>").alias("p")), lambda a, x: F.when(a["left"] < min_similarity**2, a).otherwise(F.struct((a["left"] - x["u"] * x["u"]).alias("left"), F.concat(a["p"], F.array(x["term"])).alias("p"))))
+    sent = sent.select("thread_id", "sent_id", "v", rest["p"].alias("p"))
+    prefix = sent.select("thread_id", "sent_id", F.explode("p").alias("term"))
+    a, b = prefix.alias("a"), prefix.alias("b")
     same = (F.col("a.thread_id") == F.col("b.thread_id")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.sent_id") < F.col("b.sent_id"))
-    e = a.join(b, same).groupBy(F.col("a.thread_id").alias("thread_id"), F.col("a.sent_id").alias("i"), F.col("b.sent_id").alias("j")).agg(F.sum(F.col("a.u") * F.col("b.u")).alias("sim"))
-    return e.where(F.col("sim") > min_similarity)
+    cand = a.join(b, same).select(F.col("a.thread_id").alias("thread_id"), F.col("a.sent_id").alias("i"), F.col("b.sent_id").alias("j")).distinct()
+    weights = F.map_from_arrays(F.transform("v", lambda x: x["term"]), F.transform("v", lambda x: x["u"]))
+    full = sent.select("thread_id", "sent_id", weights.alias("m"))
+    both = cand.join(full.select("thread_id", F.col("sent_id").alias("i"), F.col("m").alias("mi")), ["thread_id", "i"]).join(full.select("thread_id", F.col("sent_id").alias("j"), F.col("m").alias("mj")), ["thread_id", "j"])
+    dot = F.aggregate(F.map_keys("mi"), F.lit(0.0), lambda s, t: s + F.try_element_at("mi", t) * F.coalesce(F.try_element_at("mj", t), F.lit(0.0)))
+    return both.select("thread_id", "i", "j", dot.alias("sim")).where(F.col("sim") > min_similarity)
 
 
-def textrank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 100, epsilon: float = 1e-4) -> DataFrame:
-    """(thread_id, sent_id, score) by power iteration over the similarity graph, distributed over edges.
+def textrank(units: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 100, epsilon: float = 1e-4) -> DataFrame:
+    """(thread_id, sent_id, score) by power iteration, distributed, without listing the graph's edges.
 
-    Nodes without edges keep (1-d)/n; a thread with one sentence scores 1. Lineage is cut every few rounds; the
-    largest change is the only value that comes to the driver.
+    The similarity is the product of the sentence-term matrix with itself, so a step is two sums over its entries: per term
+    over the sentences, then per sentence over the terms, less the sentence's similarity to itself. The work of a step is
+    linear in the words, however long a thread is. Nodes without edges keep (1-d)/n. Lineage is cut every round; the largest
+    change is the only value that comes to the driver.
     """
     n = nodes.groupBy("thread_id").agg(F.count("*").alias("n"))
-    both = edges.select("thread_id", F.col("i").alias("src"), F.col("j").alias("dst"), "sim").unionByName(edges.select("thread_id", F.col("j").alias("src"), F.col("i").alias("dst"), "sim"))
-    out = both.groupBy("thread_id", "src").agg(F.sum("sim").alias("out"))
-    links = cut_lineage(both.join(out, ["thread_id", "src"]).select("thread_id", "src", "dst", (F.col("sim") / F.col("out")).alias("p")))
-    score = cut_lineage(nodes.select("thread_id", "sent_id").join(n, "thread_id").withColumn("score", 1.0 / F.col("n")))
-    for r in range(rounds):
-        gain = links.join(score.select("thread_id", F.col("sent_id").alias("src"), "score"), ["thread_id", "src"]).groupBy("thread_id", F.col("dst").alias("sent_id")).agg(F.sum(F.col("p") * F.col("score")).alias("g"))
-        new = score.join(gain, ["thread_id", "sent_id"], "left").select("thread_id", "sent_id", "n", F.col("score").alias("old"), ((1 - damping) / F.col("n") + damping * F.coalesce("g", F.lit(0.0))).alias("score"))
+    x = cut_lineage(units.select("thread_id", "sent_id", "term", "u"))
+
+    def product(q: DataFrame) -> DataFrame:
+        """(thread_id, sent_id, g): for each sentence the sum of similarity times q over the others."""
+        terms = x.join(q, ["thread_id", "sent_id"]).groupBy("thread_id", "term").agg(F.sum(F.col("u") * F.col("q")).alias("t"))
+        sums = x.join(terms, ["thread_id", "term"]).groupBy("thread_id", "sent_id").agg(F.sum(F.col("u") * F.col("t")).alias("s"))
+        return sums.join(q, ["thread_id", "sent_id"]).select("thread_id", "sent_id", (F.col("s") - F.col("q")).alias("g"))
+
+    out = product(nodes.select("thread_id", "sent_id", F.lit(1.0).alias("q"))).select("thread_id", "sent_id", F.when(F.col("g") > 1e-9, F.col("g")).alias("out"))
+    score = cut_lineage(nodes.select("thread_id", "sent_id").join(n, "thread_id").join(out, ["thread_id", "sent_id"], "left").withColumn("score", 1.0 / F.col("n")))
+    for _ in range(rounds):
+        gain = product(score.select("thread_id", "sent_id", F.coalesce(F.col("score") / F.col("out"), F.lit(0.0)).alias("q")))
+        new = score.join(gain, ["thread_id", "sent_id"], "left").select("thread_id", "sent_id", "n", "out", F.col("score").alias("old"), ((1 - damping) / F.col("n") + damping * F.when(F.col("out").isNotNull(), F.coalesce("g", F.lit(0.0))).otherwise(0.0)).alias("score"))
         new = cut_lineage(new)
         change = new.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
         score = new.drop("old")
@@ -127,7 +154,7 @@ def rank_sentences(sentences: DataFrame, in_memory: int = IN_MEMORY) -> DataFram
     if large_ids.isEmpty():
         return small
     large = cut_lineage(s.join(large_ids, "thread_id", "left_semi"))
-    return small.unionByName(textrank(cosine_edges(tfidf(large)), large.select("thread_id", "sent_id")))
+    return small.unionByName(textrank(unit_vectors(tfidf(large)), large.select("thread_id", "sent_id")))
 
 
 def diverse_top(sentences: DataFrame, scores: DataFrame, top: int = 8, diversity: float = 0.7, pool: int = 64) -> DataFrame:

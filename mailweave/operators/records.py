@@ -49,8 +49,8 @@ def conflicts(specs: DataFrame) -> DataFrame:
     once per thread, for its first group. Pairs are between classes, never between all records.
     """
     c = conflict_classes(specs)
-    order = Window.partitionBy("thread_id", "subject", "category")
-    c = c.withColumn("group_ord", F.min("first_id").over(order))
+    group = ["thread_id", "subject", "category"]
+    c = c.join(c.groupBy(*group).agg(F.min("first_id").alias("group_ord")), group)
     a, b = c.select([F.col(x).alias(f"a_{x}") for x in c.columns]), c.select([F.col(x).alias(f"b_{x}") for x in c.columns])
     same = (F.col("a_thread_id") == F.col("b_thread_id")) & (F.col("a_subject") == F.col("b_subject")) & (F.col("a_category") == F.col("b_category")) & (F.col("a_first_id") < F.col("b_first_id"))
     differ = ~(F.col("a_num").eqNullSafe(F.col("b_num")) & (F.col("a_norm") == F.col("b_norm")))

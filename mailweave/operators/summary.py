@@ -12,9 +12,9 @@ from mailweave.operators.sentences import sentence_category
 def _lines(df: DataFrame, order: str, text: str, name: str, k: int) -> DataFrame:
     """The first k texts of each thread joined by line feeds, with the thread's number of texts; k bounds what is gathered."""
     w = Window.partitionBy("thread_id").orderBy(order)
-    n = Window.partitionBy("thread_id")
-    top = df.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count("*").over(n)).where(F.col("_r") <= k)
-    return top.groupBy("thread_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(text).alias("t")))), lambda s: s["t"]), "\n").alias(name), F.max("_n").alias(f"n_{name}"))
+    top = df.select("thread_id", F.col(text).alias("t"), F.row_number().over(w).alias("_r")).where(F.col("_r") <= k)
+    lines = top.groupBy("thread_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "t"))), lambda s: s["t"]), "\n").alias(name))
+    return lines.join(df.groupBy("thread_id").agg(F.count("*").alias(f"n_{name}")), "thread_id")
 
 
 def thread_summary(mails: DataFrame, specs: DataFrame, tagged: DataFrame, people: DataFrame, items: int = 5) -> DataFrame:

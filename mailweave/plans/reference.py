@@ -601,15 +601,12 @@ SQL["j1_mails_with_specs"] = f"WITH s AS (SELECT {_K} AS k, count(*) AS n FROM s
 
 @query
 def o1_mail_order(spark: SparkSession, root: str) -> DataFrame:
-    """Place of each mail in its thread by date, those without date first, ties by delivery."""
-    from pyspark.sql import Window
+    """Mails by thread and date, those without date first, ties by delivery: a range-partitioned sort, so a long thread is many tasks."""
+    m = table(spark, root, "messages").select("delivery_id", "thread_id", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("day_time"), "date")
+    return m.orderBy("thread_id", F.col("date").asc_nulls_first(), "delivery_id").drop("date")
 
-    m = table(spark, root, "messages").select("delivery_id", "thread_id", "date")
-    w = Window.partitionBy("thread_id").orderBy(F.col("date").asc_nulls_first(), "delivery_id")
-    return m.select("delivery_id", "thread_id", F.row_number().over(w).cast("long").alias("place"))
 
-
-SQL["o1_mail_order"] = "SELECT delivery_id, thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY date ASC NULLS FIRST, delivery_id) AS place FROM messages"
+SQL["o1_mail_order"] = "SELECT delivery_id, thread_id, strftime(date, '%Y-%m-%d %H:%M:%S') AS day_time FROM messages ORDER BY thread_id, date ASC NULLS FIRST, delivery_id"
 
 
 # ---- ranking and summaries
