@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailweave.functions.text import WS, any_contains, strip, word_pattern
+from mailweave.functions.text import WS, any_contains, quote, strip, word_pattern
 from mailweave.words import ABBREVIATIONS, BOOST_WORDS, DECISION_WORDS, ENGINEERING_KEYWORDS, GREETINGS, UNRESOLVED_MARKERS
 
 # A number with a unit; any number.
@@ -44,15 +46,20 @@ def sentences(mails: DataFrame, text: str = "body") -> DataFrame:
 
 
 def found_words(sentence: Column, words: list[str]) -> Column:
-    """Those of words that occur as whole words, in the list's order; patterns are literals, so each compiles once per task."""
-    return F.filter(F.array(*[F.when(sentence.rlike(word_pattern(w)), F.lit(w)) for w in words]), lambda w: w.isNotNull())
+    """Those of words that occur as whole words, in the list's order. Single words are looked up among the sentence's words,
+    phrases by their pattern."""
 
+    def pick(tokens: Column) -> Column:
+        hits = [F.when(sentence.rlike(word_pattern(w)) if re.search(r"\W", w) else F.array_contains(tokens, w.lower()), F.lit(w)) for w in words]
+        return F.filter(F.array(*hits), lambda w: w.isNotNull())
 
-def any_word(sentence: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | sentence.rlike(word_pattern(w))
-    return out
+    tokens = F.regexp_extract_all(F.lower(sentence), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.get(F.transform(F.array(tokens), pick), F.lit(0))  # the words are bound once
+
+
+def any_pattern(words: list[str]) -> str:
+    """One pattern for any of words as a whole word."""
+    return r"(?i)\b(?:" + "|".join(quote(w) for w in words) + r")\b"
 
 
 def confidence(sentence: Column, found: Column) -> Column:
@@ -67,14 +74,15 @@ def first_marker(sentence: Column, markers: list[str] = UNRESOLVED_MARKERS, keyw
     """The first marker that the sentence has; a question mark counts in questions about engineering that aren't greetings."""
     out = F.lit(None).cast("string")
     for m in reversed(markers):
-        hit = (sentence.contains("?") & ~sentence.rlike(GREETING) & any_word(sentence, keywords)) if m == "?" else sentence.rlike(word_pattern(m))
+        hit = (sentence.contains("?") & ~sentence.rlike(GREETING) & sentence.rlike(any_pattern(keywords))) if m == "?" else sentence.rlike(word_pattern(m))
         out = F.when(hit, m).otherwise(out)
     return out
 
 
 def tag_sentences(mails: DataFrame, text: str = "body", keywords: list[str] = ENGINEERING_KEYWORDS, markers: list[str] = UNRESOLVED_MARKERS) -> DataFrame:
     """(mail_id, sent_ord, sentence, context, trigger_keywords, is_unresolved, confidence): sentences with an engineering keyword."""
-    x = sentences(mails, text).withColumn("trigger_keywords", found_words(F.col("sentence"), keywords)).where(F.size("trigger_keywords") > 0)
+    # filtered by one pattern, not by the list: a filter on the list would compute it twice
+    x = sentences(mails, text).where(F.col("sentence").rlike(any_pattern(keywords))).withColumn("trigger_keywords", found_words(F.col("sentence"), keywords))
     # a sentence that got here has a keyword, so its question mark needs only not to be a greeting
     open_ = F.lit(False)
     for m in markers:
@@ -84,7 +92,8 @@ def tag_sentences(mails: DataFrame, text: str = "body", keywords: list[str] = EN
 
 def open_items(mails: DataFrame, text: str = "body", markers: list[str] = UNRESOLVED_MARKERS, keywords: list[str] = QUESTION_KEYWORDS) -> DataFrame:
     """(mail_id, sent_ord, sentence, context, marker): sentences with a marker of something unresolved."""
-    return sentences(mails, text).withColumn("marker", first_marker(F.col("sentence"), markers, keywords)).where("marker IS NOT NULL")
+    x = sentences(mails, text).where(F.col("sentence").contains("?") | F.col("sentence").rlike(any_pattern([m for m in markers if m != "?"] or ["?"])))
+    return x.withColumn("marker", first_marker(F.col("sentence"), markers, keywords)).where("marker IS NOT NULL")
 
 
 def word_tokens(text: Column) -> Column:

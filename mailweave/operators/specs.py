@@ -39,6 +39,11 @@ def portable(pattern: str) -> str:
     return WS.join(part.replace(r"[\-\s]", "[\\-" + WS[1:]) if r"[\-\s]" in part else part for part in _outside(pattern))
 
 
+def _flags(pattern: str) -> str:
+    """Case is ignored for letters of all scripts only where the pattern has such letters; it costs time otherwise."""
+    return "(?i)" if pattern.isascii() else "(?iu)"
+
+
 def _outside(pattern: str) -> list[str]:
     """Pieces of pattern between white-space escapes that stand outside brackets."""
     return re.split(r"(?<!\\-)\\s", pattern)
@@ -70,15 +75,15 @@ def category_matches(mails: DataFrame, categories: list[str] | None = None, text
     for n, (category, pattern) in enumerate(PATTERNS):
         if categories and category not in categories:
             continue
-        raws = F.regexp_extract_all(F.col("t"), F.lit("(?iu)" + portable(pattern)), F.lit(0))
+        raws = F.regexp_extract_all(F.col("t"), F.lit(_flags(pattern) + portable(pattern)), F.lit(0))
         found.append(F.arrays_zip(F.array_repeat(F.lit(n), F.size(raws)).alias("n"), F.array_repeat(F.lit(category), F.size(raws)).alias("category"), raws.alias("raw")))
     x = mails.select("mail_id", prefilter(F.col(text)).alias("t")).select("mail_id", F.posexplode(F.concat(*found)).alias("pos", "m")).select("mail_id", "pos", "m.*").withColumn("raw", strip(F.col("raw")))
     w = x.groupBy("mail_id", "n", "category", F.lower("raw").alias("k")).agg(F.min_by("raw", "pos").alias("raw_match"))
     value, unit = F.lit(None).cast("string"), F.lit(None).cast("string")
     for n, (category, pattern) in enumerate(PATTERNS):
         hit = F.col("n") == n
-        value = F.when(hit, F.col("raw_match") if category == "Thread/Bolt" else F.regexp_extract("raw_match", "(?iu)" + portable(pattern), 1)).otherwise(value)
-        unit = F.when(hit, F.lit("") if category in UNITLESS else F.regexp_extract("raw_match", "(?iu)" + portable(pattern), 2)).otherwise(unit)
+        value = F.when(hit, F.col("raw_match") if category == "Thread/Bolt" else F.regexp_extract("raw_match", _flags(pattern) + portable(pattern), 1)).otherwise(value)
+        unit = F.when(hit, F.lit("") if category in UNITLESS else F.regexp_extract("raw_match", _flags(pattern) + portable(pattern), 2)).otherwise(unit)
     return w.select("mail_id", "category", F.col("n").alias("category_ord"), "raw_match", value.alias("value"), unit.alias("unit"))
 
 

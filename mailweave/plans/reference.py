@@ -20,7 +20,7 @@ from mailweave.operators import sentences as S
 from mailweave.operators import specs as X
 from mailweave.operators import summary as Su
 from mailweave.sinks.reports import html_rows, json_lines
-from mailweave.sources.tables import table
+from mailweave.sources.tables import spread, table
 from mailweave.streaming.streams import session_counts, window_counts
 from mailweave.words import ABBREVIATIONS, BOOST_WORDS, DECISION_WORDS, DISCLAIMER_PHRASES, ENGINEERING_KEYWORDS, MATERIALS, PROVIDERS, REFERENCE_WORDS, ROLE_KEYWORDS, STOP_WORDS, SUBJECTS, UNRESOLVED_MARKERS
 
@@ -35,7 +35,7 @@ def query(f: Query) -> Query:
 
 
 def mails(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "messages").select(
+    return spread(table(spark, root, "messages")).select(
         F.col("delivery_id").alias("mail_id"), "thread_id", F.col("message_ord").alias("mail_ord"), "sender_name", "sender_address", "recipients", "cc", F.coalesce("subject", F.lit("")).alias("subject"),
         F.coalesce("body", F.lit("")).alias("body"), "date_str", "source_file",
     )
