@@ -14,17 +14,17 @@ from mailweave.llm.names import linked_rows
 from mailweave.llm.packing import packed
 from mailweave.llm.quoted import newly_written, not_new_lines
 from mailweave.llm.truncation import cut_documents, cut_share
-from mailweave.sources.tables import table
+from mailweave.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    return cleaned_texts(table(spark, root, "messages"), "delivery_id", "body").select("delivery_id")
+    return cleaned_texts(spread(table(spark, root, "messages")), "delivery_id", "body").select("delivery_id")
 
 
 def p1_clean_text(spark: SparkSession, root: str) -> DataFrame:
-    return cleaned_texts(table(spark, root, "messages"), "delivery_id", "body")
+    return cleaned_texts(spread(table(spark, root, "messages")), "delivery_id", "body")
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -32,7 +32,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_repaired(spark: SparkSession, root: str) -> DataFrame:
-    return repaired_fields(table(spark, root, "messages"), "delivery_id", ["body", "subject"])
+    return repaired_fields(spread(table(spark, root, "messages")), "delivery_id", ["body", "subject"])
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -44,27 +44,27 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    return not_new_lines(table(spark, root, "messages"))
+    return not_new_lines(spread(table(spark, root, "messages")))
 
 
 def p7_new_text(spark: SparkSession, root: str) -> DataFrame:
-    return newly_written(table(spark, root, "messages"))
+    return newly_written(spread(table(spark, root, "messages")))
 
 
 def p8_packed(spark: SparkSession, root: str) -> DataFrame:
-    return packed(table(spark, root, "documents"), table(spark, root, "containers"))
+    return packed(spread(table(spark, root, "documents")), table(spark, root, "containers"))
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
-    return leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    return leaked_items(spread(table(spark, root, "documents")), table(spark, root, "eval_items"))
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
-    return cut_documents(table(spark, root, "documents")).where("cut").select("doc_id")
+    return cut_documents(spread(table(spark, root, "documents"))).where("cut").select("doc_id")
 
 
 def p10_cut_share(spark: SparkSession, root: str) -> DataFrame:
-    return cut_share(table(spark, root, "documents"))
+    return cut_share(spread(table(spark, root, "documents")))
 
 
 def queries() -> dict[str, Query]:
