@@ -31,8 +31,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     one machine) gets a temporary one.
     """
     spark = df.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mailweave-checkpoint-"))
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="mailweave-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
