@@ -1,4 +1,4 @@
-"""The whole pipeline: mails in, sections of the report out, as lazy DataFrames."""
+"""The whole pipeline: mails in, sections of the report out as DataFrames."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailweave.operators import cleaning, paragraphs, people, records, sentences, specs, summary
+from mailweave.session import cut_lineage
 from mailweave.sources.config import DEFAULTS
 
 
@@ -20,16 +21,17 @@ def analyze(mails: DataFrame, config: dict | None = None, whole_words: bool = Fa
 
     mails needs thread_id, mail_ord, mail_id (unique), sender_name, sender_address, recipients, cc, subject, body, date_str and
     source_file. Bodies are cleaned, then lose paragraphs that their thread had before and similar ones within the mail. No
-    mails give empty sections. The cleaned mails have several readers; persist Mails where that pays.
+    mails give empty sections. The cleaned mails and the specifications have several readers and are checkpointed.
     """
     c = {**DEFAULTS, **(config or {})}
     body = cleaning.clean_body(F.coalesce("body", F.lit("")), c["signature_markers"], c["disclaimer_phrases"])
     cleaned = mails.withColumn("body", body)
     kept = paragraphs.fuzzy_within_mail(paragraphs.first_occurrences(paragraphs.paragraphs(cleaned)))
-    m = cleaned.drop("body").join(paragraphs.rebuilt_bodies(cleaned, kept), "mail_id")
+    m = cut_lineage(cleaned.drop("body").join(paragraphs.rebuilt_bodies(cleaned, kept), "mail_id"))  # six readers
     who = m.select("mail_id", "thread_id", "mail_ord", F.col("sender_name").alias("mentioned_by"), F.col("sender_address").alias("mentioned_address"), F.coalesce("date_str", F.lit("")).alias("date_str"), "source_file")
     place = lambda n: F.format_string("%020d|%s|%06d", F.col("mail_ord") + F.lit(2**62), "mail_id", n)
     found = specs.extract_specs(m, materials=c["materials"], whole_words=whole_words).join(who, "mail_id").withColumn("spec_id", place("match_ord"))
+    found = cut_lineage(found)
     tagged = sentences.tag_sentences(m, keywords=c["engineering_keywords"], markers=c["unresolved_markers"]).join(who, "mail_id").withColumn("sentence_id", place("sent_ord"))
     open_ = sentences.open_items(m, markers=c["unresolved_markers"], keywords=c["engineering_keywords"]).join(who, "mail_id")
     open_ = open_.withColumn("ord", place("sent_ord")).withColumn("trigger_keywords", F.array("marker")).withColumn("is_unresolved", F.lit(True))
