@@ -13,13 +13,25 @@ def number_of(value: Column) -> Column:
     return F.replace(value, F.lit(","), F.lit("")).try_cast("double")
 
 
+def dated(specs: DataFrame, tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the timeline is made of: dated specifications, and dated unresolved sentences."""
+    return specs.where(F.length("date_str") > 0), tagged.where((F.length("date_str") > 0) & F.col("is_unresolved"))
+
+
+def timeline_span(specs: DataFrame, tagged: DataFrame) -> DataFrame:
+    """(thread_id, first, last): the first and last date of each thread's timeline, in the timeline's order."""
+    a, b = dated(specs, tagged)
+    return a.select("thread_id", "date_str").unionByName(b.select("thread_id", "date_str")).groupBy("thread_id").agg(F.min("date_str").alias("first"), F.max("date_str").alias("last"))
+
+
 def timeline(specs: DataFrame, tagged: DataFrame, chronological: bool = False) -> DataFrame:
     """(date, sentence, mentioned_by, kind, ord): dated specifications and dated unresolved sentences (cut to 120 characters).
 
     Ordered by the date's text, as displayed ("Apr 01" before "Mar 30"), or by month and day if chronological.
     """
-    a = specs.where(F.length("date_str") > 0).select(F.col("date_str").alias("date"), F.concat(F.lit("["), F.col("category"), F.lit("] "), F.col("raw_match")).alias("sentence"), "mentioned_by", F.lit("spec").alias("kind"), F.col("spec_id").alias("ord"))
-    b = tagged.where((F.length("date_str") > 0) & F.col("is_unresolved")).select(F.col("date_str").alias("date"), F.left("sentence", F.lit(120)).alias("sentence"), "mentioned_by", F.lit("tagged").alias("kind"), F.col("sentence_id").alias("ord"))
+    a, b = dated(specs, tagged)
+    a = a.select(F.col("date_str").alias("date"), F.concat(F.lit("["), F.col("category"), F.lit("] "), F.col("raw_match")).alias("sentence"), "mentioned_by", F.lit("spec").alias("kind"), F.col("spec_id").alias("ord"))
+    b = b.select(F.col("date_str").alias("date"), F.left("sentence", F.lit(120)).alias("sentence"), "mentioned_by", F.lit("tagged").alias("kind"), F.col("sentence_id").alias("ord"))
     x = a.unionByName(b)
     if chronological:
         months = F.create_map(*[F.lit(v) for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()) for v in (m, i + 1)])

@@ -5,32 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailweave.operators.records import values_by_category
+from mailweave.operators.records import timeline_span, values_by_category
 from mailweave.operators.sentences import sentence_category
 
 
-def _lines(df: DataFrame, order: str, text: str, name: str, k: int) -> DataFrame:
-    """The first k texts of each thread joined by line feeds, with the thread's number of texts; k bounds what is gathered."""
-    w = Window.partitionBy("thread_id").orderBy(order)
-    top = df.select("thread_id", F.col(text).alias("t"), F.row_number().over(w).alias("_r")).where(F.col("_r") <= k)
+def _lines(df: DataFrame, order: str, text: str, name: str, k: int | None = None) -> DataFrame:
+    """The texts of each thread, or the first k, joined by line feeds, with the thread's number of texts."""
+    top = df.select("thread_id", F.col(order).alias("_r"), F.col(text).alias("t"))
+    if k is not None:
+        top = top.withColumn("_r", F.row_number().over(Window.partitionBy("thread_id").orderBy("_r"))).where(F.col("_r") <= k)
     lines = top.groupBy("thread_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "t"))), lambda s: s["t"]), "\n").alias(name))
     return lines.join(df.groupBy("thread_id").agg(F.count("*").alias(f"n_{name}")), "thread_id")
 
 
-def thread_summary(mails: DataFrame, specs: DataFrame, tagged: DataFrame, people: DataFrame, items: int = 5) -> DataFrame:
+def thread_summary(mails: DataFrame, specs: DataFrame, tagged: DataFrame, people: DataFrame, items: int = 5, events: DataFrame | None = None) -> DataFrame:
     """(thread_id, summary): overview, specifications by category, participants by mails sent, open items, span of dates.
 
+    All categories and all who sent mails are listed; of the open items the first `items`, with the number of the others.
+    Dates are those of the timeline over specs and events (tagged if none are given).
+
     Sets are sorted, so the text doesn't depend on the run. A thread without mails has no row; missing parts are left out,
     and without open items the summary says so.
     """
     head = mails.groupBy("thread_id").agg(F.count("*").alias("n_mails"), F.countDistinct("subject").alias("n_subjects"), F.min("subject").alias("subject"))
     n_specs = specs.groupBy("thread_id").agg(F.count("*").alias("n_specs"))
-    cats = _lines(values_by_category(specs).withColumn("line", F.concat(F.lit("- **"), F.col("category"), F.lit(":** "), F.col("values"))), "category", "line", "cats", 20)
-    ranked = people.where("mails_sent > 0").select("thread_id", F.format_string("%012d%s", 999999999999 - F.col("mails_sent"), "address").alias("o"), F.concat(F.lit("- **"), "name", F.lit("** ("), "company", F.lit(") — "), F.col("mails_sent").cast("string"), F.lit(" mail(s)")).alias("line"))
-    who = _lines(ranked, "o", "line", "people", 20)
+    cats = _lines(values_by_category(specs).withColumn("line", F.concat(F.lit("- **"), F.col("category"), F.lit(":** "), F.col("values"))), "category", "line", "cats")
+    ranked = people.where("mails_sent > 0").select("thread_id", F.format_string("%012d%s", 999999999999 - F.col("mails_sent"), "address").alias("o"), F.concat(F.lit("- **"), F.coalesce("name", F.lit("Unknown")), F.lit("**"), F.when(F.length("company") > 0, F.concat(F.lit(" ("), "company", F.lit(")"))).otherwise(""), F.lit(" — "), F.col("mails_sent").cast("string"), F.lit(" mail(s)")).alias("line"))
+    who = _lines(ranked, "o", "line", "people")
     short = F.when(F.length("sentence") > 150, F.concat(F.left("sentence", F.lit(150)), F.lit("..."))).otherwise(F.col("sentence"))
     open_ = _lines(tagged.where("is_unresolved").select("thread_id", "ord", F.concat(F.lit("- "), short, F.lit(" ("), F.coalesce("mentioned_by", F.lit("")), F.lit(")")).alias("line")), "ord", "line", "open", items)
-    dates = tagged.where(F.length("date_str") > 0).groupBy("thread_id").agg(F.min("date_str").alias("first"), F.max("date_str").alias("last"))
+    dates = timeline_span(specs, tagged if events is None else events)
     x = head.join(n_specs, "thread_id", "left").join(cats, "thread_id", "left").join(who, "thread_id", "left").join(open_, "thread_id", "left").join(dates, "thread_id", "left")
     topic = F.when(F.col("n_subjects") == 1, F.col("subject")).otherwise(F.concat(F.col("n_subjects").cast("string"), F.lit(" topics")))
     num = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")

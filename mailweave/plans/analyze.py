@@ -38,5 +38,5 @@ def analyze(mails: DataFrame, config: dict | None = None, whole_words: bool = Fa
     persons = people.people_table(m, found)
     return {
         "Mails": m, "People": persons, "Specifications": found, "Eng Sentences": tagged, "Unresolved": open_, "Timeline": records.timeline(found, tagged), "Conflicts": records.conflicts(found),
-        "Summary": summary.thread_summary(m, found, open_, persons),
+        "Summary": summary.thread_summary(m, found, open_, persons, events=tagged),
     }

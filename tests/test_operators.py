@@ -13,6 +13,7 @@ from mailweave.operators import ranking as Ra
 from mailweave.operators import records as R
 from mailweave.operators import sentences as S
 from mailweave.operators import specs as X
+from mailweave.operators import summary as Su
 
 
 def one(spark, column, text, kind="string"):
@@ -171,6 +172,19 @@ def test_timeline_order(spark):
     assert [r["date"] for r in R.timeline(s, t, chronological=True).collect()] == ["Mar 30", "Apr 01", "Apr 01"]
 
 
+def test_summary_is_whole(spark):
+    m = spark.createDataFrame([("a", "Bore")], "thread_id string, subject string")
+    s = spark.createDataFrame([("a", f"Cat{i:02d}", str(i), "mm", "", i, "Mar 01" if i == 3 else "Mar 20" if i == 7 else "") for i in range(25)], "thread_id string, category string, value string, unit string, subject string, spec_id long, date_str string")
+    t = spark.createDataFrame([("a", i, f"open {i}", "Ann", "Mar 10", True) for i in range(7)] + [("a", 9, "done", "Ann", "Jan 01", False)], "thread_id string, ord long, sentence string, mentioned_by string, date_str string, is_unresolved boolean")
+    p = spark.createDataFrame([("a", f"p{i:02d}@x.example", f"P{i:02d}" if i else None, "X" if i else None, 1 + (i == 29)) for i in range(30)] + [("a", "q@x.example", "Quiet", "X", 0)], "thread_id string, address string, name string, company string, mails_sent long")
+    lines = Su.thread_summary(m, s, t, p).first()["summary"].split("\n")
+    assert [x for x in lines if x.startswith("- **Cat")] == [f"- **Cat{i:02d}:** {i} mm" for i in range(25)]
+    who = [x for x in lines if x.endswith("mail(s)")]
+    assert who == ["- **P29** (X) — 2 mail(s)", "- **Unknown** — 1 mail(s)"] + [f"- **P{i:02d}** (X) — 1 mail(s)" for i in range(1, 29)]
+    assert [x for x in lines if x.startswith("- open")] == [f"- open {i} (Ann)" for i in range(5)] and "... and 2 more" in lines
+    assert lines[-1] == "Mar 01 to Mar 20"
+
+
 def test_rate_limit(spark, root):
     e = spark.read.parquet(f"{root}/events.parquet").select("event_id", "user_id", "ts")
     got = {r["event_id"]: r["accepted"] for r in R.rate_limited(e, "user_id", "ts", 2, 86400).collect()}
