@@ -157,22 +157,47 @@ def rank_sentences(sentences: DataFrame, in_memory: int = IN_MEMORY) -> DataFram
     return small.unionByName(textrank(unit_vectors(tfidf(large)), large.select("thread_id", "sent_id")))
 
 
-def diverse_top(sentences: DataFrame, scores: DataFrame, top: int = 8, diversity: float = 0.7, pool: int = 64) -> DataFrame:
+def diverse_top(sentences: DataFrame, scores: DataFrame, top: int = 8, diversity: float = 0.7, in_memory: int = IN_MEMORY) -> DataFrame:
     """(thread_id, sent_id, sentence): the best sentences of a thread, none similar to a better one, in order of the text.
 
-    The greedy choice looks at the best `pool * top` sentences of a thread, ranked by a window limit, so a thread that holds
-    a third of all sentences still sends a bounded list to its task.
+    The greedy choice goes down the whole ranking of a thread, with the vectors of the whole thread, until `top` are chosen
+    or none is left: small threads grouped, large ones in at most `top` distributed rounds. Both ways choose the same.
     """
-    w = Window.partitionBy("thread_id").orderBy(F.desc("score"), "sent_id")
-    ranked = sentences.join(scores, ["thread_id", "sent_id"]).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= pool * top).select("thread_id", "sent_id", "sentence", "rk")
+    sizes = sentences.groupBy("thread_id").agg(F.count("*").alias("n"))
+    schema = f"thread_id string, sent_id {sentences.schema['sent_id'].dataType.simpleString()}, sentence string"
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rk")
-        vec = vectors_of(pdf["sentence"].tolist())
+        pdf = pdf.sort_values(["score", "sent_id"], ascending=[False, True])
+        vec = vectors_of(pdf["sentence"].fillna("").tolist())
         kept: list[int] = []
         for i in range(len(vec)):
-            if len(kept) < top and all(cosine(vec[i], vec[k]) <= diversity for k in kept):
+            if len(kept) == top:
+                break
+            if all(cosine(vec[i], vec[k]) <= diversity for k in kept):
                 kept.append(i)
         return pdf.iloc[kept].sort_values("sent_id")[["thread_id", "sent_id", "sentence"]]
 
-    return ranked.groupBy("thread_id").applyInPandas(choose, f"thread_id string, sent_id {sentences.schema['sent_id'].dataType.simpleString()}, sentence string")
+    ranked = sentences.select("thread_id", "sent_id", "sentence").join(scores, ["thread_id", "sent_id"])
+    small = ranked.join(sizes.where(F.col("n") <= in_memory).select("thread_id"), "thread_id", "left_semi").groupBy("thread_id").applyInPandas(choose, schema)
+    large_ids = sizes.where(F.col("n") > in_memory).select("thread_id")
+    if large_ids.isEmpty():
+        return small
+    return small.unionByName(_diverse_in_rounds(ranked.join(large_ids, "thread_id", "left_semi"), top, diversity))
+
+
+def _diverse_in_rounds(ranked: DataFrame, top: int, diversity: float) -> DataFrame:
+    """`diverse_top` without a thread in one task: a round takes each thread's best sentence that is similar to none taken before."""
+    vectors = unit_vectors(tfidf(ranked)).groupBy("thread_id", "sent_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "u"))).alias("m"))  # one sentence's terms
+    left = cut_lineage(ranked.join(vectors, ["thread_id", "sent_id"], "left"))
+    taken: DataFrame | None = None
+    for _ in range(top):
+        x = left
+        if taken is not None:
+            dot = lambda p: F.coalesce(F.aggregate(F.map_keys("m"), F.lit(0.0), lambda s, t: s + F.try_element_at("m", t) * F.coalesce(F.try_element_at(p["m"], t), F.lit(0.0))), F.lit(0.0))
+            before = taken.groupBy("thread_id").agg(F.collect_list("p").alias("before"))  # at most `top`
+            x = left.join(before, "thread_id").where(F.forall("before", lambda p: (p["sent_id"] != F.col("sent_id")) & (dot(p) <= diversity)))
+        new = cut_lineage(x.groupBy("thread_id").agg(F.min_by(F.struct("sent_id", "sentence", "m"), F.struct(-F.col("score"), "sent_id")).alias("p")))
+        if new.isEmpty():
+            break
+        taken = new if taken is None else taken.unionByName(new)
+    return taken.select("thread_id", "p.sent_id", "p.sentence")

@@ -218,6 +218,21 @@ def test_textrank(spark):
     assert len(top) == 2 and top == sorted(top)
 
 
+def test_diverse_top_of_whole_ranking(spark):
+    texts = ["Rotor torque load test."] * 140 + ["Rotor torque load crate.", "", "A spare crate left the stores.", "The stores sent pumps.", "Rotor load crate seal.", "Seal torque."]
+    s = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "thread_id string, sent_id int, sentence string")
+    scores = s.select("thread_id", "sent_id", (1.0 / (1 + F.col("sent_id"))).alias("score"))
+    vec = Ra.vectors_of(texts)
+    for top in (2, 4, 20):
+        want: list[int] = []
+        for i in range(len(texts)):
+            if len(want) < top and all(Ra.cosine(vec[i], vec[k]) <= 0.7 for k in want):
+                want.append(i)
+        assert len(want) == min(top, 6)
+        for in_memory in (Ra.IN_MEMORY, 0):
+            assert sorted(r["sent_id"] for r in Ra.diverse_top(s, scores, top=top, in_memory=in_memory).collect()) == want
+
+
 def test_empty_tables(spark):
     m = mails(spark, [])
     assert P.paragraphs(m).count() == 0 and P.first_occurrences(P.paragraphs(m)).count() == 0 and P.fuzzy_within_thread(P.paragraphs(m)).count() == 0
