@@ -40,8 +40,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def plain(text: str) -> str:
     """Text in lower case without line labels, soft hyphens, accents and typographic variants (compatibility forms)."""
+    if not text.isascii() or "-\n" in text:
+        text = _JOINED.sub("", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", _JOINED.sub("", text) if _JOINED.search(text) else text))
+        text = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text))
         text = _OTHER.sub(" ", _MARKS.sub("", text))
     if "\n" in text or _LABEL.match(text):
         text = _LABEL.sub("", text)
@@ -114,14 +116,12 @@ def follows(doc: np.ndarray, item: np.ndarray, numeric: np.ndarray, shift: int,
     need = MIN_WORDS - MIN_WORDS // PER_EDIT
     if n < MIN_WORDS or hit.sum() < need:
         return False
-    # before the alignment: a stretch whose words mostly occur, and of whose figures one occurs beside another common word
-    ones = np.ones(MIN_WORDS, int)
-    beside = np.zeros(same.shape, bool)
-    beside[:, 1:] |= same[:, 1:] & same[:, :-1]
-    beside[:, :-1] |= same[:, 1:] & same[:, :-1]
-    run = np.convolve(hit, ones, "valid")
-    told = np.convolve(beside.any(axis=0) & numeric, ones, "valid")
-    if not ((run >= need) & ((told > 0) | (np.convolve(numeric, ones, "valid") == 0))).any():
+    # before the alignment, its own test with every word that occurs in the band taken as met: nothing is lost
+    sums = lambda x: np.concatenate(([0], np.cumsum(x)))
+    between = lambda x: x[None, MIN_WORDS:] - x[: n - MIN_WORDS + 1, None]
+    length = between(np.arange(n + 1))
+    may = (length >= MIN_WORDS) & (between(sums(~hit)) * PER_EDIT <= length)
+    if not may.any() or not (may & ((between(sums(np.where(numeric, np.where(hit, 1, -1), 0))) > 0) | (between(sums(numeric)) == 0))).any():
         return False
     # Viterbi over diagonals: an unmet word costs 1, a step up costs the words inserted; a step down drops the item's word
     d = 2 * band + 1
@@ -165,7 +165,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids = [i for i, _ in items]
         self.items: list[tuple[np.ndarray, np.ndarray]] = []
-        kept, grams, owner, place, figured = [], [], [], [], []
+        kept, grams, owner, place = [], [], [], []
         for n, (_, text) in enumerate(items):
             h, numeric, _ = hashed_words([text or ""])
             self.items.append((h, numeric))
@@ -174,7 +174,6 @@ class Index:
             grams.append(g)
             owner.append(np.full(len(g), n))
             place.append(np.arange(len(g)))
-            figured.append(np.convolve(numeric, np.ones(K, int), "valid")[: len(g)] > 0 if len(g) else np.array([], bool))
         none = np.array([], dtype=np.uint64)
         self.prints = np.unique(np.concatenate([none, *kept]))
         g = np.concatenate([none, *grams])
@@ -183,7 +182,6 @@ class Index:
         self.starts = np.append(self.starts, len(g))
         self.owner = np.concatenate([np.array([], int), *owner])[order]
         self.place = np.concatenate([np.array([], int), *place])[order]
-        self.figured = np.concatenate([np.array([], bool), *figured])[order]
 
     def search(self, texts: list[str]) -> list[list[int]]:
         """For each text the items of which it holds a passage."""
@@ -232,13 +230,12 @@ class Index:
         n = self.starts[at + 1] - self.starts[at]
         flat = np.repeat(self.starts[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         where = self.owner[flat] * 2**32 + ((np.repeat(pos + lo, n) - self.place[flat]) >> 3) + 2**20
-        keys, inverse, counts = np.unique(where, return_inverse=True, return_counts=True)
-        told = np.bincount(inverse, weights=self.figured[flat], minlength=len(keys))
+        keys, counts = np.unique(where, return_counts=True)
         if len(keys) > 1:  # a passage may lie across two buckets of diagonals
             pair = np.concatenate((np.diff(keys) == 1, [False]))
-            counts, told = counts + np.where(pair, np.roll(counts, -1), 0), told + np.where(pair, np.roll(told, -1), 0)
+            counts = counts + np.where(pair, np.roll(counts, -1), 0)
         found = set()
-        for key in keys[(counts >= MIN_GRAMS) & ((told > 0) | (counts >= 2 * MIN_GRAMS))].tolist():
+        for key in keys[counts >= MIN_GRAMS].tolist():
             n = key >> 32
             if n in found:
                 continue

@@ -109,6 +109,23 @@ def test_passages():
         assert found(figures) == []
 
 
+def test_passages_with_few_or_no_figures():
+    w = WORDS[:22]
+    found = lambda item, *parts: L.Index([(1, " ".join(item))]).search(["filler " * 30 + " ".join(" ".join(p) for p in parts) + " filler" * 30])[0]
+    assert found(w, w[:5], ["also"], w[6:10], ["odd"], w[11:15]) == [1]  # four common 4-grams
+    assert found(w, w[:5], ["also"], w[6:10], ["odd"], w[11:14]) == []
+    assert found(w, w[:10], ["also", "other", "odd"], w[13:]) == [1]  # three changes in no 15 words, but in 22
+    figure = [*w[:7], "42", *w[8:15]]
+    assert found(figure, w[:6], ["also", "42", "odd"], w[9:15]) == [1]
+    assert found(figure, w[:6], ["also", "43", "odd"], w[9:15]) == []
+
+
+def test_words_broken_at_line_ends():
+    w = WORDS[:15]
+    broken = " ".join(f"{x[:2]}-\n{x[2:]}" if k % 5 == 2 else x for k, x in enumerate(w))
+    assert L.Index([(1, " ".join(w))]).search([broken])[0] == [1] and L.Index([(1, broken)]).search([" ".join(w)])[0] == [1]
+
+
 def test_leaked_items_both_ways(spark, monkeypatch):
     rng = random.Random(6)
     items = [(i, item(rng)) for i in range(8)] + [(90, None), (91, ""), (92, "too short")]
