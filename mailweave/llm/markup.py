@@ -200,6 +200,8 @@ def render(node: Node | str, out: list[str], mark: str = "") -> None:
             out.append("\n")
 
 
+#: Marks of quoted lines, kept by the rules for lines; the second leaves bars to tables.
+_QUOTE, _QUOTE_NO_BAR = r"^((?:[>| \t]|[A-Z]{1,3}>)*?)", r"^((?:[> \t]|[A-Z]{1,3}>)*)"
 _REWRITE = [
     (re.compile(r"\\begin\{(?:verbatim|lstlisting)\}[^\n]*"), "```"), (re.compile(r"\\end\{(?:verbatim|lstlisting)\}"), "```"),
     (re.compile(r"\{(?:code|noformat)(?::[^}]*)?\}"), "\n```\n"), (re.compile(r"\{(?:quote|panel|color|info|note)(?::[^}]*)?\}", re.I), ""),
@@ -207,26 +209,32 @@ _REWRITE = [
     (re.compile(r"\\begin\{equation\*?\}\s*(.+?)\s*\\end\{equation\*?\}", re.S), r"$\1$"),
     (re.compile(r"\\begin\{(?:itemize|enumerate|tabular|table|center|document)\}(?:\{[^}]*\})?[^\n]*\n?"), ""), (re.compile(r"\\end\{(?:itemize|enumerate|tabular|table|center|document)\}\n?"), ""),
     (re.compile(r"\\item\s*"), "- "), (re.compile(r"\\section\*?\{([^}]*)\}"), r"# \1"), (re.compile(r"\\subsection\*?\{([^}]*)\}"), r"## \1"), (re.compile(r"\\subsubsection\*?\{([^}]*)\}"), r"### \1"),
-    (re.compile(r"\\href\{[^}]*\}\{([^}]*)\}"), r"\1"), (re.compile(r"\\(?:emph|textbf|textit|texttt|underline|url|text|num|footnote|title|caption)\{([^{}]*)\}"), r"\1"), (re.compile(r"\\SI\{([^{}]*)\}\{([^{}]*)\}"), r"\1 \2"),
+    (re.compile(r"\\href\{[^}]*\}\{([^}]*)\}"), r"\1"), (re.compile(r"\\(?:emph|textbf|textit|texttt|underline|url|text|num|footnote|title|caption|author|mathrm)\{([^{}]*)\}"), r"\1"), (re.compile(r"\\SI\{([^{}]*)\}\{([^{}]*)\}"), lambda m: f"{m[1]} {re.sub(r'[\\]([a-zA-Z]+)', r' \1', m[2]).strip()}"),
+    (re.compile(r"\\(?:documentclass|usepackage)\s*(?:\[[^\]]*\])?\s*\{[^{}]*\}[ \t]*\n?"), ""), (re.compile(r"~?\\(?:[a-zA-Z]*ref|cite[a-z]*|label)\*?\s*(?:\[[^\]]*\])*\{([^{}]*)\}"), lambda m: " " * (m[0][0] == "~") + m[1]),
+    (re.compile(r"\\(?:sub)?paragraph\*?\{([^}]*)\}"), r"#### \1"), (re.compile(r"\\frac\{([^{}]*)\}\{([^{}]*)\}"), r"(\1)/(\2)"), (re.compile(r"\\sqrt\{([^{}]*)\}"), r"sqrt(\1)"),
     (re.compile(r"(?<![\w:\\./])\\(?:noindent|par|centering|newline|hline|maketitle|bigskip|smallskip|medskip|newpage)\b[ \t]*"), ""),
     (re.compile(r"^([^\n]*?) & ([^\n]*?)\s*\\\\[ \t]*$", re.M), lambda m: f"{m[1]} | {m[2].replace(' & ', ' | ')}"), (re.compile(r"\\\\[ \t]*$", re.M), ""),
-    (re.compile(r"^(={2,6})\s*([^=\n]+?)\s*\1\s*$", re.M), lambda m: "#" * (len(m[1]) - 1) + " " + m[2]), (re.compile(r"^h([1-6])\. (.+)$", re.M), lambda m: "#" * int(m[1]) + " " + m[2]), (re.compile(r"^bq\. ", re.M), "> "),
-    (re.compile(r"^\{\|[^\n]*\n?|^\|\}\s*\n?|^\|-[^\n]*\n?", re.M), ""), (re.compile(r"^!\s*(.+)$", re.M), lambda m: re.sub(r"\s*!!\s*", " | ", m[1])),
-    (re.compile(r"^\|\|(.+?)\|\|\s*$", re.M), lambda m: " | ".join(x.strip() for x in m[1].split("||"))), (re.compile(r"^\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|?\s*$\n?", re.M), ""),
-    (re.compile(r"^\|\s?(?=[^\n]*\|)([^\n]*?)\|?\s*$", re.M), lambda m: " | ".join(x.strip() for x in re.split(r"\|+", m[1]))),
+    (re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]\n]*\])?[ \t]*\n?"), ""), (re.compile(r"(?<![\w:\\./])\\[a-zA-Z]{3,}\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}"), r"\1"), (re.compile(r"(?<![\w:\\./])\\([a-zA-Z]{3,})\b(?!\\)"), r"\1"),
+    (re.compile(_QUOTE + r"(={2,6})[ \t]*([^=\n]+?)[ \t]*\2[ \t]*$", re.M), lambda m: m[1] + "#" * (len(m[2]) - 1) + " " + m[3]), (re.compile(_QUOTE + r"[hH]([1-6])\. (.+)$", re.M), lambda m: m[1] + "#" * int(m[2]) + " " + m[3]), (re.compile(_QUOTE + r"[bB][qQ]\. ", re.M), r"\1> "),
+    (re.compile(r"^\{\|[^\n]*\n?|^\|\}\s*\n?|^\|-[^\n]*\n?", re.M), ""), (re.compile(_QUOTE + r"(?:\{\|[^\n]*|\|[-}][ \t]*)(?:\n|\Z)", re.M), ""), (re.compile(_QUOTE_NO_BAR + r"!\s*(.+)$", re.M), lambda m: m[1] + re.sub(r"\s*!!\s*", " | ", m[2])),
+    (re.compile(_QUOTE + r"\|\|(.+?)\|\|[ \t]*$", re.M), lambda m: m[1] + " | ".join(x.strip() for x in m[2].split("||"))), (re.compile(_QUOTE_NO_BAR + r"\|?[ \t]*:?-{3,}:?[ \t]*\|[-:| \t]*(?:\n|\Z)", re.M), ""), (re.compile(r"^\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|?\s*$\n?", re.M), ""),
+    (re.compile(r"^\|\s?(?=[^\n]*\|)([^\n]*?)\|?\s*$", re.M), lambda m: " | ".join(x.strip() for x in re.split(r"\|+", m[1]))), (re.compile(_QUOTE_NO_BAR + r"\|([^|\n]+\|[^\n]*)\|[ \t]*$", re.M), lambda m: m[1] + " | ".join(x.strip() for x in re.split(r"\|+", m[2]))),
     (re.compile(r"\[\[(?:File|Image|Datei):([^|\]]*)[^\]]*\]\]"), r"\1"), (re.compile(r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]"), r"\1"), (re.compile(r"\[https?://\S+ ([^\]]+)\]"), r"\1"), (re.compile(r"\[([^\[\]|\n]+)\|https?://[^\]]+\]"), r"\1"),
     (re.compile(r"!?\[([^\[\]]*)\]\([^()\s]+(?:\s[^()]*)?\)"), r"\1"), (re.compile(r"\{\{(?:[^|{}]*\|)?([^{}]*)\}\}"), r"\1"),
     (re.compile(r"''+([^'\n]+(?:\n[^'\n]+)?)''+"), r"\1"), (re.compile(r"(?<![\w*])\*\*(?=[^\s*])([^*]{1,300}?)(?<=\S)\*\*(?![\w*])"), r"\1"), (re.compile(r"(?<![\w_])__(?=[^\s_])([^_]{1,200})(?<=\S)__(?![\w_])"), r"\1"),
-    (re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]{1,80})(?<=[^\s*])\*(?![\w*])"), r"\1"), (re.compile(r"~~([^~]{1,200})~~"), r"\1"), (re.compile(r"(?<!`)`([^`\n]+(?:\n[^`\n]+)?)`(?!`)"), r"\1"), (re.compile(r"^\* (?=\S)", re.M), "- "),
+    (re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]{1,80}(?:\n[^*\n]{1,80})?)(?<=[^\s*])\*(?![\w*])"), r"\1"), (re.compile(r"(?<![\w_])_(?=[^\s_])([^_\n]{1,80}(?:\n[^_\n]{1,80})?)(?<=[^\s_])_(?![\w_])"), r"\1"), (re.compile(r"~~([^~]{1,200})~~"), r"\1"), (re.compile(r"(?<!`)`([^`\n]+(?:\n[^`\n]+)?)`(?!`)"), r"\1"), (re.compile(r"^\* (?=\S)", re.M), "- "),
 ]
 
+#: The rule of _REWRITE from which on all formulas stand between dollar signs.
+FORMULAS = 8
+
 
 def clean(text: str | None) -> tuple[str | None, list[str]]:
     """(clean text, constructs found). Text without markup, NULL and empty text come back unchanged."""
     kinds = constructs(text)
     if not kinds:
         return text, kinds
-    out = text.replace("\r\n", "\n")
+    out = text.replace("\r\n", "\n").replace("\x00", "")
     if "entity" in kinds and re.search(r"&lt;/?(?:" + "|".join(ELEMENTS) + r")\b", out, re.I):
         out = html.unescape(out)  # escaped markup: one level of escaping off, then as usual
         kinds = kinds if "tag" in kinds else kinds + ["tag"]
@@ -248,8 +256,11 @@ def clean(text: str | None) -> tuple[str | None, list[str]]:
         for n, (p, to) in enumerate(_REWRITE):
             if n == 4:  # code is as fenced as it gets: nothing below may touch it
                 out = re.sub(r"```[^\n]*\n.*?```", keep, out, flags=re.S)
+            if n == FORMULAS:  # likewise
+                out = CONSTRUCTS["formula"][2].sub(keep, out)
             out = p.sub(to, out)
-        out = re.sub("\x00(\\d+)\x00", lambda m: code[int(m[1])], out)
+        while re.search("\x00\\d+\x00", out):  # a formula may hold code
+            out = re.sub("\x00(\\d+)\x00", lambda m: code[int(m[1])], out)
     out = re.sub(r"[ \t\xa0]+$", "", out.replace("\x00", ""), flags=re.M)
     return re.sub(r"\n{3,}", "\n\n", out).strip("\n"), kinds
 

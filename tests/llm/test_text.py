@@ -44,6 +44,24 @@ def test_markup_cleaned():
     assert M.clean("$$x = y$$")[0] == "$x = y$"
 
 
+REWRITTEN = [
+    ("See Fig.~\\ref{fig:37}.", "See Fig. fig:37."), ("as in \\cite[p. 3]{smith} \\label{a}", "as in smith a"), ("\\author{Ann}", "Ann"), ("\\paragraph{Scope} x", "#### Scope x"), ("\\documentclass[a4paper]{article}\n\\usepackage{siunitx}\nText", "Text"),
+    ("an _old_ gear", "an old gear"), ("an *old\ngrey* gear", "an old\ngrey gear"), ("an _old\ngrey_ gear", "an old\ngrey gear"), ("> == Head ==\n> x", "> # Head\n> x"), ("> h2. Note", "> ## Note"), ("AB> bq. said", "AB> > said"), ("> {| class=x\n> |-\n> | a\n> |}", "> | a"),
+    ("> ||a||b||", "> a | b"), ("> | a | b |\n> |---|---|\n> | 1 | 2 |", "> a | b\n> 1 | 2"), ("\\SI{5}{\\newton\\metre} and $x_1 = \\frac{a}{b}$", "5 newton metre and $x_1 = \\frac{a}{b}$"), ("_a_ then $_b_ = 2$", "a then $_b_ = 2$"),
+]
+
+
+@pytest.mark.parametrize("text, want", REWRITTEN)
+def test_all_that_is_found_is_rewritten(text, want):
+    assert M.clean(text)[0] == want
+
+
+@pytest.mark.parametrize("text", MARKED + [t for t, _ in REWRITTEN])
+def test_only_the_plain_form_is_left(text):
+    out = M.clean(text)[0]
+    assert set(M.constructs(M.CONSTRUCTS["formula"][2].sub("", out))) <= {"heading", "fence"}
+
+
 def test_boilerplate_falls_away():
     text = "<div><div><a href='1'>home</a> <a href='2'>about us</a> <a href='3'>contact</a></div><div>" + "".join(f"<p>Paragraph {i} speaks at length, with commas, of the gear and the shaft it drives.</p>" for i in range(4)) + "</div></div>"
     out, _ = M.clean(text)
