@@ -1,17 +1,22 @@
 """One UTC instant out of mixed timestamp texts (problem 3).
 
-A text matches at most one family of formats; within the family of numeric dates the order of day, month and
-year is a mixture component. Expectation-maximisation per source learns the weights of the components: a value
-adds its likelihood under each of its valid parses, the declared order of the source is the prior. The posterior
-picks the parse; if none is clear the value is marked ambiguous instead of guessed silently.
+A text matches at most one family of formats; within the family of numeric dates the three orders of day, month and
+year are the mixture's components. Expectation-maximisation per source learns their weights: a value adds its likelihood
+under each of its valid parses, the declared order of the source is the prior. The posterior picks the parse; if none is
+clear the value is marked ambiguous instead of guessed silently.
+
+The prior is worth a multiple of the source's own values, not a fixed number of them: the same shares give the same
+weights at every size, and a declared order keeps the upper hand. What speaks against it lowers the posterior instead.
 
 All of it runs in the JVM. A source's values enter the EM only as counts by "which orders are valid"
-(three numbers per source), so a source that holds a third of all rows costs one partial aggregate.
+(seven numbers per source), so a source that holds a third of all rows costs one partial aggregate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Offsets in minutes of the zone abbreviations in use.
@@ -61,65 +66,100 @@ def parsed_fields(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_mw_shape", shape).withColumn("_mw_family", family).withColumn("_mw_p", F.split("_mw_shape", r"\|")).drop("_mw_shape")
 
 
-def order_weights(parsed: DataFrame, source: str, directory: DataFrame, order_col: str, prior: float = 1000.0, rounds: int = 25) -> DataFrame:
-    """(source, _mw_dmy, _mw_mdy): weights of day-first and month-first dates of a source, by EM.
+#: Orders of numeric dates: name -> places of day, month and year among the three numbers.
+ORDERS = {"dmy": (0, 1, 2), "mdy": (1, 0, 2), "ymd": (2, 1, 0)}
+
+
+def order_valid(pieces: Column) -> dict[str, Column]:
+    """For each order whether the first three pieces can be read in it: day and month in range, a year of two or four digits."""
+    piece = lambda i: F.get(pieces, F.lit(i))
+    out = {}
+    for name, (d, m, y) in ORDERS.items():
+        short = (F.length(piece(d)) <= 2) & (F.length(piece(m)) <= 2) & F.length(piece(y)).isin(2, 4)
+        out[name] = F.coalesce(short & _valid(piece(d).try_cast("int"), piece(m).try_cast("int")), F.lit(False))
+    return out
+
 
-    The statistics are the numbers of values valid only day first, only month first, and both. `prior` is the
-    number of pseudo-observations that the declared order is worth; a source without declaration starts even.
+def order_weights(parsed: DataFrame, source: str, directory: DataFrame, order_col: str, prior: float = 9.0, rounds: int = 500) -> DataFrame:
+    """(source, _mw_w): weights of the orders of numeric dates of each source of the directory, by EM.
+
+    The statistics are the numbers of values by the set of orders in which they are valid. The declared order is worth
+    `prior` times the source's values; a source without declaration starts even, with one value's worth for each order.
+    Rounds end when no weight moves any more (the last rounds then change nothing), after `rounds` at most.
     """
-    a, b = F.get("_mw_p", F.lit(0)).try_cast("int"), F.get("_mw_p", F.lit(1)).try_cast("int")
-    d, m = _valid(a, b), _valid(b, a)
-    counts = (
-        parsed.where((F.col("_mw_family") == "slash") & (F.length(F.get("_mw_p", F.lit(0))) <= 2))
-        .groupBy(source)
-        .agg(F.count_if(d & m).alias("n_dm"), F.count_if(d & ~m).alias("n_d"), F.count_if(m & ~d).alias("n_m"))
-    )
-    both = directory.select(F.col(source), F.col(order_col).alias("_mw_order")).join(counts, source, "left").na.fill(0, ["n_dm", "n_d", "n_m"])
-    pd = F.when(F.col("_mw_order") == "dmy", prior).when(F.col("_mw_order") == "mdy", 1.0).otherwise(1.0)
-    pm = F.when(F.col("_mw_order") == "mdy", prior).when(F.col("_mw_order") == "dmy", 1.0).otherwise(1.0)
-    total = pd + pm + F.col("n_dm") + F.col("n_d") + F.col("n_m")
-    # E: a value valid both ways counts for day-first with the present weight w; M: w is the mean of those counts.
-    w = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), pd / (pd + pm), lambda w, _: (pd + F.col("n_d") + F.col("n_dm") * w) / total)
-    return both.select(source, w.alias("_mw_dmy"), (1 - w).alias("_mw_mdy"))
+    valid = order_valid(F.col("_mw_p"))
+    masks = [[k for i, k in enumerate(ORDERS) if n >> i & 1] for n in range(1, 8)]
+    which = sum((F.when(valid[k], 1 << i).otherwise(0) for i, k in enumerate(ORDERS)), F.lit(0))
+    numeric = parsed.where("_mw_family = 'slash'").select(source, which.alias("_mw_mask"))
+    counts = numeric.groupBy(source).agg(*[F.count_if(F.col("_mw_mask") == n).alias("n_" + "_".join(m)) for n, m in enumerate(masks, 1)])
+    names = ["n_" + "_".join(m) for m in masks]
+    both = directory.select(F.col(source), F.col(order_col).alias("_mw_order")).join(counts, source, "left").na.fill(0, names)
+    n = sum((F.col(c) for c in names), F.lit(0.0))
+    declared = F.col("_mw_order").isin(*ORDERS)
+    pseudo = {k: F.when(F.col("_mw_order") == k, prior * (n + 1)).when(declared, 0.0).otherwise(1.0) for k in ORDERS}
+    total = sum(pseudo.values(), n)
+    start = F.struct(*[((pseudo[k] + 1) / (sum(pseudo.values(), F.lit(0.0)) + 3)).alias(k) for k in ORDERS])
+
+    def step(w: Column, _: Column) -> Column:
+        # E: a value counts for each order in which it is valid by the order's share of the weight; M: a weight is the mean of its counts
+        share = {m: F.col(c) / F.greatest(sum((w[k] for k in mask), F.lit(0.0)), F.lit(1e-300)) for m, (c, mask) in enumerate(zip(names, masks))}
+        return F.struct(*[((pseudo[k] + w[k] * sum((share[m] for m, mask in enumerate(masks) if k in mask), F.lit(0.0))) / total).alias(k) for k in ORDERS])
+
+    # rounds go in one array function; those past the fixed point keep the weights as they are
+    settled = lambda a, b: F.greatest(*[F.abs(a[k] - b[k]) for k in ORDERS]) < 1e-12
+    fit = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(start.alias("w"), F.lit(False).alias("done")), lambda s, i: F.when(s["done"], s).otherwise(F.get(F.transform(F.array(step(s["w"], i)), lambda new: F.struct(new.alias("w"), settled(new, s["w"]).alias("done"))), F.lit(0))))
+    return both.select(source, fit["w"].alias("_mw_w"))
+
+
+@lru_cache(maxsize=1)
+def _regions(spark: SparkSession) -> frozenset[str]:
+    """Names of the time zones that the JVM knows."""
+    return frozenset(spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds())
 
 
 def normalise_timestamps(
     df: DataFrame, directory: DataFrame, text: str = "date_str", source: str = "mailbox", zone_col: str = "tz_name",
-    order_col: str = "date_order", clear: float = 0.9, prior: float = 1000.0,
+    order_col: str = "date_order", clear: float = 0.95, prior: float = 9.0,
 ) -> DataFrame:
     """df with instant_utc (TIMESTAMP_NTZ, UTC wall clock), time_format, time_posterior and time_ambiguous.
 
     Texts without zone are read in the source's zone; a local time that occurs twice means the first, one that
     a clock change skips is read with the offset before it. NULL, blank or unreadable texts, texts without year
-    or time of day, and impossible dates give a NULL instant and no format. A source missing from the directory
-    is read as UTC with even prior. Columns of df keep their names; helper columns start with _mw_.
+    or time of day, impossible dates, and zones that nobody knows (in the text or the directory) give a NULL instant and no format.
+    A source missing from the directory is read as UTC with even prior. Columns of df keep their names; helper columns start with _mw_.
     """
     parsed = parsed_fields(df, text)
-    weights = order_weights(parsed.select(source, "_mw_family", "_mw_p"), source, directory, order_col, prior)
-    side = directory.select(source, F.col(zone_col).alias("_mw_zone")).dropDuplicates([source]).join(weights.dropDuplicates([source]), source)
-    x = parsed.join(side, source, "left")
+    one = directory.groupBy(source).agg(F.min(F.struct(F.col(zone_col).alias("z"), F.col(order_col).alias("o"))).alias("d")).select(source, F.col("d.z").alias("_mw_zone"), F.col("d.o").alias(order_col))
+    weights = order_weights(parsed.select(source, "_mw_family", "_mw_p"), source, one, order_col, prior)
+    x = parsed.join(one.select(source, "_mw_zone").join(weights, source), source, "left")
     p = lambda i: F.get("_mw_p", F.lit(i))
     num = lambda c: c.try_cast("int")
     slash = F.col("_mw_family") == "slash"
-    year_first = slash & (F.length(p(0)) == 4)
-    a, b = num(p(0)), num(p(1))
-    wd = F.coalesce("_mw_dmy", F.lit(0.5)) * F.when(_valid(a, b), 1.0).otherwise(0.0)
-    wm = F.coalesce("_mw_mdy", F.lit(0.5)) * F.when(_valid(b, a), 1.0).otherwise(0.0)
-    post_d = F.when(wd + wm > 0, wd / (wd + wm)).otherwise(0.5)
-    month_first = slash & ~year_first & (post_d < 0.5)
+    valid = order_valid(F.col("_mw_p"))
+    x = x.withColumns({f"_mw_l{k}": F.when(slash & valid[k], F.coalesce(F.col(f"_mw_w.{k}"), F.lit(1 / 3))).otherwise(0.0) for k in ORDERS})
+    likely = {k: F.col(f"_mw_l{k}") for k in ORDERS}
+    best = F.greatest(*likely.values())
+    x = x.withColumn("_mw_post", F.when(slash, F.try_divide(best, sum(likely.values(), F.lit(0.0)))).otherwise(1.0))
+    chosen = F.lit(None).cast("string")
+    for k in reversed(ORDERS):  # the first of equals, which the posterior marks
+        chosen = F.when((likely[k] == best) & (best > 0), k).otherwise(chosen)
+    x = x.withColumn("_mw_chosen", F.when(slash, chosen).otherwise("dmy"))
+    places = F.create_map(*[x for k, at in ORDERS.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in at]))])
+    x = x.withColumn("_mw_at", F.try_element_at(places, F.col("_mw_chosen")))
+    x = x.withColumns({f"_mw_n{part}": F.get("_mw_p", F.get("_mw_at", F.lit(part))) for part in range(3)})
+    pick = lambda part: F.col(f"_mw_n{part}")
     names = F.create_map(*[F.lit(v) for i, n in enumerate(MONTHS) for v in (n, i + 1)])
-    month = F.when(year_first, b).when(month_first, a).otherwise(F.coalesce(b, F.try_element_at(names, F.lower(p(1)))))
-    day = F.when(year_first, num(p(2))).when(month_first, b).otherwise(a)
-    year = F.when(year_first, a).otherwise(num(p(2)))
+    month = F.coalesce(num(pick(1)), F.try_element_at(names, F.lower(pick(1))))
+    day, year = num(pick(0)), num(pick(2))
     year = F.when(year < 100, year + 2000).otherwise(year)
     hour = num(p(3))
     hour = F.when(F.length(p(7)) == 0, hour).otherwise(hour % 12 + F.when(F.lower(p(7)) == "pm", 12).otherwise(0))
     second = F.coalesce(F.concat(F.when(F.length(p(5)) > 0, p(5)).otherwise("0"), F.lit("."), F.rpad(p(6), 6, "0")).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
     local = F.col("_mw_family").isNotNull() & ~F.col("_mw_family").startswith("epoch")
-    x = x.withColumns({"_mw_y": year, "_mw_mo": month, "_mw_d": day, "_mw_h": hour, "_mw_mi": num(p(4)), "_mw_s": second, "_mw_z": p(8), "_mw_local": local, "_mw_post": F.when(slash & ~year_first, F.greatest(post_d, 1 - post_d)).otherwise(1.0), "_mw_mf": month_first, "_mw_yf": year_first})
+    x = x.withColumns({"_mw_y": year, "_mw_mo": month, "_mw_d": day, "_mw_h": hour, "_mw_mi": num(p(4)), "_mw_s": second, "_mw_z": p(8), "_mw_local": local})
     wall = F.when(F.col("_mw_local"), F.expr("try_make_timestamp_ntz(_mw_y, _mw_mo, _mw_d, _mw_h, _mw_mi, _mw_s)"))
     minutes = _zone_minutes(F.col("_mw_z"))
-    region = F.when(F.col("_mw_z").contains("/"), F.col("_mw_z")).otherwise(F.coalesce("_mw_zone", F.lit("UTC")))
+    region = F.when(F.length("_mw_z") > 0, F.col("_mw_z")).otherwise(F.coalesce("_mw_zone", F.lit("UTC")))
     x = x.withColumns({"_mw_wall": wall, "_mw_min": minutes, "_mw_region": region})
     scale = F.when(F.col("_mw_family") == "epoch_s", 1000000).when(F.col("_mw_family") == "epoch_ms", 1000).otherwise(1)
     micros = F.when(F.col("_mw_family").startswith("epoch"), F.get("_mw_p", F.lit(0)).try_cast("bigint") * scale)
@@ -128,16 +168,20 @@ def normalise_timestamps(
     instant = (
         F.when(F.col("_mw_us").isNotNull(), epoch + F.expr("make_dt_interval(0, 0, 0, cast(_mw_us as decimal(22,0)) / 1000000)"))
         .when(F.col("_mw_min").isNotNull(), F.col("_mw_wall") - F.expr("make_dt_interval(0, 0, _mw_min)"))
-        .otherwise(F.expr("convert_timezone(_mw_region, 'UTC', _mw_wall)"))
+        .when(F.col("_mw_region").isin(*sorted(_regions(df.sparkSession))), F.expr("convert_timezone(_mw_region, 'UTC', _mw_wall)"))
     )
-    form = F.when(F.col("_mw_yf"), "slash_ymd").when(F.col("_mw_mf"), "slash_mdy").when(F.col("_mw_family") == "slash", "slash_dmy").otherwise(F.col("_mw_family"))
+    form = F.when(F.col("_mw_family") == "slash", F.concat(F.lit("slash_"), "_mw_chosen")).otherwise(F.col("_mw_family"))
     x = x.withColumn("instant_utc", instant).withColumn("time_format", F.when(F.col("instant_utc").isNotNull(), form))
     x = x.withColumn("time_posterior", F.when(F.col("instant_utc").isNotNull(), F.col("_mw_post"))).withColumn("time_ambiguous", F.coalesce(F.col("time_posterior") < clear, F.lit(False)))
     return x.drop(*[c for c in x.columns if c.startswith("_mw_")])
 
 
 def wrong_stored_dates(messages: DataFrame, mailboxes: DataFrame, seconds: float = 1.0) -> DataFrame:
-    """delivery_id of rows whose stored `date` differs by `seconds` or more from the instant of date_str."""
-    x = normalise_timestamps(messages.select("delivery_id", "mailbox", "date", "date_str").where("date IS NOT NULL"), mailboxes.select("mailbox", "tz_name", "date_order"))
+    """delivery_id of rows whose stored `date` differs by `seconds` or more from the instant of date_str.
+
+    The weights are those of all rows, also of the rows without stored date, so a text is read as everywhere else.
+    """
+    x = normalise_timestamps(messages.select("delivery_id", "mailbox", "date", "date_str"), mailboxes.select("mailbox", "tz_name", "date_order"))
     gap = F.abs(F.expr("timestampdiff(MICROSECOND, instant_utc, cast(date AS TIMESTAMP_NTZ))"))
-    return x.where(gap >= seconds * 1e6).select("delivery_id")
+    # a generator, as a filter would be pushed down through the projections with all their expressions written out in it
+    return x.select(F.explode(F.when(gap >= seconds * 1e6, F.array("delivery_id"))).alias("delivery_id"))

@@ -47,3 +47,30 @@ def test_stored_dates(spark):
     d = spark.createDataFrame(BOXES, "mailbox string, tz_name string, date_order string")
     assert [r[0] for r in ts.wrong_stored_dates(m, d).collect()] == [2]
     assert ts.wrong_stored_dates(m.limit(0), d).count() == 0
+
+
+def test_declared_order_holds_at_every_size(spark):
+    # the same shares give the same reading: one day-first value beside few or very many month-first ones
+    d = spark.createDataFrame(BOXES, "mailbox string, tz_name string, date_order string")
+    for n in (500, 200_000):
+        many = spark.range(n).selectExpr("id + 1 AS delivery_id", "'de' AS mailbox", "'03/25/2024 10:00' AS date_str")
+        m = many.unionByName(spark.createDataFrame([(0, "de", "03/04/2024 10:00")], "delivery_id long, mailbox string, date_str string"))
+        r = ts.normalise_timestamps(m, d).where("delivery_id = 0").first()
+        assert r["instant_utc"] == datetime(2024, 4, 3, 8) and r["time_format"] == "slash_dmy" and r["time_ambiguous"]
+
+
+def test_year_first_with_two_digits(spark):
+    assert instants(spark, ("jp", "24/03/05 10:00"), ("de", "24/03/05 10:00"), ("us", "03/04/24 10:00"), ("de", "24/3/5 10:00")) == [datetime(2024, 3, 5, 1), datetime(2005, 3, 24, 9), datetime(2024, 3, 4, 15), datetime(2024, 3, 5, 9)]
+
+
+def test_unknown_zones(spark):
+    m = spark.createDataFrame([(1, "bad", "2024-01-01 10:00:00"), (2, "de", "2024-01-01 10:00:00 Foo/Bar"), (3, "de", "2024-01-01 10:00:00 QQQ"), (4, "de", "2024-01-01 10:00:00 America/Argentina/Ushuaia")], "delivery_id long, mailbox string, date_str string")
+    d = spark.createDataFrame([*BOXES, ("bad", "No/Where", "dmy")], "mailbox string, tz_name string, date_order string")
+    assert [r["instant_utc"] for r in ts.normalise_timestamps(m, d).orderBy("delivery_id").collect()] == [None, None, None, datetime(2024, 1, 1, 13)]
+
+
+def test_stored_dates_are_read_with_all_rows(spark):
+    # the unambiguous texts that decide have no stored date
+    m = spark.createDataFrame([(i, "none", None, f"3/{i}/2024 10:00") for i in range(20, 29)] + [(1, "none", datetime(2024, 3, 4, 10), "3/4/2024 10:00")], "delivery_id long, mailbox string, date timestamp_ntz, date_str string")
+    d = spark.createDataFrame(BOXES, "mailbox string, tz_name string, date_order string")
+    assert ts.wrong_stored_dates(m, d).count() == 0
