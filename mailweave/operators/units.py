@@ -1,9 +1,12 @@
 """Quantities in common units (problem 6).
 
 A hidden Markov model per device (message, category, subject): the hidden state is the unit in which a reading was
-noted and the notation of its number; the emission is what the record says of them; the transition compares log
-values with a smooth underlying level, so a switch of units that keeps the level is cheap and a jump of the level isn't.
-Viterbi decodes the states, and each value is converted by its state's unit.
+taken and the notation of its number; the emission is what the record says of them, and may be wrong at a cost; the
+transition compares log values with a smooth underlying level, so a switch of units that keeps the level is cheap and a
+jump of the level isn't. Viterbi decodes the states, and each value is converted by its state's unit.
+
+Long devices are cut into blocks without loss: a block's cheapest ways from each first to each last state are a matrix,
+matrices of neighbouring blocks combine by min-plus products, and what they choose at the cuts fixes each block's ends.
 """
 
 from __future__ import annotations
@@ -13,10 +16,13 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailweave.session import cut_lineage
+
 # Unit -> (quantity, factor to the common unit, offset added before the factor); spellings below.
 UNITS = {
     "mm": ("length", 1.0, 0.0), "cm": ("length", 10.0, 0.0), "m": ("length", 1000.0, 0.0), "inch": ("length", 25.4, 0.0), "ft": ("length", 304.8, 0.0), "um": ("length", 0.001, 0.0), "km": ("length", 1e6, 0.0),
@@ -50,10 +56,12 @@ _CASED = {"MW": "MW", "mW": "mW", "MPa": "MPa", "mV": "mV", "MV": "MV", "mA": "m
 _LOOKUP = {s: u for u, line in SPELLINGS.items() for s in line.split()}
 _UPPER = {"mw": {"power": "MW"}, "mpa": {"pressure": "MPa"}, "mv": {"voltage": "mV"}}
 
-#: A device's readings are decoded in blocks of so many neighbouring record numbers, which bounds what a task holds.
+#: A device of more readings is decoded in blocks of so many neighbouring record numbers, which bounds what a task holds.
 BLOCK = 65_536
-#: Costs (negative log probabilities): a stated unit read as another; the rarer reading of an ambiguous comma; the scale and the most of a level jump.
-MISREAD, RARE_COMMA, JUMP_SCALE, JUMP_MOST = 12.0, 2.5, 0.02, 6.0
+#: Costs (negative log probabilities). A unit that stands beside the number isn't the one meant; the same for one that only
+#: the unit's own field has; the rarer reading of an ambiguous comma; the scale and the most of a level jump. A misread unit
+#: costs more than one jump and less than two: only a reading that leaves the level and comes back can be misread.
+MISREAD, MISREAD_FIELD, RARE_COMMA, JUMP_SCALE, JUMP_MOST = 10.0, 8.0, 2.5, 0.02, 6.0
 
 _NUM = re.compile(r"(?<![\w.,/])(?:[-−–]\s?)?(?:\d+\s+\d+/\d+|\d+/\d+|\d+(?:[.,'’   ]\d+)*)")
 _NOT_ONE = re.compile(r"±|\+/-|\d\s*(?:-|–|—|to|bis|\.\.\.?|…|~)\s*\d|^[~≈<>≤≥]|\bapprox|\bca\.|\bM\d|\bIP\d|\d\s*[x×]\s*\d", re.I)
@@ -96,9 +104,16 @@ def readings(text: str) -> tuple[tuple[float, float], ...]:
         return ()
 
 
+State = tuple[str, float, float, bool]
+
+
 @lru_cache(maxsize=200_000)
-def states(category: str, raw: str, value: str, unit: str) -> tuple[tuple[str, float, float], ...]:
-    """(unit, value in the common unit, emission cost) of the hidden states that a record allows; none unless it states one number."""
+def states(category: str, raw: str, value: str, unit: str) -> tuple[State, ...]:
+    """(unit, value in the common unit, emission cost, whether the unit is stated) of the hidden states of a record, stated ones first.
+
+    None unless the record states one number. Every unit of the quantity is possible: the stated one at no cost, others as
+    misread. A bare number states no unit; a number beside words that are no unit is none of these quantities.
+    """
     known = CATEGORY.get((category or "").strip().lower())
     if not known:
         return ()
@@ -117,86 +132,203 @@ def states(category: str, raw: str, value: str, unit: str) -> tuple[tuple[str, f
         before = re.search(r"(?:\(([^()]+)\)\s*=|\[([^\[\]]+)\]|\bin\s+([^:]+):)\s*$", text[: m.start()])
         if before:
             stated = unit_of(next(g for g in before.groups() if g), quantity)
+    misread = MISREAD
     if stated is None and unit:
-        stated = unit_of(unit, quantity)
+        stated, misread = unit_of(unit, quantity), MISREAD_FIELD
     ways = readings(m[0])
+    units = [u for u, x in UNITS.items() if x[0] == quantity]
     if stated:
-        allowed = [(stated, 0.0)]
+        allowed = [(stated, 0.0)] + [(u, misread) for u in units if u != stated]
+    elif not text[m.end() :].strip() and text[: m.start()].strip() == "" and not unit:
+        allowed = [(u, math.log(len(units))) for u in units]
     else:
-        allowed = [(u, 1.0) for u, x in UNITS.items() if x[0] == quantity] if not text[m.end() :].strip() and text[: m.start()].strip() == "" and not unit else []
-    return tuple((u, (v + UNITS[u][2]) * UNITS[u][1], cost + extra) for u, cost in allowed for v, extra in ways)
-
-
-def viterbi(chain: list[tuple[tuple[str, float, float], ...]]) -> list[int]:
-    """The cheapest states of a device's readings; the level may move smoothly or, at a bounded cost, jump."""
-    best = [s[2] for s in chain[0]]
-    back: list[list[int]] = []
-    logs = [[math.log(abs(s[1]) + 1e-12) for s in x] for x in chain]
-    for t in range(1, len(chain)):
-        now, from_ = [], []
-        for j, s in enumerate(chain[t]):
-            steps = [best[i] + min(JUMP_MOST, abs(logs[t][j] - logs[t - 1][i]) / JUMP_SCALE) for i in range(len(chain[t - 1]))]
-            k = min(range(len(steps)), key=steps.__getitem__)
-            now.append(steps[k] + s[2])
-            from_.append(k)
-        best = now
-        back.append(from_)
-    path = [min(range(len(best)), key=best.__getitem__)]
+        allowed = []
+    return tuple((u, (v + UNITS[u][2]) * UNITS[u][1], cost + extra, u == stated) for u, cost in allowed for v, extra in ways)
+
+
+def _levels(s: tuple[State, ...]) -> np.ndarray:
+    return np.log(np.abs([x[1] for x in s]) + 1e-12)
+
+
+def _steps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Costs of the transitions from states of levels a to states of levels b."""
+    return np.minimum(JUMP_MOST, np.abs(b[None, :] - a[:, None]) / JUMP_SCALE)
+
+
+def _costs(s: tuple[State, ...]) -> np.ndarray:
+    return np.array([x[2] for x in s])
+
+
+def viterbi(chain: list[tuple[State, ...]], first: int | None = None, last: int | None = None) -> list[int]:
+    """The cheapest states of a device's readings (the first of equals); first and last fix the states at the ends."""
+    if len(chain) < 3 and first is None:
+        # a misread unit saves one jump here and costs more, so stated readings keep their units
+        chain = [tuple(x for x in s if x[3]) or s for s in chain]
+        if len(chain) == 1:
+            return [min(range(len(chain[0])), key=lambda k: chain[0][k][2])]
+    best, at = _costs(chain[0]), _levels(chain[0])
+    if first is not None:
+        best = np.where(np.arange(len(best)) == first, best, np.inf)
+    back = []
+    for s in chain[1:]:
+        to = _levels(s)
+        ways = best[:, None] + _steps(at, to)
+        back.append(ways.argmin(axis=0))
+        best, at = ways.min(axis=0) + _costs(s), to
+    path = [int(best.argmin()) if last is None else last]
     for from_ in reversed(back):
-        path.append(from_[path[-1]])
+        path.append(int(from_[path[-1]]))
     return path[::-1]
 
 
-def normalise_quantities(specs: DataFrame) -> DataFrame:
+def block_matrix(chain: list[tuple[State, ...]]) -> np.ndarray:
+    """Cheapest cost from each first state (row) to each last state (column) of a block, emissions included."""
+    m = np.full((len(chain[0]),) * 2, np.inf)
+    np.fill_diagonal(m, _costs(chain[0]))
+    at = _levels(chain[0])
+    for s in chain[1:]:
+        to = _levels(s)
+        m = (m[:, :, None] + _steps(at, to)[None]).min(axis=1) + _costs(s)[None, :]
+        at = to
+    return m
+
+
+def block_ends(blocks: list[tuple[list[float], list[float], list[float]]]) -> list[tuple[int, int]]:
+    """(first, last) states of each block on the cheapest way through all, from (levels of the first states, of the last states, matrix row by row)."""
+    entries, sums = [], []
+    for k, (first, last, cells) in enumerate(blocks):
+        m = np.array(cells).reshape(len(first), len(last))
+        entry = np.zeros(len(first)) if k == 0 else (sums[-1][:, None] + _steps(np.array(blocks[k - 1][1]), np.array(first))).min(axis=0)
+        entries.append(entry)
+        sums.append((entry[:, None] + m).min(axis=0))
+    out, end = [], int(sums[-1].argmin())
+    for k in range(len(blocks) - 1, -1, -1):
+        first, last, cells = blocks[k]
+        start = int((entries[k] + np.array(cells).reshape(len(first), len(last))[:, end]).argmin())
+        out.append((start, end))
+        if k:
+            end = int((sums[k - 1] + _steps(np.array(blocks[k - 1][1]), np.array(first))[:, start]).argmin())
+    return out[::-1]
+
+
+DEVICE = ["message_id", "category", "subject"]
+_OUT = "spec_id long, message_id string, category string, subject string, unit_read string, common_unit string, common_value double, stated boolean"
+_FIELDS = ["spec_id", *DEVICE, "raw_match", "value", "unit"]
+
+
+def _chains(batches: Iterator[pd.DataFrame], extra: list[str]) -> Iterator[tuple[tuple, list]]:
+    """(device and the columns of extra, its readings with their states) of rows that are sorted by these."""
+    key, held = None, []
+    for pdf in batches:
+        for sid, mid, cat, sub, raw, val, unit, *more in zip(*[pdf[c].tolist() for c in [*_FIELDS, *extra]]):
+            k = (mid, cat, sub, *more)
+            if k != key:
+                if held:
+                    yield key, held
+                key, held = k, []
+            s = states(cat, raw or "", val or "", unit or "")
+            if s:
+                held.append((sid, s))
+    if held:
+        yield key, held
+
+
+def _read(key: tuple, held: list, path: list[int]) -> list[tuple]:
+    mid, cat, sub = key[:3]
+    if not any(s[0][3] for _, s in held) and len(key) == 3:
+        return []  # nothing tells the unit
+    full = [s if len(held) > 2 or len(key) > 3 else tuple(x for x in s if x[3]) or s for _, s in held]
+    common = CATEGORY[cat.strip().lower()][1]
+    return [(sid, mid, cat, sub, s[i][0], common, s[i][1], s[i][3]) for (sid, _), s, i in zip(held, full, path)]
+
+
+def _frames(rows: Iterator[list[tuple]], names: list[str]) -> Iterator[pd.DataFrame]:
+    out: list[tuple] = []
+    for r in rows:
+        out += r
+        if len(out) >= 8192:
+            yield pd.DataFrame(out, columns=names)
+            out = []
+    yield pd.DataFrame(out, columns=names)
+
+
+def normalise_quantities(specs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(spec_id, message_id, category, subject, unit_read, common_unit, common_value, stated) for records that state one number.
 
-    Ranges, tolerances, ratings, designations, numbers without a unit that nothing tells, unknown categories and NULLs give
-    no row. A device's readings come in order of spec_id in blocks of BLOCK record numbers, so a device that holds a third
-    of all rows is decoded by many tasks; a block starts without memory of the one before.
+    stated: the unit is the one that the record states. Ranges, tolerances, ratings, designations, unknown categories and
+    NULLs give no row, nor do the numbers of a device of which no reading states a unit. A device's readings come in
+    order of spec_id. Devices of more than `block` readings are decoded block by block by many tasks, with the same result.
     """
-    x = specs.select("spec_id", "message_id", "category", "subject", "raw_match", "value", "unit").where("spec_id IS NOT NULL AND category IS NOT NULL AND coalesce(raw_match, value) IS NOT NULL")
-    x = x.withColumn("_mw_block", F.expr(f"spec_id div {BLOCK}")).withColumn("_mw_device", F.xxhash64("message_id", "category", "subject", "_mw_block"))
-    x = x.repartition("_mw_device").sortWithinPartitions("_mw_device", "message_id", "category", "subject", "spec_id")
+    x = specs.select(*_FIELDS).where("spec_id IS NOT NULL AND category IS NOT NULL AND coalesce(raw_match, value) IS NOT NULL").withColumn("_mw_device", F.xxhash64(*DEVICE))
+    hot = x.groupBy("_mw_device").agg(F.count("*").alias("n")).where(F.col("n") > block).select("_mw_device")
+    names = [f.split(" ")[0] for f in _OUT.split(", ")]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
-
-        def flush() -> list[tuple]:
-            if not held:
-                return []
-            path = viterbi([h[1] for h in held])
-            return [(h[0][0], h[0][1], h[0][2], h[0][3], h[1][i][0], CATEGORY[h[0][2].strip().lower()][1], h[1][i][1], h[2]) for h, i in zip(held, path)]
-
-        for pdf in batches:
-            out: list[tuple] = []
-            for sid, mid, cat, sub, raw, val, unit in zip(*[pdf[c].tolist() for c in ("spec_id", "message_id", "category", "subject", "raw_match", "value", "unit")]):
-                s = states(cat, raw or "", val or "", unit or "")
-                k = (mid, cat, sub, sid // BLOCK)
-                if k != key:
-                    out += flush()
-                    key, held = k, []
-                if s:
-                    held.append(((sid, mid, cat, sub), s, len({y[0] for y in s}) == 1))
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(flush(), columns=names)
+        return _frames((_read(key, held, viterbi([s for _, s in held])) for key, held in _chains(batches, [])), names)
+
+    hot = cut_lineage(hot)
+    if hot.isEmpty():
+        return x.repartition("_mw_device").sortWithinPartitions("_mw_device", *DEVICE, "spec_id").select(*_FIELDS).mapInPandas(decode, _OUT)
+    few = x.join(hot, "_mw_device", "left_anti").repartition("_mw_device").sortWithinPartitions("_mw_device", *DEVICE, "spec_id").select(*_FIELDS).mapInPandas(decode, _OUT)
+    return few.unionByName(_in_blocks(x.join(hot, "_mw_device", "left_semi"), block, names))
+
+
+def _in_blocks(x: DataFrame, block: int, names: list[str]) -> DataFrame:
+    """The same for long devices: matrices of the blocks, their ends by one pass over a device's matrices, then each block alone."""
+    x = x.withColumn("block", F.expr(f"spec_id div {block}"))
+    cols = [*_FIELDS, "block"]
+    parts = x.select(*cols).repartition("message_id", "category", "subject", "block").sortWithinPartitions(*DEVICE, "block", "spec_id")
+    lists = ["first", "last", "cells"]
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(key: tuple, held: list) -> list[tuple]:
+            chain = [s for _, s in held]
+            return [(*key, any(s[0][3] for s in chain), _levels(chain[0]).tolist(), _levels(chain[-1]).tolist(), block_matrix(chain).ravel().tolist())]
+
+        return _frames((one(key, held) for key, held in _chains(batches, ["block"])), [*DEVICE, "block", "tells", *lists])
+
+    schema = "message_id string, category string, subject string, block long, tells boolean, first array<double>, last array<double>, cells array<double>"
+    sums = parts.mapInPandas(summarise, schema)
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        if not pdf["tells"].any():
+            pdf = pdf.iloc[:0]
+        ends = block_ends(list(zip(*[pdf[c].tolist() for c in lists]))) if len(pdf) else []
+        return pdf[[*DEVICE, "block"]].assign(at_first=[e[0] for e in ends], at_last=[e[1] for e in ends])
+
+    # a group here is one matrix per block of a device: 65,536 readings are a few kilobytes
+    ends = sums.groupBy(*DEVICE).applyInPandas(choose, "message_id string, category string, subject string, block long, at_first int, at_last int")
+    ends = ends.select(*[F.col(c).alias(f"_{c}") for c in [*DEVICE, "block"]], "at_first", "at_last")
+    same = F.lit(True)
+    for c in [*DEVICE, "block"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    y = x.join(ends, same).select(*cols, "at_first", "at_last").repartition("message_id", "category", "subject", "block").sortWithinPartitions(*DEVICE, "block", "spec_id")
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames((_read(key, held, viterbi([s for _, s in held], int(key[4]), int(key[5]))) for key, held in _chains(batches, ["block", "at_first", "at_last"])), names)
 
-    names = ["spec_id", "message_id", "category", "subject", "unit_read", "common_unit", "common_value", "stated"]
-    return x.select("spec_id", "message_id", "category", "subject", "raw_match", "value", "unit").mapInPandas(decode, "spec_id long, message_id string, category string, subject string, unit_read string, common_unit string, common_value double, stated boolean")
+    return y.mapInPandas(decode, _OUT)
 
 
 def same_quantities(specs: DataFrame, relative: float = 0.005, kelvin: float = 0.5) -> DataFrame:
     """(spec_id_a, spec_id_b), a < b: records of one message, category and subject that mean the same in different units.
 
-    The join is on the key and a bucket of the value as wide as the tolerance (logarithmic; linear for temperatures), with
-    one side in its neighbouring buckets too: only records that are close meet, never all of a key.
+    Records that say the same value in the same unit are a class; only classes are compared. The join is on the key and a
+    bucket of the value as wide as the tolerance (logarithmic; linear for temperatures), with one side in its neighbouring
+    buckets too: only classes that are close meet, never all of a key. Pairs of records come from the classes' members.
     """
-    q = normalise_quantities(specs).where("message_id IS NOT NULL AND subject IS NOT NULL AND common_value IS NOT NULL")
+    q = cut_lineage(normalise_quantities(specs).where("message_id IS NOT NULL AND subject IS NOT NULL AND common_value IS NOT NULL"))
     heat = F.col("common_unit") == "K"
     width = -math.log(1 - relative)
     bucket = F.when(heat, F.floor(F.col("common_value") / kelvin)).when(F.col("common_value") == 0, F.lit(-(10**9))).otherwise(F.floor(F.log(F.abs("common_value")) / width)).cast("long")
-    q = q.withColumn("bucket", bucket).select("spec_id", "message_id", "category", "subject", "unit_read", "common_unit", "common_value", "bucket")
-    a = q.select("message_id", "category", "subject", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), F.col("spec_id").alias("spec_id_a"), F.col("unit_read").alias("unit_a"), F.col("common_value").alias("va"), "common_unit")
-    b = q.select("message_id", "category", "subject", "bucket", F.col("spec_id").alias("spec_id_b"), F.col("unit_read").alias("unit_b"), F.col("common_value").alias("vb"))
+    same = [*DEVICE, "unit_read", "common_unit", "common_value"]
+    c = q.groupBy(*same).agg(F.min("spec_id").alias("id")).withColumn("bucket", bucket)
+    a = c.select(*DEVICE, F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), F.col("id").alias("id_a"), F.col("unit_read").alias("unit_a"), F.col("common_value").alias("va"), "common_unit")
+    b = c.select(*DEVICE, "bucket", F.col("id").alias("id_b"), F.col("unit_read").alias("unit_b"), F.col("common_value").alias("vb"))
     gap = F.abs(F.col("va") - F.col("vb"))
     near = F.when(F.col("common_unit") == "K", gap <= kelvin + 1e-9).otherwise(gap <= relative * F.greatest(F.abs("va"), F.abs("vb")) * (1 + 1e-12))
-    return a.join(b, ["message_id", "category", "subject", "bucket"]).where((F.col("spec_id_a") < F.col("spec_id_b")) & (F.col("unit_a") != F.col("unit_b")) & near).select("spec_id_a", "spec_id_b")
+    close = a.join(b, [*DEVICE, "bucket"]).where((F.col("id_a") < F.col("id_b")) & (F.col("unit_a") != F.col("unit_b")) & near).select(*DEVICE, "id_a", "unit_a", "va", "id_b", "unit_b", "vb")
+    members = lambda s: q.select(*DEVICE, F.col("unit_read").alias(f"unit_{s}"), F.col("common_value").alias(f"v{s}"), F.col("spec_id").alias(f"spec_{s}"))
+    pairs = close.join(members("a"), [*DEVICE, "unit_a", "va"]).join(members("b"), [*DEVICE, "unit_b", "vb"])
+    return pairs.select(F.least("spec_a", "spec_b").alias("spec_id_a"), F.greatest("spec_a", "spec_b").alias("spec_id_b")).distinct()
