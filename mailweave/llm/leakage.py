@@ -5,25 +5,28 @@ shared run of at least w+k-1 words leaves a common fingerprint. Items' fingerpri
 hits are extended along their diagonals, and a hit counts if it follows enough running words of the item with few
 words changed.
 
-The defaults guarantee 5-word runs: a passage of 15 words with two of them changed can't avoid one.
+The defaults guarantee 5-word runs: a passage of 15 words with two of them changed can't avoid one. A longer passage
+with one change in seven words has a part of 15 to 29 words of which that holds too (cut it into such parts: one has no
+more than its share of the changes), with at most four changes, so it leaves its diagonal by at most four words.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailweave.functions.arrow import flat_map, flat_map_batches
+from mailweave.functions.arrow import flat_map_batches
 
 K, WINDOW = 4, 2
 #: Running words of an item that make a passage, and the words per change that are allowed.
 MIN_WORDS, PER_EDIT = 15, 7
-#: The items' side is broadcast while it has at most so many fingerprints (16 bytes each); beyond, the fingerprints are joined by shuffle.
-BROADCAST_FINGERPRINTS = 2_000_000
+#: Words of the items in one index (some 40 bytes each). More items are searched for in blocks, each in a pass of its own.
+BLOCK_WORDS = 2_000_000
 #: A passage of MIN_WORDS words in which MIN_WORDS // PER_EDIT are changed keeps at least so many k-grams (runs of 5, 4 and 4 words).
 MIN_GRAMS = (MIN_WORDS - MIN_WORDS // PER_EDIT) - (MIN_WORDS // PER_EDIT + 1) * (K - 1)
 _LABEL = re.compile(r"^[ \t>]*(?:[-*•–]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)]|(?:[Qq]|[Aa]|[Ff]rage|[Aa]ntwort|[Qq]uestion|[Aa]nswer|[Ii]tem|[Tt]ask)(?: ?\d{1,4})?:)[ \t]+", re.M)
@@ -101,10 +104,11 @@ def winnow(g: np.ndarray, w: int = WINDOW) -> np.ndarray:
     return np.unique(best)
 
 
-def follows(doc: np.ndarray, item: np.ndarray, numeric: np.ndarray, shift: int, band: int = 12) -> bool:
+def follows(doc: np.ndarray, item: np.ndarray, numeric: np.ndarray, shift: int, band: int = 16) -> bool:
     """Whether doc follows MIN_WORDS or more running words of item near the diagonal doc = item + shift, with at most one change in PER_EDIT.
 
-    Words are compared on the diagonals of a band; a step to another diagonal costs the words inserted. A stretch whose
+    Words are compared on the diagonals of a band; a step to another diagonal costs the words inserted. The band is the 16
+    diagonals that a hit's bucket and the next one hold, with 8 more on either side, twice what changes can shift. A stretch whose
     figures mostly differ from the item's is another question of the same pattern, not a passage.
     """
     n, m = len(item), len(doc)
@@ -127,7 +131,7 @@ def follows(doc: np.ndarray, item: np.ndarray, numeric: np.ndarray, shift: int,
     d = 2 * band + 1
     step = np.arange(d)[:, None] - np.arange(d)[None, :]  # to row from column
     step = np.where(step >= 0, step, 10**6).astype(float)
-    miss = np.where(same, 0.0, 1.0)
+    miss = np.where(same, -1e-6, 1.0)  # of ways that cost the same, the one that meets more words
     cost = miss[:, 0]
     back = np.zeros((n, d), int)
     lanes = np.arange(d)
@@ -221,15 +225,13 @@ class Index:
         if not len(pos) or not np.isin(pos, winnow(g), assume_unique=True).any():
             return []
         # extend: all k-grams that a document with a common fingerprint shares with items, counted by item and diagonal
-        lo, hi = max(0, int(pos[0]) - 200), int(pos[-1]) + 200
-        g = g[lo:hi]
         at = np.searchsorted(self.grams, g)
         at[at == len(self.grams)] = 0
         pos = np.nonzero(self.grams[at] == g)[0]
         at = at[pos]
         n = self.starts[at + 1] - self.starts[at]
         flat = np.repeat(self.starts[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        where = self.owner[flat] * 2**32 + ((np.repeat(pos + lo, n) - self.place[flat]) >> 3) + 2**20
+        where = self.owner[flat] * 2**32 + ((np.repeat(pos, n) - self.place[flat]) >> 3) + 2**20
         keys, counts = np.unique(where, return_counts=True)
         if len(keys) > 1:  # a passage may lie across two buckets of diagonals
             pair = np.concatenate((np.diff(keys) == 1, [False]))
@@ -246,42 +248,37 @@ class Index:
         return sorted(self.ids[n] for n in found)
 
 
+def _blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple]]:
+    """The items in lists of at most BLOCK_WORDS words (or one longer item), one after the other."""
+    block: list[tuple] = []
+    size = 0
+    for i, text in items.select(item_id, item_text).where(f"{item_id} IS NOT NULL AND length({item_text}) > 0").toLocalIterator():
+        n = len(text.split())
+        if block and size + n > BLOCK_WORDS:
+            yield block
+            block, size = [], 0
+        block.append((i, text))
+        size += n
+    yield block
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id), distinct: documents that hold a passage of an item.
 
-    NULL and empty texts on either side hold nothing; items shorter than MIN_WORDS can't leak. Documents are read
-    whole, in one pass without shuffle, against the broadcast index; with more than BROADCAST_FINGERPRINTS on the
-    items' side the fingerprints of both sides are joined by shuffle instead and only the hits are extended.
+    NULL and empty texts on either side hold nothing; items shorter than MIN_WORDS can't leak. The items are a stated query
+    set against all documents: each block of at most BLOCK_WORDS of their words is sent as an index, and documents are
+    read whole, in one pass without shuffle per block. A gram that a third of the documents hold pairs nothing by itself.
     """
-    bound = items.select(F.sum(F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), r"\s+")))).first()[0] or 0
     schema = f"{id_col} {documents.schema[id_col].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}"
-    if bound > BROADCAST_FINGERPRINTS:
-        return _leaked_by_join(documents, items, id_col, text_col, item_id, item_text, schema)
-    index = documents.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in items.select(item_id, item_text).where(f"{item_text} IS NOT NULL").collect()]))
-
-    def make() -> object:
-        idx = index.value
-        return lambda docs, texts: ((d, i) for d, found in zip(docs, idx.search(texts)) for i in found)
-
-    return flat_map_batches(documents.where(f"length({text_col}) > 0").select(id_col, text_col), make, schema).distinct()
-
-
-def _leaked_by_join(documents: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, schema: str) -> DataFrame:
-    """The same with both sides' fingerprints joined by shuffle, for item sets too large to broadcast."""
-
-    def prints() -> object:
-        def one(key: object, text: str) -> list[tuple]:
-            g = kgrams(hashed_words([text])[0])
-            return [(key, x) for x in np.unique(g[winnow(g)]).view(np.int64).tolist()]
-
-        return one
-
-    side = lambda df, key, text: flat_map(df.where(f"length({text}) > 0").select(key, text), prints, f"key {df.schema[key].dataType.simpleString()}, print long")
-    d, i = side(documents, id_col, text_col), side(items, item_id, item_text)
-    pairs = d.withColumnRenamed("key", id_col).join(i.withColumnRenamed("key", item_id), "print").select(id_col, item_id).distinct()
-    both = pairs.join(documents.select(id_col, F.col(text_col).alias("_mw_doc")), id_col).join(items.select(item_id, F.col(item_text).alias("_mw_item")), item_id)
-
-    def verify() -> object:
-        return lambda doc, item, text, passage: [(doc, item)] if Index([(0, passage)]).search([text])[0] else []
-
-    return flat_map(both.select(id_col, item_id, "_mw_doc", "_mw_item"), verify, schema).distinct()
+    texts = documents.where(f"length({text_col}) > 0").select(id_col, text_col)
+    out = None
+    for block in _blocks(items, item_id, item_text):
+        index = documents.sparkSession.sparkContext.broadcast(Index(block))
+
+        def make(index: object = index) -> object:
+            idx = index.value
+            return lambda docs, batch: ((d, i) for d, found in zip(docs, idx.search(batch)) for i in found)
+
+        x = flat_map_batches(texts, make, schema)
+        out = x if out is None else out.unionByName(x)
+    return out.distinct()

@@ -120,6 +120,25 @@ def test_passages_with_few_or_no_figures():
     assert found(figure, w[:6], ["also", "43", "odd"], w[9:15]) == []
 
 
+def test_no_placement_of_two_edits_is_missed():
+    """Every pair of places, three kinds of edits, without and with figures, in a long text with other hits: all are found."""
+    for item in (WORDS[:15], [*WORDS[:6], "42", *WORDS[7:15]]):
+        index = L.Index([(1, " ".join(item)), (2, " ".join(WORDS[15:36]))])
+        filler = "filler " * 400
+        for a in range(1, 14):
+            for b in range(a + 1, 14):
+                for kind in ("change", "drop", "add"):
+                    if kind == "drop" and "42" in (item[a], item[b]):
+                        continue
+                    w = list(item)
+                    for at in (b, a):
+                        if "42" in (w[at],):
+                            continue
+                        w[at : at + 1] = {"change": ["other"], "drop": [], "add": [w[at], "more"]}[kind]
+                    text = f"{' '.join(WORDS[15:19])} {filler} {' '.join(w)} {filler} {' '.join(WORDS[20:24])}"
+                    assert index.search([text])[0] == [1], (a, b, kind)
+
+
 def test_words_broken_at_line_ends():
     w = WORDS[:15]
     broken = " ".join(f"{x[:2]}-\n{x[2:]}" if k % 5 == 2 else x for k, x in enumerate(w))
@@ -134,7 +153,7 @@ def test_leaked_items_both_ways(spark, monkeypatch):
     b = spark.createDataFrame(items, "item_id long, text string")
     want = {(d, d % 8) for d in range(24) if d % 3 == 0}
     assert {tuple(r) for r in L.leaked_items(a, b).collect()} == want
-    monkeypatch.setattr(L, "BROADCAST_FINGERPRINTS", 0)
+    monkeypatch.setattr(L, "BLOCK_WORDS", 100)
     assert {tuple(r) for r in L.leaked_items(a, b).collect()} == want
     assert L.leaked_items(a, b.limit(0)).count() == 0 and L.leaked_items(a.limit(0), b).count() == 0
 
