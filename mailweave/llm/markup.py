@@ -1,9 +1,12 @@
 """Clean text out of HTML, Markdown, wiki and LaTeX markup (problem 1).
 
-Constructs are recognised first; only texts that hold some are parsed. HTML becomes a tree: paragraphs pass points for
-length and commas to their ancestors, discounted by link density; the best container and its siblings of weight are
-kept, so navigation and link farms fall away. The other notations are rewritten line by line. Headings, lists, code
-blocks, tables and formulas keep a uniform plain form: `# heading`, `- item`, fenced code, `a | b` rows, `$formula$`.
+Constructs are recognised first; only texts that hold some are parsed. Every such text becomes a tree, of its elements
+(HTML) or of its blocks and links (other notations): paragraphs pass points for length and commas to their ancestors,
+discounted by link density; the best container is kept with its siblings, and on the way up whatever isn't links, so
+navigation and link farms fall away. Notations are rewritten to a uniform plain form: headings, lists, code blocks,
+tables and formulas stay as `# heading`, `- item`, fenced code, `a | b` rows, `$formula$`.
+
+The tree is built and walked with explicit stacks: depth costs nothing but memory, and work is linear in the text.
 """
 
 from __future__ import annotations
@@ -34,11 +37,11 @@ CONSTRUCTS: dict[str, tuple[str, tuple[str, ...], re.Pattern]] = {
     "heading": ("markdown", ("# ",), re.compile(_LEAD + r"#{2,6} +\S|" + _LEAD + r"# +[A-Z]", re.M)),
     "fence": ("markdown", ("```", "~~~"), re.compile(_LEAD + r"(?:```|~~~)", re.M)),
     "bold": ("markdown", ("**",), re.compile(r"(?<![\w*])\*\*(?=[^\s*])[^*\n]*(?:\n[^*\n]+)?(?<=\S)\*\*(?![\w*])")),
-    "bold_underscore": ("markdown", ("__",), re.compile(r"(?<![\w_])__(?=[^\s_])[^_]{1,200}(?<=[^\s_])__(?![\w_])")),
-    "italic": ("markdown", ("*",), re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]{1,80}(?:\n[^*\n]{1,80})?(?<=[^\s*])\*(?![\w*])")),
-    "italic_underscore": ("markdown", ("_",), re.compile(r"(?<![\w_])_(?=[^\s_])[^_\n]{1,80}(?:\n[^_\n]{1,80})?(?<=[^\s_])_(?![\w_])")),
-    "strike": ("markdown", ("~~",), re.compile(r"~~(?=[^\s~])[^~]{1,200}(?<=[^\s~])~~")),
-    "link": ("markdown", ("](",), re.compile(r"!?\[[^\[\]]{0,200}\]\([^()\s]+(?:\s[^()]*)?\)")),
+    "bold_underscore": ("markdown", ("__",), re.compile(r"(?<![\w_])__(?=[^\s_])(?:[^_\n]|\n(?!\s*\n))+(?<=[^\s_])__(?![\w_])")),
+    "italic": ("markdown", ("*",), re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]+(?:\n[^*\n]+)?(?<=[^\s*])\*(?![\w*])")),
+    "italic_underscore": ("markdown", ("_",), re.compile(r"(?<![\w_])_(?=[^\s_])[^_\n]+(?:\n[^_\n]+)?(?<=[^\s_])_(?![\w_])")),
+    "strike": ("markdown", ("~~",), re.compile(r"~~(?=[^\s~])(?:[^~\n]|\n(?!\s*\n))+(?<=[^\s~])~~")),
+    "link": ("markdown", ("](",), re.compile(r"!?\[[^\[\]]*\]\([^()\s]+(?:\s[^()]*)?\)")),
     "table_rule": ("markdown", ("---",), re.compile(_LEAD + r"\|?\s*:?-{3,}:?\s*\|[-:|\s]*$", re.M)),
     "table_row": ("markdown", ("|",), re.compile(r"^[>\s]*\|[^|\n]+\|[^\n]*\|\s*$", re.M)),
     "code": ("markdown", ("`",), re.compile(r"(?<!`)`[^`\n]+(?:\n[^`\n]+)?`(?!`)")),
@@ -62,50 +65,80 @@ def constructs(text: str | None) -> list[str]:
 
 
 class Node:
-    """An element with its children (elements and strings) and its score."""
+    """An element with its children (elements and strings), its score, and the sizes of its text: characters, commas, characters and number of links."""
 
-    __slots__ = ("tag", "children", "parent", "score", "href")
+    __slots__ = ("tag", "children", "parent", "score", "size", "commas", "linked", "links", "blocks")
 
     def __init__(self, tag: str, parent: Node | None = None) -> None:
-        self.tag, self.parent, self.children, self.score, self.href = tag, parent, [], 0.0, False
+        self.tag, self.parent, self.children, self.score = tag, parent, [], 0.0
+        self.size = self.commas = self.linked = self.links = self.blocks = 0
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, todo = [], [self]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(x)
+            else:
+                todo.extend(reversed(x.children))
+        return "".join(out)
+
+    @property
+    def density(self) -> float:
+        """The share of the text that is links."""
+        return self.linked / self.size if self.size else 0.0
+
+    @property
+    def farm(self) -> bool:
+        """Links and little else: navigation, lists of links."""
+        return self.links >= FARM_LINKS and self.density > FARM_DENSITY
+
+
+#: So many links that make up more than this share of a block's text are a link farm.
+FARM_LINKS, FARM_DENSITY = 3, 0.5
+_SCOPES = ("ul", "ol", "table", "tbody", "div", "body", "blockquote", "root")
 
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("root")
+        self.root = Node("root")
+        self.open = [self.root]
+        self.where: dict[str, list[int]] = {"root": [0]}  # tag -> its places among the open elements
+
+    def _last(self, tag: str) -> int:
+        places = self.where.get(tag)
+        return places[-1] if places else -1
+
+    def _close(self, to: int) -> None:
+        """Close all open elements from place `to` on."""
+        while len(self.open) > max(to, 1):
+            self.where[self.open.pop().tag].pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in _ELEMENT_SET:
-            self.at.children.append(self.get_starttag_text() or "")
+            self.open[-1].children.append(self.get_starttag_text() or "")
             return
-        if tag in ("p", "li", "tr", "td", "th"):
-            x = self.at
-            while x.parent and x.tag not in ("ul", "ol", "table", "tbody", "div", "body", "blockquote", "root"):
-                if x.tag == tag or (tag == "tr" and x.tag in ("td", "th")):
-                    self.at = x.parent
-                    break
-                x = x.parent
-        node = Node(tag, self.at)
-        node.href = tag == "a"
-        self.at.children.append(node)
+        if tag in ("p", "li", "tr", "td", "th"):  # an open one of the same scope ends here
+            scope = max(self._last(t) for t in _SCOPES)
+            ends = [at for t in ((tag, "td", "th") if tag == "tr" else (tag,)) if (at := self._last(t)) > scope]
+            if ends:
+                self._close(min(ends))
+        node = Node(tag, self.open[-1])
+        self.open[-1].children.append(node)
         if tag not in VOID:
-            self.at = node
+            self.where.setdefault(tag, []).append(len(self.open))
+            self.open.append(node)
 
     def handle_endtag(self, tag: str) -> None:
-        x = self.at
-        while x.parent and x.tag != tag:
-            x = x.parent
-        if x.parent:
-            self.at = x.parent
+        at = self._last(tag)
+        if at > 0:
+            self._close(at)
         elif tag not in _ELEMENT_SET:
-            self.at.children.append(f"</{tag}>")
+            self.open[-1].children.append(f"</{tag}>")
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        self.open[-1].children.append(data)
 
 
 _ELEMENT_SET = set(ELEMENTS)
@@ -119,85 +152,132 @@ def parse(source: str) -> Node:
     return b.root
 
 
-def link_density(node: Node) -> float:
-    total = len(node.text()) or 1
-
-    def linked(x: Node) -> int:
-        return sum(len(c.text()) if c.href else linked(c) for c in x.children if isinstance(c, Node))
-
-    return linked(node) / total
-
-
-def kept_nodes(root: Node) -> list[Node]:
-    """The best container with its siblings of weight, in document order; the root if no container stands out.
+_LINKS = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]+(?:\s[^()]*)?\)|\[\[(?:[^|\]]*\|)?([^\]]*)\]\]|\[https?://\S+ ([^\]]+)\]|\[([^\[\]|\n]+)\|https?://[^\]]+\]|\\href\{[^}]*\}\{([^}]*)\}")
+
+
+def block_tree(text: str) -> Node:
+    """The tree of a text in another notation: a block per run of lines between blank ones (a code block is one), its links as elements."""
+    root = Node("root")
+    for n, part in enumerate(re.split(r"(```[^\n]*\n.*?```|\n[ \t]*\n\s*)", text, flags=re.S)):
+        if n % 2:
+            if part.startswith("```"):
+                root.children.append(Node("pre", root))
+                root.children[-1].children.append(part)
+            else:
+                root.children.append(part)
+            continue
+        if not part:
+            continue
+        block = Node("p", root)
+        root.children.append(block)
+        at = 0
+        for m in _LINKS.finditer(part):
+            block.children.append(part[at : m.start()])
+            link = Node("a", block)
+            link.children.append(m[0])
+            block.children.append(link)
+            at = m.end()
+        block.children.append(part[at:])
+    return root
+
+
+def score(root: Node) -> list[Node]:
+    """Sizes of all nodes and scores of containers, in two passes bottom-up; the containers.
 
     A paragraph gives 1 point, 1 a comma and up to 3 for its length; its parent gets all, the grandparent half.
     """
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        if x.tag not in DROPPED:
+            todo.extend(c for c in x.children if not isinstance(c, str))
     seen: list[Node] = []
-
-    def walk(x: Node) -> None:
+    for x in reversed(order):
         if x.tag in DROPPED:
-            return
-        inner = [c for c in x.children if isinstance(c, Node)]
-        if x.tag in ("p", "li", "td", "pre", "blockquote", "div") and not any(c.tag in BLOCKS for c in inner):
-            text = x.text().strip()
-            if len(text) >= 25:
-                points = 1 + text.count(",") + min(len(text) / 100, 3)
-                for up, share in ((x.parent, 1.0), (x.parent.parent if x.parent else None, 0.5)):
-                    if up:
-                        if not up.score:
-                            seen.append(up)
-                        up.score += points * share
-        for c in inner:
-            walk(c)
-
-    walk(root)
+            continue
+        for c in x.children:
+            if isinstance(c, str):
+                x.size += len(" ".join(c.split()))
+                x.commas += c.count(",")
+            else:
+                x.size, x.commas, x.linked, x.links = x.size + c.size, x.commas + c.commas, x.linked + c.linked, x.links + c.links
+                x.blocks += c.blocks + (c.tag in BLOCKS)
+        if x.tag == "a":
+            x.linked, x.links = x.size, 1
+    for x in order:
+        if x.tag in ("p", "li", "td", "pre", "blockquote", "div") and not x.blocks and x.size >= 25:
+            points = 1 + x.commas + min(x.size / 100, 3)
+            for up, share in ((x.parent, 1.0), (x.parent.parent if x.parent else None, 0.5)):
+                if up:
+                    if not up.score:
+                        seen.append(up)
+                    up.score += points * share
     for x in seen:
-        x.score *= 1 - link_density(x)
-    best = max(seen, key=lambda x: x.score, default=root)
-    if best is root or best.parent is None or best.tag in ("body", "html", "ul", "ol", "table", "tbody", "tr", "blockquote", "li"):
+        x.score *= 1 - x.density
+    return seen
+
+
+def kept_nodes(root: Node) -> list[Node | str]:
+    """The best container with its siblings, and with what isn't a link farm beside it further up and in it, in document order.
+
+    The root is taken for a container if no other stands out. A text that is a link farm as a whole is kept whole.
+    """
+    best = max(score(root), key=lambda x: x.score, default=root)
+    if root.farm and best.score <= 0:
         return [root]
-    keep = []
-    for c in best.parent.children:
-        if not isinstance(c, Node):
-            keep.append(c)
-        elif c is best or c.score >= 0.2 * best.score or link_density(c) < 0.5:
-            keep.append(c)
-    return keep
-
-
-def render(node: Node | str, out: list[str], mark: str = "") -> None:
-    """Append node's plain text to out; line breaks are explicit, source line ends count as blanks outside code."""
-    if isinstance(node, str):
-        out.append(node)
-        return
-    tag = node.tag
-    if tag in DROPPED:
-        return
-    if tag == "br":
-        out.append("\n")
-    elif tag == "hr":
-        out.append("\n\n")
-    elif tag in ("pre", "syntaxhighlight"):
-        out.append("\n```\n" + node.text().strip("\n") + "\n```\n")
-    elif tag == "math":
-        out.append(f"${node.text().strip()}$")
-    elif tag[0] == "h" and tag[1:].isdigit():
-        out.append("\n\n" + "#" * int(tag[1:]) + " " + " ".join(node.text().split()) + "\n\n")
-    elif tag in ("tr",):
-        cells = [" ".join(c.text().split()) for c in node.children if isinstance(c, Node) and c.tag in ("td", "th")]
-        out.append("\n" + " | ".join(cells))
-    elif tag == "li":
-        out.append("\n- " if mark != "ol" else "\n1. ")
-        for c in node.children:
-            render(c, out)
-    else:
-        if tag in BLOCKS:
+    path = {id(best)}
+    up = best
+    while up.parent:
+        up = up.parent
+        path.add(id(up))
+    out: list[Node | str] = []
+    todo: list[Node | str] = [root]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif id(x) in path and any(not isinstance(c, str) and (id(c) in path or c.farm) for c in x.children) and x.tag in ("root", "html", "body", "div", "center", "span"):
+            todo.extend(reversed(x.children))  # its parts are judged one by one
+        elif id(x) in path or not x.farm or (x.parent and 0 < best.score * 0.2 <= x.score):
+            out.append(x)
+    return out
+
+
+def render(node: Node | str, out: list[str]) -> None:
+    """Append node's plain text to out; line breaks are explicit."""
+    todo: list[tuple[Node | str, bool, str]] = [(node, False, "")]
+    while todo:
+        x, after, mark = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        tag = x.tag
+        if after:
             out.append("\n")
-        for c in node.children:
-            render(c, out, tag)
-        if tag in BLOCKS:
+        elif tag in DROPPED:
+            continue
+        elif tag == "br":
             out.append("\n")
+        elif tag == "hr":
+            out.append("\n\n")
+        elif tag in ("pre", "syntaxhighlight"):
+            out.append("\n```\n" + x.text().strip("\n") + "\n```\n")
+        elif tag == "math":
+            out.append(f"${x.text().strip()}$")
+        elif tag[0] == "h" and tag[1:].isdigit():
+            out.append("\n\n" + "#" * int(tag[1:]) + " " + " ".join(x.text().split()) + "\n\n")
+        elif tag == "tr":
+            cells = [" ".join(c.text().split()) for c in x.children if not isinstance(c, str) and c.tag in ("td", "th")]
+            out.append("\n" + " | ".join(cells))
+        else:
+            block = tag in BLOCKS and tag != "li"
+            if tag == "li":
+                out.append("\n- " if mark != "ol" else "\n1. ")
+            elif block:
+                out.append("\n")
+                todo.append((x, True, ""))
+            todo.extend((c, False, "" if tag == "li" else tag) for c in reversed(x.children))
 
 
 #: Marks of quoted lines, kept by the rules for lines; the second leaves bars to tables.
@@ -221,8 +301,8 @@ _REWRITE = [
     (re.compile(r"^\|\s?(?=[^\n]*\|)([^\n]*?)\|?\s*$", re.M), lambda m: " | ".join(x.strip() for x in re.split(r"\|+", m[1]))), (re.compile(_QUOTE_NO_BAR + r"\|([^|\n]+\|[^\n]*)\|[ \t]*$", re.M), lambda m: m[1] + " | ".join(x.strip() for x in re.split(r"\|+", m[2]))),
     (re.compile(r"\[\[(?:File|Image|Datei):([^|\]]*)[^\]]*\]\]"), r"\1"), (re.compile(r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]"), r"\1"), (re.compile(r"\[https?://\S+ ([^\]]+)\]"), r"\1"), (re.compile(r"\[([^\[\]|\n]+)\|https?://[^\]]+\]"), r"\1"),
     (re.compile(r"!?\[([^\[\]]*)\]\([^()\s]+(?:\s[^()]*)?\)"), r"\1"), (re.compile(r"\{\{(?:[^|{}]*\|)?([^{}]*)\}\}"), r"\1"),
-    (re.compile(r"''+([^'\n]+(?:\n[^'\n]+)?)''+"), r"\1"), (re.compile(r"(?<![\w*])\*\*(?=[^\s*])([^*]{1,300}?)(?<=\S)\*\*(?![\w*])"), r"\1"), (re.compile(r"(?<![\w_])__(?=[^\s_])([^_]{1,200})(?<=\S)__(?![\w_])"), r"\1"),
-    (re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]{1,80}(?:\n[^*\n]{1,80})?)(?<=[^\s*])\*(?![\w*])"), r"\1"), (re.compile(r"(?<![\w_])_(?=[^\s_])([^_\n]{1,80}(?:\n[^_\n]{1,80})?)(?<=[^\s_])_(?![\w_])"), r"\1"), (re.compile(r"~~([^~]{1,200})~~"), r"\1"), (re.compile(r"(?<!`)`([^`\n]+(?:\n[^`\n]+)?)`(?!`)"), r"\1"), (re.compile(r"^\* (?=\S)", re.M), "- "),
+    (re.compile(r"''+([^'\n]+(?:\n[^'\n]+)?)''+"), r"\1"), (re.compile(r"(?<![\w*])\*\*(?=[^\s*])([^*\n]*(?:\n[^*\n]+)?)(?<=\S)\*\*(?![\w*])"), r"\1"), (re.compile(r"(?<![\w_])__(?=[^\s_])((?:[^_\n]|\n(?!\s*\n))+)(?<=[^\s_])__(?![\w_])"), r"\1"),
+    (re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]+(?:\n[^*\n]+)?)(?<=[^\s*])\*(?![\w*])"), r"\1"), (re.compile(r"(?<![\w_])_(?=[^\s_])([^_\n]+(?:\n[^_\n]+)?)(?<=[^\s_])_(?![\w_])"), r"\1"), (re.compile(r"~~(?=[^\s~])((?:[^~\n]|\n(?!\s*\n))+)(?<=[^\s~])~~"), r"\1"), (re.compile(r"(?<!`)`([^`\n]+(?:\n[^`\n]+)?)`(?!`)"), r"\1"), (re.compile(r"^\* (?=\S)", re.M), "- "),
 ]
 
 #: The rule of _REWRITE from which on all formulas stand between dollar signs.
@@ -246,6 +326,8 @@ def clean(text: str | None) -> tuple[str | None, list[str]]:
     elif "entity" in kinds:
         out = html.unescape(out)
     notations = {CONSTRUCTS[k][0] for k in kinds}
+    if "link" in kinds or "wiki_link" in kinds or "wiki_url" in kinds or "\\href" in out:
+        out = "".join(x if isinstance(x, str) else x.text() for x in kept_nodes(block_tree(out)))
     if notations != {"html"}:
         code: list[str] = []
 

@@ -166,3 +166,28 @@ def test_cut_documents(spark):
     share = {r["source"]: (r["n_docs"], r["n_cut"]) for r in T.cut_share(df).collect()}
     assert share["form"] == (8, 8) and share[None] == (1, 0)
     assert T.cut_documents(df.limit(0)).count() == 0
+
+
+def test_deep_and_unclosed_markup():
+    for source in ("<div>" * 100_000 + "text, of the mail" + "</div>" * 100_000, "<font>" * 100_000 + "text", "<p><font>" * 50_000 + "text", "</div>" * 100_000 + "<b>text</b>", "<table><tr><td>" * 30_000 + "text"):
+        out, kinds = M.clean(source)
+        assert "text" in out and "tag" in kinds
+
+
+def test_container_of_a_page():
+    nav = "<ul>" + "".join(f'<li><a href="/{k}">Section number {k}</a></li>' for k in range(8)) + "</ul>"
+    body = "".join(f"<p>Paragraph {k} tells, at some length, what the pump did, and why it was stopped.</p>" for k in range(4))
+    page = f'<html><head><title>t</title></head><body><div>{nav}</div><div><h1>Report</h1>{body}<p>See <a href="x">this</a>.</p></div><div>Short note</div><div>{nav}</div></body></html>'
+    out, _ = M.clean(page)
+    assert "Section number" not in out and all(f"Paragraph {k}" in out for k in range(4)) and "# Report" in out and "See this." in out and "Short note" in out
+    assert M.clean(f"<body>{nav}{body}</body>")[0].count("Section") == 0
+    assert M.clean(nav)[0].count("Section") == 8  # nothing else: kept whole
+    text = "\n".join(f"* [Section {k}](http://a.example/{k})" for k in range(5)) + "\n\nThe pump, as we wrote, was stopped after two hours of work.\n\nSee [the report](http://a.example/r), please."
+    assert M.clean(text)[0] == "The pump, as we wrote, was stopped after two hours of work.\n\nSee the report, please."
+
+
+def test_long_spans_are_markup():
+    long = "word " * 100 + "end"
+    for mark in ("*{}*", "_{}_", "**{}**", "__{}__", "~~{}~~", "[{}](http://a.example)"):
+        out, kinds = M.clean("so " + mark.format(long) + " on")
+        assert kinds and out == f"so {long} on"
