@@ -1,9 +1,10 @@
 """Texts that lost their end (problem 10).
 
 The vocabulary of the corpus, with how often each word ends a line or sentence, is a trie: a final word that the corpus
-doesn't know but that is a proper prefix of known words was cut. It is combined with what the last line is (prose
-without a full stop, a list item, a signature, a reference) and with length evidence: sources that cut at a fixed
-length show it as a length that many texts share exactly.
+doesn't know but that is a proper prefix of known words was cut, and so was a text whose last word never ends a line
+elsewhere. Length is evidence too: sources that cut at a fixed length have many more texts of exactly that length than of
+the lengths around it. Both are weighed together with the shape of the last line (prose without full stop, list item,
+signature, reference), of which punctuation is one feature; the sum decides, and the strongest evidence is the reason.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailweave.functions.arrow import flat_map, flat_map_batches
@@ -20,10 +21,16 @@ from mailweave.session import cut_lineage
 
 #: A word that occurs at least so often is known; one that ends fewer than 1 % of its lines isn't an ending.
 KNOWN, ENDING = 3, 0.01
-#: A length is a source's limit if it is its longest and at least so many texts and this share of its texts have it.
-LIMIT_TEXTS, LIMIT_SHARE = 5, 0.01
-#: Words after the last full stop beyond which a text never had any.
+#: A length is a limit of its source if at least so many texts have it, so many times as many as the mean of the lengths that
+#: occur within SPREAD, and more than chance gives (so many standard deviations of a Poisson count; the longest length of all needs none).
+LIMIT_TEXTS, LIMIT_EXCESS, SPREAD, DEVIATIONS = 5, 4.0, 100, 6.0
+#: Words after the last full stop from which on its absence says little: such texts have none anyway.
 UNPUNCTUATED = 40
+#: Evidence for a cut (log odds): half a character, a broken word, a word that never ends a line, the source's limit; by the shape
+#: of the last line; and for a name that signs several texts. A text is cut if the sum is above CUT.
+EVIDENCE = {"lost_end": 9.0, "broken_word": 4.0, "no_ending": 3.0, "at_limit": 3.0}
+SHAPE = {"end": -20.0, "prose": 2.0, "loose": -1.5, "item": -1.0, "dots": -1.0, "short": -2.0, "signed": -2.0, "lost": 0.0}
+SIGNS_SEVERAL, CUT = -2.0, 1.5
 
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _END = re.compile(r"[.!?…。！？।][\"”’»)\]]*$")
@@ -35,17 +42,18 @@ _CLOSED = re.compile(
 _ITEM = re.compile(r"(?:[-*•–]|\d{1,3}[.)])\s+\S")
 _ENDS = ".!?…:,;\x01"
 _UNFINISHED = re.compile(r"(?:,\s*\d*|\b[A-Z]{2}-\d{0,3}|[-:])$")  # no list item ends like this
+_LAST = re.compile(r"\S*\s*\Z")
 _SENTENCE = re.compile(r"[.!?…。][\"”’»)]*\s+")
 CLOSING = re.compile(r"^(?:best|kind|warm|many|with|yours|thanks|thx|cheers|br|regards|mit|viele|freundliche|cordialement|bien|saludos|atentamente|sincerely|mfg|rgds)\b", re.I)
 
-END, PROSE, ITEM, SIGNED, SHORT, LOST, DOTS = "end", "prose", "item", "signed", "short", "lost", "dots"
+END, PROSE, LOOSE, ITEM, SIGNED, SHORT, LOST, DOTS = "end", "prose", "loose", "item", "signed", "short", "lost", "dots"
 
 
 def ending(text: str) -> tuple[str, str, bool]:
     """(kind of the last line, its last word or "", whether a word cut is possible) of a text.
 
     end: closed by a full stop or a known closing form. lost: closed by half a character. dots: three dots, which a system may have put in place of what it cut.
-    prose: words without full stop. item, signed, short: lines that end without one anyway.
+    prose: words without full stop; loose: so many of them that there never was one. item, signed, short: lines that end without one anyway.
     """
     bare = text.rstrip()
     cut = bare.rfind("\n")
@@ -73,7 +81,7 @@ def ending(text: str) -> tuple[str, str, bool]:
         return SIGNED, word, True
     tail = _SENTENCE.split(last)[-1]
     if len(tail.split()) > UNPUNCTUATED:
-        return END, word, False
+        return LOOSE, word, True
     if len(last.split()) <= 3 and len(tail) == len(last) and (cut < 0 or re.match(r"[A-Z]", last)) and not before.endswith((",", "-")):
         return SHORT, word, True
     return PROSE, word, True
@@ -85,7 +93,7 @@ def _count_words() -> object:
     def batch(texts: list[str]) -> Iterable[tuple]:
         raw: Counter = Counter()
         for t in texts:
-            whole = t[: t.rfind("\n")] if "\n" in t else t[: max(t.rfind(". "), 0)]
+            whole = _LAST.sub("", t)
             raw.update(whole.replace("\n", "\x01 ").split())  # \x01 marks the end of a line
         n, ends = Counter(), Counter()
         for token, k in raw.items():
@@ -108,7 +116,7 @@ def _features() -> object:
 
 
 def vocabulary(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n, n_end) over all documents; a text's last line isn't counted, so cut words don't enter."""
+    """(word, n, n_end) over all documents; a text's last token isn't counted, so cut words don't enter."""
     return flat_map_batches(documents.where(f"length({text}) > 0").select(text), _count_words, "word string, n long, n_end long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
 
 
@@ -122,6 +130,18 @@ def trie(vocab: DataFrame) -> DataFrame:
     return vocab.select(F.explode(nodes).alias("x")).select("x.*").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"), F.max("prefix").alias("prefix"))
 
 
+def limits(feats: DataFrame, unit: str) -> DataFrame:
+    """(source, limits): the lengths at which each source cuts, in characters or bytes. NULL is a source of its own.
+
+    Texts are counted by length before anything else; a source has as many rows as different lengths, and a few limits.
+    """
+    w = Window.partitionBy("source").orderBy("length").rangeBetween(-SPREAD, SPREAD)
+    n = feats.groupBy("source", F.col(unit).alias("length")).agg(F.count("*").alias("n")).withColumns({"around": F.sum("n").over(w), "others": F.count("*").over(w) - 1, "longer": F.lead("n").over(Window.partitionBy("source").orderBy("length"))})
+    mean = (F.col("around") - F.col("n")) / F.greatest("others", F.lit(1))
+    chance = F.col("longer").isNotNull() & (F.col("n") <= mean + DEVIATIONS * F.sqrt(mean + 1))
+    return n.where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_EXCESS * mean) & ~chance).groupBy(F.col("source").alias(f"{unit}_source")).agg(F.collect_set("length").alias(f"{unit}_limits"))
+
+
 def cut_documents(documents: DataFrame, salt: int = 16) -> DataFrame:
     """(doc_id, source, cut, reason) for every document, NULL and empty texts included (never cut).
 
@@ -131,27 +151,24 @@ def cut_documents(documents: DataFrame, salt: int = 16) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     feats = flat_map(documents.where("length(text) > 0").select("doc_id", "source", "text"), _features, f"doc_id {kind}, source string, kind string, word string, chars int, bytes int")
     feats = cut_lineage(feats)  # four readers; the texts are looked at once
-    spikes = [
-        feats.groupBy("source", F.col(unit).alias("length")).count().groupBy("source").agg(F.max_by("count", "length").alias("at"), F.max("length").alias("length"), F.sum("count").alias("all"))
-        .where((F.col("at") >= LIMIT_TEXTS) & (F.col("at") >= F.col("all") * LIMIT_SHARE)).select("source", F.col("length").alias(f"max_{unit}"))
-        for unit in ("chars", "bytes")
-    ]
+    spikes = {unit: limits(feats, unit) for unit in ("chars", "bytes")}
     final = feats.where("word <> ''").groupBy("word").agg(F.count("*").alias("n_final"))
     words = final.join(trie(vocabulary(documents)), "word", "left").select(
         "word", "n_final", (F.coalesce("n", F.lit(0)) < KNOWN).alias("unknown"), F.coalesce("prefix", F.lit(False)).alias("prefix"), (F.coalesce("n_end", F.lit(0)) < F.coalesce("n", F.lit(0)) * ENDING).alias("never_ends")
     )
     salted = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     x = feats.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salt)).cast("int")).join(salted, ["word", "salt"], "left")
-    for s in spikes:
-        x = x.join(s, "source", "left")
-    at_limit = F.coalesce((F.col("chars") == F.col("max_chars")) | F.col("bytes").between(F.col("max_bytes") - 1, F.col("max_bytes")), F.lit(False))
+    for unit, s in spikes.items():
+        x = x.join(s, x["source"].eqNullSafe(s[f"{unit}_source"]), "left")
+    # half a character that was taken off makes a text one byte shorter than its limit
+    at_limit = F.coalesce(F.array_contains("chars_limits", F.col("chars")) | F.array_contains("bytes_limits", F.col("bytes")) | F.array_contains("bytes_limits", F.col("bytes") + 1), F.lit(False))
     broken = F.coalesce(F.col("unknown") & F.col("prefix"), F.lit(False))
-    reason = (
-        F.when(F.col("kind") == LOST, "lost_end").when(F.col("kind") == PROSE, "no_full_stop")
-        .when((F.col("kind") == DOTS) & (at_limit | broken | (F.coalesce("never_ends", F.lit(False)) & ~F.coalesce("unknown", F.lit(True)))), "cut_mark")
-        .when(F.col("kind").isin(ITEM, SHORT) & broken, "broken_word").when((F.col("kind") == SIGNED) & broken & ((F.col("n_final") < KNOWN) | at_limit), "broken_word")  # a name that signs several texts is whole
-        .when(F.col("kind").isin(ITEM) & F.coalesce(F.col("never_ends") & ~F.col("unknown"), F.lit(False)), "no_ending").when(F.col("kind").isin(ITEM) & at_limit, "at_limit")
-    )
+    never = F.coalesce(F.col("never_ends") & ~F.col("unknown"), F.lit(False))
+    there = {"lost_end": F.col("kind") == LOST, "broken_word": broken, "no_ending": never, "at_limit": at_limit}
+    shape = F.try_element_at(F.create_map(*[F.lit(v) for kv in SHAPE.items() for v in kv]), F.col("kind"))
+    total = sum((F.when(c, EVIDENCE[k]).otherwise(0.0) for k, c in there.items()), shape) + F.when((F.col("kind") == SIGNED) & (F.coalesce("n_final", F.lit(0)) >= KNOWN), SIGNS_SEVERAL).otherwise(0.0)
+    strongest = F.coalesce(*[F.when(c, k) for k, c in there.items()], F.lit("no_full_stop"))
+    reason = F.when(total > CUT, strongest)
     judged = x.select("doc_id", "source", reason.alias("reason"))
     empty = documents.where("text IS NULL OR length(text) = 0").select("doc_id", "source", F.lit(None).cast("string").alias("reason"))
     return judged.unionByName(empty).select("doc_id", "source", F.col("reason").isNotNull().alias("cut"), "reason")

@@ -191,3 +191,16 @@ def test_long_spans_are_markup():
     for mark in ("*{}*", "_{}_", "**{}**", "__{}__", "~~{}~~", "[{}](http://a.example)"):
         out, kinds = M.clean("so " + mark.format(long) + " on")
         assert kinds and out == f"so {long} on"
+
+
+def test_trie_and_length_decide(spark):
+    prose = "The gearbox housing was cleaned and the shaft was aligned with the motor."
+    docs = [(i, "a", f"{prose} Unit {i} is next.") for i in range(60)]
+    docs += [(100, "a", prose + " We ordered a new gearb"), (101, None, "- check the gearb"), (102, "a", "word " * 60 + "shaft aligned with the gearb"), (103, "a", "word " * 60 + "motor")]
+    docs += [(200 + i, "b", ("The motor was checked by hand, as " + "agreed " * 60)[:300]) for i in range(12)] + [(300, "b", "The motor was checked. " * 40)]
+    docs += [(400 + i, None, ("- item " + "x" * i + " " + "motor " * 80)[:200]) for i in range(12)]
+    got = {r["doc_id"]: r["reason"] for r in T.cut_documents(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()}
+    assert got[100] == got[101] == got[102] == "broken_word" and got[103] is None
+    assert got[200] in ("at_limit", "no_ending", "broken_word") and got[300] is None  # one longer text doesn't hide the limit
+    assert all(got[400 + i] for i in range(12))  # a source without name has a limit too
+    assert not any(got[i] for i in range(60))
