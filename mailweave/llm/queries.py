@@ -44,11 +44,11 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    return not_new_lines(spread(table(spark, root, "messages")))
+    return not_new_lines(spread(table(spark, root, "messages")), table(spark, root, "mailboxes"))
 
 
 def p7_new_text(spark: SparkSession, root: str) -> DataFrame:
-    return newly_written(spread(table(spark, root, "messages")))
+    return newly_written(spread(table(spark, root, "messages")), table(spark, root, "mailboxes"))
 
 
 def p8_packed(spark: SparkSession, root: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Newly written text of mails (problem 7): quoted history, signatures and notices are removed.
 
-Three kinds of evidence, the first per message and the others over the whole table:
+All lines of all bodies are normalised (quote marks, tags, case and white space off) and judged by three kinds of evidence:
 
-1. structure of one body (`line_kinds`): quote prefixes, introductions, header blocks, signature dividers,
-   closing phrases, bare names, notices that companies or their systems add;
-2. first authorship: lines are normalised and hashed, the messages of a thread ranked by date; a run of long
-   lines that an earlier message of the thread wrote first is quoted, marked or not;
-3. recurrence: short closing lines that one sender repeats under several messages are signature.
+1. first authorship: the messages of a thread are ranked by date; a line belongs to the first message that has it, and
+   is quoted in later ones, alone where it is marked; where it isn't, in a run of lines of one source that stands before
+   it in the thread too, as dates may be wrong;
+2. recurrence: short closing lines that one sender repeats under several messages are signature;
+3. structure of one body (`line_kinds`): quote prefixes, introductions, header blocks, signature dividers, closing
+   phrases, bare names, notices. It decides what the first two leave open: lines that nobody in the table wrote before.
 
 Copies of one message count as one author, so a repeated delivery isn't taken for a quotation.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+import struct
 from difflib import SequenceMatcher
 
 import xxhash
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from mailweave.functions.arrow import flat_map
 from mailweave.operators.delivery_dedup import normal_id
+from mailweave.operators.timestamps import normalise_timestamps
 from mailweave.session import cut_lineage
 
 NEW, QUOTED, SIGNATURE, NOTICE = 0, 1, 2, 3
@@ -231,83 +234,146 @@ def _mark(kinds: list[int], raw: list[str], i: int, n: int, kind: int) -> None:
             kinds[x] = kind
 
 
-#: Lines from this length on can be recognised as written first by somebody else.
-LONG_LINE = 60
+#: Lines that nothing marks are quoted if so many of them in a row, with so many characters, come from one earlier message of somebody else.
+RUN_LINES, RUN_CHARS = 2, 120
 #: A closing line is a sender's signature if the sender wrote it at least so many times.
 RECURS = 3
 _CLOSING_LINE = re.compile(r"[A-Z+][^=(){}|<>\\\\#*;:]{1,58}[^=(){}|<>\\\\#*;:.!?,]$")
+_MARKS = re.compile(r"(?:\s|[>|]|[A-Z]{1,3}>|: (?=\S))+")
+_AUTHOR_BITS, _SIZE_BITS, _POS_BITS = 24, 20, 20
+
+
+def normalised_line(raw: str) -> str:
+    """A line without quote marks and tags, in lower case, white space collapsed."""
+    text = _plain(raw) if "<" in raw or "&" in raw else raw
+    m = _MARKS.match(text)
+    return " ".join(text[m.end() if m else 0 :].lower().split())
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - 2**63
+
+
+def message_key(ident: str, author: str) -> int:
+    """Author and message in one number: messages of one author agree in the upper bits."""
+    return ((xxhash.xxh64_intdigest(author) >> (64 - _AUTHOR_BITS)) << (64 - _AUTHOR_BITS) | xxhash.xxh64_intdigest(ident) >> _AUTHOR_BITS) - 2**63
 
 
 def _fingerprints() -> object:
-    """Per message: lines marked by structure, long lines and closing lines of what is left with their hashes."""
+    """Per message: every non-blank line as (hash with its thread, number with place, size and kind packed), and its closing lines."""
 
-    def one(delivery: int, sender: str | None, address: str | None, body: str) -> list[tuple]:
+    def one(delivery: int, sender: str | None, address: str | None, body: str, thread: str | None, ident: str, author: str, instant: int | None, place: int | None) -> list[tuple]:
         kinds = line_kinds(body, sender, address)
         raw = body.split("\n")
-        marked = [j + 1 for j, k in enumerate(kinds) if k]
-        long_no, long_hash, end_no, end_hash = [], [], [], []
-        last = 0
+        hashes, packed, end_no, end_hash = [], [], [], []
+        scope = f"{thread}\0" if thread is not None else None
+        pos = last = 0
         for j, k in enumerate(kinds):
-            if k == NEW and len(raw[j]) >= LONG_LINE:
-                text = " ".join(raw[j].lower().split())
-                if len(text) >= LONG_LINE:
-                    long_no.append(j + 1)
-                    long_hash.append(xxhash.xxh64_intdigest(text) - 2**63)
-            if k == NEW and raw[j].strip():
+            if not (text := raw[j].strip()):
+                continue
+            pos += 1
+            bare = normalised_line(raw[j])
+            hashes.append(_hash(scope + bare) if scope is not None and bare else None)
+            packed.append((((j + 1) << _POS_BITS | min(pos, 2**_POS_BITS - 1)) << _SIZE_BITS | min(len(bare), 2**_SIZE_BITS - 1)) << 2 | k)
+            if k == NEW:
                 last = j
-        j = last
-        while j > 0 and kinds[j] == NEW and (text := raw[j].strip()):
+            elif k == SIGNATURE and author and len(text) <= 60:
+                end_no.append(-(j + 1))
+                end_hash.append(_hash(f"{author}\0{_DIGIT.sub('9', text)}"))
+        j, new_no, new_hash = last, [], []
+        while author and j > 0 and kinds[j] == NEW and (text := raw[j].strip()):
             if len(text) > 60:
-                end_no, end_hash = [], []
+                new_no, new_hash = [], []
                 break
             if _CLOSING_LINE.match(text) and not _GREETING.match(text):
-                end_no.append(j + 1)
-                end_hash.append(xxhash.xxh64_intdigest(re.sub(r"\d", "9", text)) - 2**63)
+                new_no.append(j + 1)
+                new_hash.append(_hash(f"{author}\0{_DIGIT.sub('9', text)}"))
             j -= 1
-        return [(delivery, marked, long_no, long_hash, end_no, end_hash)] if marked or long_no or end_no else []
+        key = message_key(ident, author)
+        place = min(max(place, 0), 2**31 - 1) if place is not None else 2**31 - 1
+        when = min(max(instant, 0), 2**32 - 2) if instant is not None else 2**32 - 1
+        rank = struct.pack(">IIq", when, place, key)
+        return [(delivery, key, rank, place, hashes, packed, end_no + new_no, end_hash + new_hash)] if packed else []
 
     return one
 
 
-def not_new_lines(messages: DataFrame) -> DataFrame:
-    """(delivery_id, line_no): non-blank lines of body that the sender didn't newly write; lines count from 1.
+_DIGIT = re.compile(r"\d")
+
+
+def judged_lines(messages: DataFrame, mailboxes: DataFrame | None = None) -> DataFrame:
+    """(delivery_id, line_no, evidence): non-blank lines of body that the sender didn't newly write; lines count from 1.
 
-    A NULL or empty body has no lines. A message without identifier is an author of its own; one without thread is
-    compared with nothing. Ties in rank go to the lower identifier. Nothing is compared across all pairs: hashes of
-    lines are pre-aggregated to their first author before any join, so a line or thread that holds a third of all
-    rows costs a partial aggregate, and the join back is on (thread, hash), which AQE splits if skewed.
+    evidence: first_author, recurrent, or structure where neither tells. With mailboxes the messages of a thread are ranked
+    by the instant of date_str, else and where there is none by the stored date, the time of receipt, the place in the
+    thread. A NULL or empty body has no lines. A message without identifier is an author of its own; one without thread is
+    compared with nothing. Nothing is compared across all pairs: hashes of lines are reduced to their first author by a
+    grouped minimum that combines before the shuffle, so a line that a third of all messages hold is one row of it, and the
+    join back is on the hash, which AQE splits if skewed. Windows see one message each.
     """
-    side = messages.select(
-        "delivery_id", F.col("thread_id").alias("thread"), F.coalesce(normal_id(F.col("message_id")), F.concat(F.lit("#"), F.col("delivery_id").cast("string"))).alias("key"),
-        F.struct(F.coalesce("message_ord", F.lit(2**31 - 1)).alias("o"), F.coalesce(F.col("date").cast("timestamp_ntz"), F.col("received_at").cast("timestamp_ntz")).alias("t")).alias("rank"),
-        F.lower(F.coalesce("sender_address", "sender_name", F.lit(""))).alias("author"),
+    date = F.coalesce(F.col("date").cast("timestamp_ntz"), F.col("received_at").cast("timestamp_ntz"))
+    x = messages.where("length(body) > 0")
+    if mailboxes is not None:
+        x = normalise_timestamps(x, mailboxes)
+        date = F.coalesce("instant_utc", date)
+    x = x.select(
+        "delivery_id", "sender_name", "sender_address", "body", F.col("thread_id").alias("thread"), F.coalesce(normal_id(F.col("message_id")), F.concat(F.lit("#"), F.col("delivery_id").cast("string"))).alias("ident"),
+        F.lower(F.coalesce("sender_address", "sender_name", F.lit(""))).alias("author"), F.unix_seconds(date.cast("timestamp")).alias("instant"), F.col("message_ord").cast("long").alias("place"),
     )
-    schema = "delivery_id long, marked array<int>, long_no array<int>, long_hash array<long>, end_no array<int>, end_hash array<long>"
-    prints = flat_map(messages.where("length(body) > 0").select("delivery_id", "sender_name", "sender_address", "body"), _fingerprints, schema)
-    prints = cut_lineage(prints)  # three readers; the bodies are parsed once
-    structural = prints.select("delivery_id", F.explode("marked").alias("line_no"))
-
-    longs = prints.where("size(long_no) > 0").join(side.where("thread IS NOT NULL"), "delivery_id")
-    longs = longs.select("delivery_id", "thread", "key", "rank", "author", F.posexplode(F.arrays_zip("long_no", "long_hash")).alias("pos", "x")).select("*", "x.long_no", "x.long_hash").drop("x")
-    firsts = longs.groupBy("thread", "long_hash").agg(F.min(F.struct("rank", "key", "author")).alias("first"), F.max("key").alias("top"), F.min("key").alias("low")).where("top <> low").select("thread", "long_hash", "first")
-    later = longs.join(firsts, ["thread", "long_hash"]).where("key <> first.key AND author <> first.author").select("delivery_id", "long_no", "pos", F.col("first.key").alias("source"))
+    schema = "delivery_id long, key long, rank binary, place int, hash array<long>, packed array<long>, end_no array<int>, end_hash array<long>"
+    prints = cut_lineage(flat_map(x, _fingerprints, schema))  # four readers; the bodies are parsed once
+    lines = prints.select("delivery_id", "key", "rank", "place", F.explode(F.arrays_zip("hash", "packed")).alias("x")).select("delivery_id", "key", "rank", "place", F.col("x.hash").alias("hash"), F.col("x.packed").alias("packed"))
+
+    firsts = lines.where("hash IS NOT NULL").groupBy("hash").agg(F.min("rank").alias("rank"))
+    number = lambda at, n: F.conv(F.hex(F.substring("rank", at, n)), 16, -10).cast("bigint")
+    firsts = firsts.select("hash", number(9, 8).alias("source"), number(5, 4).cast("int").alias("source_place"))
+    known = lines.drop("rank").join(firsts, "hash", "left")
+    kind, size = F.col("packed").bitwiseAND(F.lit(3)), F.shiftright("packed", 2).bitwiseAND(F.lit(2**_SIZE_BITS - 1))
+    pos, line_no = F.shiftright("packed", 2 + _SIZE_BITS).bitwiseAND(F.lit(2**_POS_BITS - 1)), F.shiftright("packed", 2 + _SIZE_BITS + _POS_BITS)
+    before = F.coalesce(F.col("source") != F.col("key"), F.lit(False))
+    marked = known.where(kind != NEW).select("delivery_id", line_no.alias("line_no"), kind.alias("kind"), before.alias("before"))
+
+    somebody_else = F.shiftright("source", 64 - _AUTHOR_BITS) != F.shiftright("key", 64 - _AUTHOR_BITS)
+    later = known.where((kind == NEW) & before & somebody_else & (F.col("source_place") < F.col("place"))).select("delivery_id", line_no.alias("line_no"), pos.alias("pos"), size.alias("size"), "source")
     w = Window.partitionBy("delivery_id").orderBy("pos")
-    run = later.withColumns({"before": F.lag(F.struct("pos", "source")).over(w), "after": F.lead(F.struct("pos", "source")).over(w)})
-    near = lambda c, d: F.coalesce((F.col(f"{c}.source") == F.col("source")) & (F.col(f"{c}.pos") == F.col("pos") + d), F.lit(False))
-    quoted = run.where(near("before", -1) | near("after", 1)).select("delivery_id", F.col("long_no").alias("line_no"))
+    starts = ~((F.lag("pos").over(w) == F.col("pos") - 1) & (F.lag("source").over(w) == F.col("source")))
+    runs = later.withColumn("run", F.coalesce(starts, F.lit(True)).cast("int")).withColumn("run", F.sum("run").over(w))
+    all_of = Window.partitionBy("delivery_id", "run")
+    quoted = runs.withColumns({"lines": F.count("*").over(all_of), "chars": F.sum("size").over(all_of)}).where((F.col("lines") >= RUN_LINES) & (F.col("chars") >= RUN_CHARS))
 
-    ends = prints.where("size(end_no) > 0").join(side, "delivery_id").where("author <> ''")
-    ends = ends.select("delivery_id", "key", "author", F.explode(F.arrays_zip("end_no", "end_hash")).alias("x")).select("delivery_id", "key", "author", "x.end_no", "x.end_hash")
-    again = ends.groupBy("author", "end_hash").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("top")).where((F.col("n") >= RECURS) & (F.col("low") != F.col("top"))).select("author", "end_hash")
-    closing = ends.join(again, ["author", "end_hash"], "left_semi").select("delivery_id", F.col("end_no").alias("line_no"))
-    # the three sets are disjoint but for long and closing lines, which differ in length
-    return structural.unionByName(quoted).unionByName(closing).select("delivery_id", F.col("line_no").cast("long").alias("line_no"))
+    ends = prints.where("size(end_no) > 0").select("delivery_id", "key", F.explode(F.arrays_zip("end_no", "end_hash")).alias("x")).select("delivery_id", "key", F.col("x.end_no").alias("end_no"), F.col("x.end_hash").alias("end_hash"))
+    again = ends.groupBy("end_hash").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("top")).where((F.col("n") >= RECURS) & (F.col("low") != F.col("top"))).select("end_hash")
+    closing = ends.join(again, "end_hash", "left_semi").select("delivery_id", F.abs("end_no").cast("long").alias("line_no"), (F.col("end_no") < 0).alias("marked"))
 
+    signed = marked.where(F.col("kind") == SIGNATURE).join(closing.where("marked").select("delivery_id", "line_no", F.lit(True).alias("again")), ["delivery_id", "line_no"], "left")
+    evidence = F.when(F.col("before"), "first_author").otherwise("structure")
+    out = marked.where(F.col("kind") != SIGNATURE).select("delivery_id", "line_no", evidence.alias("evidence"))
+    out = out.unionByName(signed.select("delivery_id", "line_no", F.when(F.col("again"), "recurrent").otherwise(evidence).alias("evidence")))
+    new = quoted.select("delivery_id", "line_no", F.lit("first_author").alias("evidence")).unionByName(closing.where("NOT marked").select("delivery_id", "line_no", F.lit("recurrent").alias("evidence")))
+    return out.unionByName(new.groupBy("delivery_id", "line_no").agg(F.min("evidence").alias("evidence")))  # a line may be both
 
-def newly_written(messages: DataFrame) -> DataFrame:
+
+def not_new_lines(messages: DataFrame, mailboxes: DataFrame | None = None) -> DataFrame:
+    """(delivery_id, line_no) of judged_lines."""
+    return judged_lines(messages, mailboxes).select("delivery_id", "line_no")
+
+
+def newly_written(messages: DataFrame, mailboxes: DataFrame | None = None) -> DataFrame:
     """(delivery_id, new_text): body without the lines of not_new_lines, blank runs collapsed; NULL body gives NULL."""
-    gone = not_new_lines(messages).groupBy("delivery_id").agg(F.collect_set("line_no").alias("gone"))  # bounded by one body's lines
+    gone = not_new_lines(messages, mailboxes).groupBy("delivery_id").agg(F.collect_list(F.col("line_no").cast("int")).alias("gone"))  # bounded by one body's lines
     x = messages.select("delivery_id", "body").join(gone, "delivery_id", "left")
-    kept = F.filter(F.transform(F.split(F.regexp_replace("body", "\r", ""), "\n", -1), lambda l, i: F.struct((i + 1).cast("long").alias("no"), l.alias("text"))), lambda s: ~F.array_contains(F.coalesce("gone", F.array().cast("array<bigint>")), s["no"]))
-    text = F.array_join(F.transform(kept, lambda s: s["text"]), "\n")
-    return x.select("delivery_id", F.regexp_replace(F.regexp_replace(text, r"\n[\s]*\n", "\n\n"), r"^\s+|\s+$", "").alias("new_text"))
+
+    def make() -> object:
+        def one(delivery: int, body: str | None, gone: list[int] | None) -> list[tuple]:
+            if body is None:
+                return [(delivery, None)]
+            without = set(gone or ())
+            text = "\n".join(l for n, l in enumerate(body.replace("\r", "").split("\n"), 1) if n not in without)
+            return [(delivery, _BLANK_RUN.sub("\n\n", text).strip())]
+
+        return one
+
+    return flat_map(x, make, f"delivery_id {messages.schema['delivery_id'].dataType.simpleString()}, new_text string")
+
+
+_BLANK_RUN = re.compile(r"\n\s*\n")

@@ -204,3 +204,19 @@ def test_trie_and_length_decide(spark):
     assert got[200] in ("at_limit", "no_ending", "broken_word") and got[300] is None  # one longer text doesn't hide the limit
     assert all(got[400 + i] for i in range(12))  # a source without name has a limit too
     assert not any(got[i] for i in range(60))
+
+
+def test_first_authors_by_date_and_place(spark):
+    from datetime import datetime
+
+    a, b = "The crate with the drive-end bearing left purchasing and should arrive tomorrow.", "Nothing has changed on the spacer tube; revision 90 of MN-4044 stays valid for all."
+    own = "We have received the crate with the drive-end bearing in good order, many parts are missing."
+    day = lambda n: datetime(2024, 1, n)
+    rows = [
+        (1, "t", 0, "m1", "Ann", "ann@x", day(1), None, f"{a}\n{b}"), (2, "t", 1, "m2", "Bob", "bob@x", day(2), None, f"{own}\n\n{a}\n{b}"), (3, "t", 2, "m3", "Ann", "ann@x", day(3), None, f"{a}\n{b}"),
+        (4, "t", 3, "m4", "Cid", "cid@x", day(4), None, f"> {a.upper()}\n> {own}\n> never written before\nfine"), (5, "u", 0, "m5", "Bob", "bob@x", day(5), None, f"{a}\n{b}"), (6, None, 0, "m6", "Bob", "bob@x", day(6), None, f"{a}\n{b}"),
+        (7, "t", 1, "m2", "Bob", "bob@x", day(9), None, f"{own}\n\n{a}\n{b}"), (8, "v", 5, "m8", "Ann", "ann@x", day(1), None, f"{a}\n{b}"), (9, "v", 1, "m9", "Bob", "bob@x", day(2), None, f"{a}\n{b}"),
+    ]
+    got = {(r["delivery_id"], r["line_no"]): r["evidence"] for r in Q.judged_lines(spark.createDataFrame(rows, MESSAGES)).collect()}
+    # a copy is no quotation, nor what the author repeats, another thread, or what stands later in the thread by place
+    assert got == {(2, 3): "first_author", (2, 4): "first_author", (7, 3): "first_author", (7, 4): "first_author", (4, 1): "first_author", (4, 2): "first_author", (4, 3): "structure"}
