@@ -12,11 +12,12 @@ import base64
 import os
 import re
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import defaultdict, deque
 
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Items of a group on average. A group is one task's work, whatever the size of the table.
 GROUP_ITEMS = 4000
-#: Pairs of bins tried by a group's local search per underfull bin.
-TRIES = 60
+#: Each document is packed once for each kind of container, so their number is a matter of configuration; more are refused.
+MOST_KINDS = 1000
 
 
 @lru_cache(maxsize=4)
@@ -69,65 +70,102 @@ class TokenCounter:
 _ODD_BLANK = re.compile(r" [^\S ]|[^\S ] ")
 
 
+class _Underfull:
+    """The underfull bins' items and pairs of items by size: what may be given for a gap is looked up, not searched."""
+
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int) -> None:
+        self.bins, self.size, self.capacity = bins, size, capacity
+        self.fill = [sum(size[i] for i in b) for b in bins]
+        self.by_size: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)  # size -> items of one bin of that size -> the bin
+
+    def groups(self, b: int) -> list[tuple[int, ...]]:
+        """Single items of a bin and pairs, one of each combination of sizes."""
+        some: dict[tuple[int, ...], tuple[int, ...]] = {}
+        items = sorted(self.bins[b], key=lambda i: (self.size[i], i))
+        seen: dict[int, list[int]] = defaultdict(list)
+        for i in items:
+            if self.size[i] and len(seen[self.size[i]]) < 2:  # more of the same size give the same pairs
+                seen[self.size[i]].append(i)
+        few = [i for s in seen.values() for i in s]
+        for n, i in enumerate(few):
+            some.setdefault((self.size[i],), (i,))
+            for j in few[n + 1 :]:
+                some.setdefault((self.size[i], self.size[j]), (i, j))
+        return list(some.values())
+
+    def enter(self, b: int) -> None:
+        if 0 < self.fill[b] < self.capacity:
+            for g in self.groups(b):
+                self.by_size[sum(self.size[i] for i in g)][g] = b
+
+    def leave(self, b: int) -> None:
+        if 0 < self.fill[b] < self.capacity:
+            for g in self.groups(b):
+                del self.by_size[sum(self.size[i] for i in g)][g]
+
+    def best_for(self, b: int) -> tuple[tuple[int, ...], tuple[int, ...], int] | None:
+        """(items of b, items of another bin, that bin) whose exchange fills b most while it raises the sum of squared fills."""
+        gap = self.capacity - self.fill[b]
+        mine = [((), 0)] + [(g, sum(self.size[i] for i in g)) for g in self.groups(b)]
+        for d in range(gap, 0, -1):
+            for out, n in mine:
+                for into, a in self.by_size.get(n + d, {}).items():
+                    # moves, one for one, two for one and one for two
+                    if a != b and len(out) + len(into) < 4 and d > self.fill[a] - self.fill[b]:
+                        return out, into, a
+        return None
+
+    def exchange(self, b: int, out: tuple[int, ...], into: tuple[int, ...], a: int) -> None:
+        self.leave(a)
+        self.leave(b)
+        d = sum(self.size[i] for i in into) - sum(self.size[i] for i in out)
+        self.bins[a] = [i for i in self.bins[a] if i not in into] + list(out)
+        self.bins[b] = [i for i in self.bins[b] if i not in out] + list(into)
+        self.fill[a] -= d
+        self.fill[b] += d
+        self.enter(a)
+        self.enter(b)
+
+
 def local_search(bins: list[list[int]], size: list[int], capacity: int) -> list[list[int]]:
     """Improve a packing (bins of item numbers) by swaps and moves between underfull bins that raise the sum of squared fills.
 
-    Raising it makes full bins fuller and empty ones emptier; bins that empty are dropped. Each underfull bin is tried
-    against at most TRIES others, fullest first, so the work is linear in the bins.
+    Raising it makes full bins fuller and empty ones emptier; bins that empty are dropped, items of size 0 going elsewhere.
+    It ends when no move, no exchange of one for one and none of two for one between any two bins raises the sum: each
+    exchange raises a sum of whole numbers that has a bound.
     """
-    fill = [sum(size[i] for i in b) for b in bins]
-    under = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
-    for a in under:  # emptiest first: its items go where they fill gaps
-        if not bins[a]:
+    state = _Underfull([list(b) for b in bins], size, capacity)
+    for b in range(len(bins)):
+        state.enter(b)
+    todo = deque(sorted((b for b in range(len(bins)) if state.fill[b] < capacity), key=lambda b: (-state.fill[b], b)))
+    waiting = set(todo)
+    settled = 0  # bins seen in a row without an exchange
+    while todo and settled <= len(todo):
+        b = todo.popleft()
+        waiting.discard(b)
+        found = state.best_for(b) if 0 < state.fill[b] < capacity else None
+        if found is None:
+            if 0 < state.fill[b] < capacity:
+                todo.append(b)
+                waiting.add(b)
+                settled += 1
             continue
-        for b in sorted((k for k in under if k != a and bins[k]), key=lambda k: -fill[k])[:TRIES]:
-            gap = capacity - fill[b]
-            if gap <= 0 or fill[b] < fill[a]:
-                continue
-            done = False
-            for i in sorted(bins[a], key=lambda i: -size[i]):  # move
-                if size[i] <= gap:
-                    bins[a].remove(i)
-                    bins[b].append(i)
-                    fill[a] -= size[i]
-                    fill[b] += size[i]
-                    gap -= size[i]
-            if not bins[a]:
-                break
-            for i in sorted(bins[a], key=lambda i: -size[i]):  # one for one: a larger item of a for a smaller one of b
-                fits = [j for j in bins[b] if 0 < size[i] - size[j] <= gap]
-                if fits:
-                    j = min(fits, key=lambda j: size[j])
-                    bins[a][bins[a].index(i)], bins[b][bins[b].index(j)] = j, i
-                    d = size[i] - size[j]
-                    fill[a] -= d
-                    fill[b] += d
-                    gap -= d
-                    done = True
-                    break
-            if not done and len(bins[a]) > 1 and gap > 0:  # two for one
-                s = sorted(bins[a], key=lambda i: size[i])[:12]
-                best = None
-                for x in range(len(s)):
-                    for y in range(x + 1, len(s)):
-                        two = size[s[x]] + size[s[y]]
-                        for j in bins[b]:
-                            d = two - size[j]
-                            if 0 < d <= gap and (best is None or d > best[0]):
-                                best = (d, s[x], s[y], j)
-                if best:
-                    d, x, y, j = best
-                    bins[a].remove(x)
-                    bins[a].remove(y)
-                    bins[b].remove(j)
-                    bins[a].append(j)
-                    bins[b] += [x, y]
-                    fill[a] -= d
-                    fill[b] += d
-    return [b for b in bins if b]
-
-
-def pack(size: list[int], capacity: int) -> list[list[int]]:
+        state.exchange(b, *found)
+        settled = 0
+        for x in (b, found[2]):
+            if x not in waiting and 0 < state.fill[x] < capacity:
+                todo.append(x)
+                waiting.add(x)
+    out = [x for x, f in zip(state.bins, state.fill) if f]
+    empty = [i for x, f in zip(state.bins, state.fill) if not f for i in x]
+    if empty and not out:
+        return [empty]
+    if empty:
+        out[-1] = out[-1] + empty
+    return out
+
+
+def pack(size: list[int], capacity: int, search: bool = True) -> list[list[int]]:
     """Bins of item numbers: best fit in order of falling size, then local search. Sizes must not exceed the capacity; items of size 0 go along."""
     bins: list[list[int]] = []
     room: list[tuple[int, int]] = []  # (room left, bin), ascending
@@ -141,14 +179,16 @@ def pack(size: list[int], capacity: int) -> list[list[int]]:
         bins[b].append(i)
         if left > size[i]:
             insort(room, (left - size[i], b))
-    return local_search(bins, size, capacity)
+    return local_search(bins, size, capacity) if search else bins
 
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens); NULL texts count as empty."""
+    """(doc_id, n_tokens); NULL texts count as empty. The vocabulary file is sent along to executors that don't have it."""
+    if os.path.exists(path):
+        documents.sparkSession.sparkContext.addFile(path)
 
     def make() -> object:
-        counter = TokenCounter(path)
+        counter = TokenCounter(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
         return lambda ids, texts: ((d, counter.count(t) if t else 0) for d, t in zip(ids, texts))
 
     return flat_map_batches(documents.select("doc_id", "text"), make, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens int")
@@ -163,7 +203,10 @@ def packed(documents: DataFrame, containers: DataFrame, path: str = TOKENIZER, g
     """
     sizes = token_counts(documents, path).withColumn("_mw_h", F.xxhash64("doc_id"))
     groups = max(1, documents.count() // group_items)
-    kinds = [(r[0], int(r[1])) for r in containers.select("container_kind", "capacity_tokens").where("capacity_tokens > 0").limit(1000).collect()]
+    given = containers.select("container_kind", "capacity_tokens").where("capacity_tokens > 0")
+    if given.limit(MOST_KINDS + 1).count() > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")  # never some of them only
+    kinds = sorted((r[0], int(r[1])) for r in given.collect())
     key = documents.schema["doc_id"].dataType.simpleString()
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -1,5 +1,6 @@
 """Names, leakage and packing: curves, brute force, properties."""
 
+import itertools
 import random
 
 import numpy as np
@@ -180,6 +181,40 @@ def test_local_search_empties_bins():
     assert full > 0.98  # half of these items are larger than half a bin and need one each
 
 
+@given(st.lists(st.integers(1, 40), min_size=2, max_size=24), st.integers(40, 50))
+@settings(max_examples=60, deadline=None)
+def test_local_search_ends_where_nothing_improves(size, capacity):
+    """Brute force: no move, no exchange of one for one and none of two for one raises the sum of squared fills any more."""
+    bins, room = [], []
+    for i, n in enumerate(size):  # next fit leaves much to do
+        if not bins or room[-1] < n:
+            bins.append([])
+            room.append(capacity)
+        bins[-1].append(i)
+        room[-1] -= n
+    out = P.local_search(bins, size, capacity)
+    assert sorted(i for b in out for i in b) == list(range(len(size))) and len(out) <= len(bins)
+    squares = lambda x: sum(sum(size[i] for i in b) ** 2 for b in x)
+    assert squares(out) >= squares(bins)
+    parts = lambda b: [(), *itertools.combinations(b, 1), *itertools.combinations(b, 2)]
+    fill = [sum(size[i] for i in b) for b in out]
+    assert all(f <= capacity for f in fill)
+    for a, b in itertools.permutations(range(len(out)), 2):
+        for x in parts(out[a]):
+            for y in parts(out[b]):
+                if x and len(x) + len(y) < 4:
+                    d = sum(size[i] for i in x) - sum(size[i] for i in y)
+                    assert not (0 < d <= capacity - fill[b] and d > fill[a] - fill[b]), (out, x, y)
+
+
+def test_local_search_saves_bins():
+    rng = random.Random(8)
+    size = [rng.randint(150, 350) for _ in range(3000)]
+    best_fit = len(P.pack(size, 1000, search=False))
+    assert len(P.pack(size, 1000)) < best_fit * 0.97
+    assert len(P.pack(size, 1000)) < -(-sum(size) // 1000) * 1.01  # the sum is a bound below
+
+
 @pytest.mark.parametrize("text", ["The oil seal is noisy.\nThe hub  is\n\n fine ", "é  \xa0 x\t y", " lead", "trail ", "a\u3000 b", "I've 12345 kg of “it”…", "", "x" * 5000])
 def test_token_counts_are_exact(text):
     assert P.TokenCounter().count(text) == len(P.encoder().encode_ordinary(text))
