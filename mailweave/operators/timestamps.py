@@ -66,6 +66,8 @@ def parsed_fields(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_mw_shape", shape).withColumn("_mw_family", family).withColumn("_mw_p", F.split("_mw_shape", r"\|")).drop("_mw_shape")
 
 
+#: A directory of at most so many sources (some 100 bytes each) is sent to the rows; a larger one is joined by shuffle.
+BROADCAST_SOURCES = 100_000
 #: Orders of numeric dates: name -> places of day, month and year among the three numbers.
 ORDERS = {"dmy": (0, 1, 2), "mdy": (1, 0, 2), "ymd": (2, 1, 0)}
 
@@ -131,7 +133,10 @@ def normalise_timestamps(
     parsed = parsed_fields(df, text)
     one = directory.groupBy(source).agg(F.min(F.struct(F.col(zone_col).alias("z"), F.col(order_col).alias("o"))).alias("d")).select(source, F.col("d.z").alias("_mw_zone"), F.col("d.o").alias(order_col))
     weights = order_weights(parsed.select(source, "_mw_family", "_mw_p"), source, one, order_col, prior)
-    x = parsed.join(one.select(source, "_mw_zone").join(weights, source), source, "left")
+    side = one.select(source, "_mw_zone").join(weights, source)
+    if directory.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        side = F.broadcast(side)
+    x = parsed.join(side, source, "left")
     p = lambda i: F.get("_mw_p", F.lit(i))
     num = lambda c: c.try_cast("int")
     slash = F.col("_mw_family") == "slash"
