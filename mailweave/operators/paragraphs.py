@@ -40,7 +40,7 @@ def paragraphs(mails: DataFrame, body: str = "body") -> DataFrame:
 
     mails needs thread_id, mail_ord and mail_id; NULL and empty bodies have no paragraphs.
     """
-    x = mails.select("thread_id", "mail_ord", "mail_id", F.posexplode(F.split(drop_quoted_lines(F.col(body)), PARAGRAPH_BREAK, -1)).alias("para_ord", "paragraph"))
+    x = mails.select("thread_id", "mail_ord", "mail_id", F.posexplode_outer(F.split(drop_quoted_lines(F.col(body)), PARAGRAPH_BREAK, -1)).alias("para_ord", "paragraph"))  # outer: the inner one cleans bodies twice
     return x.where(F.length(strip(F.col("paragraph"))) > 0)
 
 

@@ -18,19 +18,16 @@ GREETING = r"(?i)^\s*(?:" + "|".join(g.replace("'", ".") for g in GREETINGS) + "
 QUESTION_KEYWORDS = "torque rpm speed load pressure bore shaft diameter dimension material tolerance coupling temperature voltage current power weight delivery drawing specification approval".split()
 
 
-def split_sentences(text: Column) -> Column:
-    """Sentences of text: after . ! ? before white space, and at line feeds; abbreviations end none. Trimmed, without empty ones."""
-    c = text
-    for i, a in enumerate(ABBREVIATIONS):
-        c = F.replace(c, F.lit(a), F.lit(f"\x01{i}\x02"))
-    parts = F.split(F.regexp_replace(c, rf"([.!?]){WS}+", "$1\n"), "\n+", -1)
+#: Abbreviations that end in a full stop, as one pattern; the mark that stands for that stop meanwhile.
+_SHORTENED = "(" + "|".join(re.escape(a[:-1]) for a in sorted(ABBREVIATIONS, key=len, reverse=True) if a.endswith(".")) + r")\."
+_STOP = "\x01\x02"
 
-    def restore(s: Column) -> Column:
-        for i, a in enumerate(ABBREVIATIONS):
-            s = F.replace(s, F.lit(f"\x01{i}\x02"), F.lit(a))
-        return strip(s)
 
-    return F.filter(F.transform(parts, restore), lambda s: F.length(s) > 0)
+def split_sentences(text: Column) -> Column:
+    """Sentences of text: after . ! ? before white space, and at line feeds; abbreviations end none. Trimmed, without empty ones."""
+    marked = F.regexp_replace(text, _SHORTENED, f"$1{_STOP}")
+    parts = F.split(F.regexp_replace(marked, rf"([.!?]){WS}+", "$1\n"), "\n+", -1)
+    return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit(_STOP), F.lit(".")))), lambda s: F.length(s) > 0)
 
 
 def summary_sentences(text: Column) -> Column:
@@ -39,22 +36,36 @@ def summary_sentences(text: Column) -> Column:
 
 
 def sentences(mails: DataFrame, text: str = "body") -> DataFrame:
-    """(mail_id, sent_ord, sentence, context): context is the sentence with its neighbours."""
-    x = mails.where(F.length(text) > 0).select("mail_id", split_sentences(F.col(text)).alias("s")).select("mail_id", "s", F.posexplode("s").alias("sent_ord", "sentence"))
-    # the neighbours come from the mail's own array: no window, no shuffle
-    return x.select("mail_id", "sent_ord", "sentence", F.concat_ws(" ", F.when(F.col("sent_ord") > 0, F.get("s", F.col("sent_ord") - 1)), "sentence", F.get("s", F.col("sent_ord") + 1)).alias("context"))
+    """(mail_id, sent_ord, sentence, context): context is the sentence with its neighbours.
+
+    Both are put together inside the mail's own array, which is then exploded once: no window, no shuffle, and no copy of the
+    mail in each sentence's row.
+    """
+
+    def rows(all_: Column) -> Column:
+        return F.transform(all_, lambda s, i: F.struct(i.alias("sent_ord"), s.alias("sentence"), F.concat_ws(" ", F.when(i > 0, F.get(all_, i - 1)), s, F.get(all_, i + 1)).alias("context")))
+
+    bound = F.get(F.transform(F.array(split_sentences(F.col(text))), rows), F.lit(0))  # the sentences are split once
+    return mails.where(F.length(text) > 0).select("mail_id", F.inline(bound))
 
 
 def found_words(sentence: Column, words: list[str]) -> Column:
-    """Those of words that occur as whole words, in the list's order. Single words are looked up among the sentence's words,
-    phrases by their pattern."""
+    """Those of words that occur as whole words, in the list's order. Single words are looked up among the sentence's words by
+    one intersection, phrases by their patterns, and only where one of them occurs at all."""
+    single = {w.lower(): w for w in reversed(words) if not re.search(r"\W", w)}
+    phrases = [w for w in words if re.search(r"\W", w)]
+    tokens = F.regexp_extract_all(F.lower(sentence), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
     def pick(tokens: Column) -> Column:
-        hits = [F.when(sentence.rlike(word_pattern(w)) if re.search(r"\W", w) else F.array_contains(tokens, w.lower()), F.lit(w)) for w in words]
+        hits = [F.when(sentence.rlike(word_pattern(w)) if w in phrases else F.array_contains(tokens, w.lower()), F.lit(w)) for w in words]
         return F.filter(F.array(*hits), lambda w: w.isNotNull())
 
-    tokens = F.regexp_extract_all(F.lower(sentence), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.get(F.transform(F.array(tokens), pick), F.lit(0))  # the words are bound once
+    slow = F.get(F.transform(F.array(tokens), pick), F.lit(0))  # the words are bound once
+    if len(single) + len(phrases) < len(words) or not single:
+        return slow
+    spelt = F.create_map(*[F.lit(x) for kv in single.items() for x in kv])
+    fast = F.transform(F.array_intersect(F.array(*[F.lit(w.lower()) for w in words if w not in phrases]), tokens), lambda w: F.element_at(spelt, w))
+    return F.when(sentence.rlike(any_pattern(phrases)), slow).otherwise(fast) if phrases else fast
 
 
 def any_pattern(words: list[str]) -> str:
@@ -85,8 +96,10 @@ def tag_sentences(mails: DataFrame, text: str = "body", keywords: list[str] = EN
     x = sentences(mails, text).where(F.col("sentence").rlike(any_pattern(keywords))).withColumn("trigger_keywords", found_words(F.col("sentence"), keywords))
     # a sentence that got here has a keyword, so its question mark needs only not to be a greeting
     open_ = F.lit(False)
-    for m in markers:
-        open_ = open_ | ((F.col("sentence").contains("?") & ~F.col("sentence").rlike(GREETING)) if m == "?" else F.col("sentence").rlike(word_pattern(m)))
+    if "?" in markers:
+        open_ = open_ | (F.col("sentence").contains("?") & ~F.col("sentence").rlike(GREETING))
+    if others := [m for m in markers if m != "?"]:
+        open_ = open_ | F.col("sentence").rlike(any_pattern(others))
     return x.withColumn("is_unresolved", open_).withColumn("confidence", confidence(F.col("sentence"), F.col("trigger_keywords")))
 
 

@@ -77,7 +77,8 @@ def category_matches(mails: DataFrame, categories: list[str] | None = None, text
             continue
         raws = F.regexp_extract_all(F.col("t"), F.lit(_flags(pattern) + portable(pattern)), F.lit(0))
         found.append(F.arrays_zip(F.array_repeat(F.lit(n), F.size(raws)).alias("n"), F.array_repeat(F.lit(category), F.size(raws)).alias("category"), raws.alias("raw")))
-    x = mails.select("mail_id", prefilter(F.col(text)).alias("t")).select("mail_id", F.posexplode(F.concat(*found)).alias("pos", "m")).select("mail_id", "pos", "m.*").withColumn("raw", strip(F.col("raw")))
+    # the outer explode, as the inner one makes the optimizer scan the text a second time to drop mails without matches
+    x = mails.select("mail_id", prefilter(F.col(text)).alias("t")).select("mail_id", F.posexplode_outer(F.concat(*found)).alias("pos", "m")).where("m IS NOT NULL").select("mail_id", "pos", "m.*").withColumn("raw", strip(F.col("raw")))
     w = x.groupBy("mail_id", "n", "category", F.lower("raw").alias("k")).agg(F.min_by("raw", "pos").alias("raw_match"))
     value, unit = F.lit(None).cast("string"), F.lit(None).cast("string")
     for n, (category, pattern) in enumerate(PATTERNS):
