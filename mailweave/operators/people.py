@@ -80,3 +80,13 @@ def people_table(mails: DataFrame, specs: DataFrame | None = None) -> DataFrame:
         n = x.where("is_sender").select("thread_id", "address", "mail_id").join(specs.groupBy("mail_id").agg(F.count("*").alias("n")), "mail_id").groupBy("thread_id", "address").agg(F.sum("n").alias("specs_mentioned"))
         y = y.join(n, ["thread_id", "address"], "left").na.fill(0, ["specs_mentioned"])
     return y.select("thread_id", "address", "name", "company", "role", "mails_sent", "specs_mentioned")
+
+
+def specs_of_people(mails: DataFrame, specs: DataFrame) -> DataFrame:
+    """(thread_id, address, mail_ord, mail_id, match_ord, raw_match): what each sender mentioned, repetitions included; the list
+    of a person is in order of the last four columns. Rows, not arrays: one person may have written a third of all mails.
+
+    specs needs mail_id, match_ord and raw_match.
+    """
+    senders = mentions(mails).where("is_sender").select("thread_id", "address", "mail_ord", "mail_id")
+    return senders.join(specs.select("mail_id", "match_ord", "raw_match"), "mail_id").select("thread_id", "address", "mail_ord", "mail_id", "match_ord", "raw_match")

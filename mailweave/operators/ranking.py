@@ -160,14 +160,14 @@ def rank_sentences(sentences: DataFrame, in_memory: int = IN_MEMORY) -> DataFram
 def diverse_top(sentences: DataFrame, scores: DataFrame, top: int = 8, diversity: float = 0.7, in_memory: int = IN_MEMORY) -> DataFrame:
     """(thread_id, sent_id, sentence): the best sentences of a thread, none similar to a better one, in order of the text.
 
-    The greedy choice goes down the whole ranking of a thread, with the vectors of the whole thread, until `top` are chosen
+    Scores that agree in nine digits are equal, and the first in the text goes first. The greedy choice goes down the whole ranking of a thread, with the vectors of the whole thread, until `top` are chosen
     or none is left: small threads grouped, large ones in at most `top` distributed rounds. Both ways choose the same.
     """
     sizes = sentences.groupBy("thread_id").agg(F.count("*").alias("n"))
     schema = f"thread_id string, sent_id {sentences.schema['sent_id'].dataType.simpleString()}, sentence string"
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "sent_id"], ascending=[False, True])
+        pdf = pdf.assign(score=pdf["score"].round(9)).sort_values(["score", "sent_id"], ascending=[False, True])
         vec = vectors_of(pdf["sentence"].fillna("").tolist())
         kept: list[int] = []
         for i in range(len(vec)):
@@ -196,7 +196,7 @@ def _diverse_in_rounds(ranked: DataFrame, top: int, diversity: float) -> DataFra
             dot = lambda p: F.coalesce(F.aggregate(F.map_keys("m"), F.lit(0.0), lambda s, t: s + F.try_element_at("m", t) * F.coalesce(F.try_element_at(p["m"], t), F.lit(0.0))), F.lit(0.0))
             before = taken.groupBy("thread_id").agg(F.collect_list("p").alias("before"))  # at most `top`
             x = left.join(before, "thread_id").where(F.forall("before", lambda p: (p["sent_id"] != F.col("sent_id")) & (dot(p) <= diversity)))
-        new = cut_lineage(x.groupBy("thread_id").agg(F.min_by(F.struct("sent_id", "sentence", "m"), F.struct(-F.col("score"), "sent_id")).alias("p")))
+        new = cut_lineage(x.groupBy("thread_id").agg(F.min_by(F.struct("sent_id", "sentence", "m"), F.struct(-F.round("score", 9), "sent_id")).alias("p")))
         if new.isEmpty():
             break
         taken = new if taken is None else taken.unionByName(new)

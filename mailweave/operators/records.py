@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailweave.functions.text import capitalise, strip
+from mailweave.session import cut_lineage
 
 
 def number_of(value: Column) -> Column:
@@ -19,9 +20,9 @@ def dated(specs: DataFrame, tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def timeline_span(specs: DataFrame, tagged: DataFrame) -> DataFrame:
-    """(thread_id, first, last): the first and last date of each thread's timeline, in the timeline's order."""
+    """(thread_id, first, last, n_events): the first and last date of each thread's timeline, in the timeline's order, and its length."""
     a, b = dated(specs, tagged)
-    return a.select("thread_id", "date_str").unionByName(b.select("thread_id", "date_str")).groupBy("thread_id").agg(F.min("date_str").alias("first"), F.max("date_str").alias("last"))
+    return a.select("thread_id", "date_str").unionByName(b.select("thread_id", "date_str")).groupBy("thread_id").agg(F.min("date_str").alias("first"), F.max("date_str").alias("last"), F.count("*").alias("n_events"))
 
 
 def timeline(specs: DataFrame, tagged: DataFrame, chronological: bool = False) -> DataFrame:
@@ -79,12 +80,30 @@ def conflicts(specs: DataFrame) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """df with the row's number within its keys, from 1, in order; for keys that may hold a third of all rows.
+
+    Rows are sorted by ranges, so one key may lie in many partitions; a row's number is its place in its partition and the
+    counts of the key's earlier partitions, of which there are as many as partitions.
+    """
+    x = df.repartitionByRange(*keys, *order).withColumn("_mw_part", F.spark_partition_id())
+    x = cut_lineage(x)  # which range a row falls into must not be sampled twice
+    before = x.groupBy(*keys, "_mw_part").agg(F.count("*").alias("_mw_count"))
+    before = before.withColumn("_mw_before", F.sum("_mw_count").over(Window.partitionBy(*keys).orderBy("_mw_part")) - F.col("_mw_count")).select(*[F.col(k).alias(f"_mw_k{i}") for i, k in enumerate(keys)], F.col("_mw_part").alias("_mw_p"), "_mw_before")
+    x = x.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_mw_part").orderBy(*order)))
+    same = F.col("_mw_part") == F.col("_mw_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_mw_k{i}"))
+    return x.join(before, same).select(*df.columns, (F.col(name) + F.col("_mw_before")).alias(name))
+
+
 def conflict_lines(found: DataFrame) -> DataFrame:
     """(thread_id, n, line): conflicts as numbered lines, the severe first."""
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    n = F.row_number().over(Window.partitionBy("thread_id").orderBy(rank, "spec_a", "spec_b"))
     show = lambda s: strip(F.concat_ws(" ", f"{s}_value", f"{s}_unit"))
-    return found.select("thread_id", n.alias("n"), F.format_string("[%s] %s (%s): %s by %s vs %s by %s", F.upper("severity"), "subject", "category", show("a"), "a_by", show("b"), "b_by").alias("line"))
+    line = F.format_string("[%s] %s (%s): %s by %s vs %s by %s", F.upper("severity"), "subject", "category", show("a"), "a_by", show("b"), "b_by")
+    x = numbered(found.select("thread_id", rank.alias("rank"), "spec_a", "spec_b", line.alias("line")), ["thread_id"], ["rank", "spec_a", "spec_b"])
+    return x.select("thread_id", "n", "line")
 
 
 def category_counts(specs: DataFrame) -> DataFrame:
@@ -95,17 +114,31 @@ def specs_per_person(specs: DataFrame) -> DataFrame:
     return specs.where(F.length("mentioned_by") > 0).groupBy("mentioned_by").agg(F.count("*").alias("n"))
 
 
-def values_by_category(specs: DataFrame) -> DataFrame:
+def values_by_category(specs: DataFrame, bold: bool = False) -> DataFrame:
     """(thread_id, category, values): the distinct "subject: value unit" of a thread's category in order of first mention.
 
     Distinct labels are found before they are gathered; the text of a category is as long as the report asks for.
     """
     val = strip(F.concat_ws(" ", F.coalesce("value", F.lit("")), F.coalesce("unit", F.lit(""))))
-    label = F.when(F.length("subject") > 0, F.concat("subject", F.lit(": "), val)).otherwise(val)
+    shown = F.concat(F.lit("**"), val, F.lit("**")) if bold else val
+    label = F.when(F.length("subject") > 0, F.concat("subject", F.lit(": "), shown)).otherwise(shown)
     d = specs.select("thread_id", "category", "spec_id", label.alias("label")).groupBy("thread_id", "category", F.lower("label").alias("k")).agg(F.min(F.struct("spec_id", "label")).alias("f"))
     return d.groupBy("thread_id", "category").agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda s: s["label"]), " · ").alias("values"), F.count("*").alias("n"))
 
 
+def value_sets(specs: DataFrame, k: int = 6) -> DataFrame:
+    """(thread_id, ord, category, line): the distinct values with units of each thread's first k categories, sorted and joined by " | ".
+
+    Categories come in order of their first record. A record without value adds nothing, a category with no values no line,
+    but it counts as one of the k.
+    """
+    val = strip(F.concat(F.coalesce("value", F.lit("")), F.lit(" "), F.coalesce("unit", F.lit(""))))
+    d = specs.select("thread_id", "category", "spec_id", F.when(F.length("value") > 0, val).alias("val")).groupBy("thread_id", "category", "val").agg(F.min("spec_id").alias("id"))
+    c = d.groupBy("thread_id", "category").agg(F.min("id").alias("id"), F.array_join(F.array_sort(F.collect_list("val")), " | ").alias("line"))  # distinct values, as long as the report
+    w = Window.partitionBy("thread_id").orderBy("id", "category")  # a thread's categories, of which there are some twenty
+    return c.withColumn("ord", F.row_number().over(w)).where((F.col("ord") <= k) & (F.length("line") > 0)).select("thread_id", "ord", "category", "line")
+
+
 def counters(mails: DataFrame, specs: DataFrame, tagged: DataFrame) -> DataFrame:
     """One row of totals."""
     a = mails.agg(F.count("*").alias("n_mails"), F.countDistinct("thread_id").alias("n_threads"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -195,21 +196,85 @@ UNIT_TOKENS = {
 CONNECTORS = ["of", "is", "are", "at", "to", "be", "approximately", "approx", "about", "around", "roughly"]
 
 
+#: Tokens: numbers, words with signs (units too), sentence marks, and what may stand between the ends of a range.
+TOKEN = r"-?\d+(?:\.\d+)?|[°µ]?[A-Za-z]+(?:/[a-z]+)?|[.!?;–/]"
+#: Before that, a dash between digits is made the sign of a range, and a degree sign is joined with its letter.
+TOKEN_STEPS = [(r"(\d) *[-–] *(\d)", "\\1 – \\2"), (r"° +([CFcf])\b", "°\\1")]
+RANGE_SIGNS = ["–", "to", "/"]
+
+
 def token_window_matches(mails: DataFrame, text: str = "body", window: int = 5) -> DataFrame:
     """(mail_id, token_ord, category, raw_match, value, unit): numbers with a unit among the next `window` tokens, past connecting words only.
 
-    Works without a language model: tokens are numbers, words with signs, and sentence marks. A search ends at a sentence
-    mark or, beyond the second token, at any other word. The array functions see one mail at a time.
+    Works without a language model. A search ends at a sentence mark or, beyond the second token, at any other word. A number
+    that a range sign and another number follow gives the range (the other number gives itself). Repetitions of a category
+    and raw match (regardless of case) within a mail count once, the first stays. The array functions see one mail at a time.
     """
-    toks = F.regexp_extract_all(F.col(text), F.lit(r"-?\d+(?:\.\d+)?|[°µ]?[A-Za-z]+(?:/[a-z]+)?|[.!?;]"), F.lit(0))
-    table = F.create_map(*[F.lit(x) for t, (c, u) in UNIT_TOKENS.items() for x in (t, f"{c}|{u}")])
-    x = mails.where(F.col(text).isNotNull()).select("mail_id", toks.alias("k")).select("mail_id", "k", F.posexplode("k").alias("i", "value")).where(F.col("value").rlike(r"^-?\d"))
-    ahead = F.slice("k", F.col("i") + 2, window)
-    kinds = F.transform(ahead, lambda t, j: F.struct(j.alias("j"), F.try_element_at(table, F.lower(t)).alias("u"), (t.isin(".", "!", "?", ";") | ((j >= 2) & ~F.lower(t).isin(CONNECTORS) & F.try_element_at(table, F.lower(t)).isNull())).alias("stop")))
-    hit = F.array_min(F.filter(kinds, lambda s: s["u"].isNotNull()))
-    stop = F.array_min(F.transform(F.filter(kinds, lambda s: s["stop"]), lambda s: s["j"]))
-    x = x.withColumns({"hit": hit, "stop": stop}).where("hit IS NOT NULL AND (stop IS NULL OR stop > hit.j)")
-    return x.select("mail_id", F.col("i").alias("token_ord"), F.split_part("hit.u", F.lit("|"), F.lit(1)).alias("category"), F.concat_ws(" ", "value", F.split_part("hit.u", F.lit("|"), F.lit(2))).alias("raw_match"), "value", F.split_part("hit.u", F.lit("|"), F.lit(2)).alias("unit"))
+    c = F.col(text)
+    for pattern, to in TOKEN_STEPS:
+        c = F.regexp_replace(c, pattern, re.sub(r"\\(\d)", r"$\1", to))
+    table = F.create_map(*[F.lit(x) for t, (g, u) in UNIT_TOKENS.items() for x in (t, f"{g}|{u}")])
+    unit_at = lambda t: F.try_element_at(table, F.lower(t))
+
+    def rows(k: Column) -> Column:
+        def one(value: Column, i: Column) -> Column:
+            ahead = F.slice(k, i + 2, window)
+            kinds = F.transform(ahead, lambda t, j: F.struct(j.alias("j"), unit_at(t).alias("u"), (t.isin(".", "!", "?", ";") | ((j >= 2) & ~t.isin(*RANGE_SIGNS) & ~F.lower(t).isin(CONNECTORS) & unit_at(t).isNull())).alias("stop")))
+            hit = F.array_min(F.filter(kinds, lambda s: s["u"].isNotNull()))
+            stop = F.array_min(F.transform(F.filter(kinds, lambda s: s["stop"]), lambda s: s["j"]))
+            span = F.lower(F.get(k, i + 1)).isin(*RANGE_SIGNS) & F.get(k, i + 2).rlike(r"^\d")
+            return F.when(value.rlike(r"^-?\d"), F.struct(i.alias("token_ord"), F.when(span, F.concat(value, F.lit("-"), F.get(k, i + 2))).otherwise(value).alias("value"), F.when(span, F.concat(value, F.get(k, i + 1), F.get(k, i + 2))).otherwise(value).alias("shown"), hit.alias("hit"), stop.alias("stop")))
+
+        return F.filter(F.transform(k, one), lambda s: s["hit"].isNotNull() & (s["stop"].isNull() | (s["stop"] > s["hit"]["j"])))
+
+    found = F.get(F.transform(F.array(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))), rows), F.lit(0))
+    x = mails.where(F.col(text).isNotNull()).select("mail_id", F.explode_outer(found).alias("x")).where("x IS NOT NULL").select("mail_id", "x.*")
+    x = x.select("mail_id", "token_ord", F.split_part("hit.u", F.lit("|"), F.lit(1)).alias("category"), F.concat_ws(" ", "shown", F.split_part("hit.u", F.lit("|"), F.lit(2))).alias("raw_match"), "value", F.split_part("hit.u", F.lit("|"), F.lit(2)).alias("unit"))
+    first = x.groupBy("mail_id", "category", F.lower("raw_match").alias("_k")).agg(F.min(F.struct("token_ord", "raw_match", "value", "unit")).alias("f"))
+    return first.select("mail_id", "f.token_ord", "category", "f.raw_match", "f.value", "f.unit")
+
+
+def highlighted(context: Column, raw: Column, before: str = "<mark>", after: str = "</mark>") -> Column:
+    """The context with each occurrence of the raw match marked; without raw match, unchanged."""
+    return F.when(F.length(raw) > 0, F.replace(context, raw, F.concat(F.lit(before), raw, F.lit(after)))).otherwise(context)
+
+
+def model_matches(mails: DataFrame, text: str = "body", model: str = "en_core_web_sm") -> DataFrame:
+    """token_window_matches with `subject`: the noun that a number depends on by a language model where spaCy and the model are
+    installed on the executors (loaded once per worker), else "" so that the nearest subject word of the context is taken."""
+
+    def make() -> object:
+        nlp = load_model(model)
+
+        def one(mail: object, body: str, numbers: list[str]) -> list[tuple]:
+            if nlp is None:
+                return [(mail, v, "") for v in dict.fromkeys(numbers)]
+            heads: dict[str, str] = {}
+            for chunk in range(0, len(body), nlp.max_length):
+                for tok in nlp(body[chunk : chunk + nlp.max_length]):
+                    if tok.text in numbers and tok.text not in heads:
+                        nouns = [tok.head, *[c for c in tok.head.children if c.i != tok.i], *[tok.doc[j] for j in range(tok.i - 1, max(0, tok.i - 6), -1)]]
+                        heads[tok.text] = next((n.text.capitalize() for n in nouns if n.pos_ in ("NOUN", "PROPN")), "")
+            return [(mail, v, heads.get(v, "")) for v in dict.fromkeys(numbers)]
+
+        return one
+
+    found = token_window_matches(mails, text)
+    kind = mails.schema["mail_id"].dataType.simpleString()
+    asked = found.groupBy("mail_id").agg(F.collect_list("value").alias("numbers")).join(mails.select("mail_id", text), "mail_id").select("mail_id", text, "numbers")  # one mail's numbers
+    subjects = flat_map(asked, make, f"mail_id {kind}, value string, subject string")
+    return found.join(subjects, ["mail_id", "value"], "left").select(*found.columns, F.coalesce("subject", F.lit("")).alias("subject"))
+
+
+@lru_cache(maxsize=1)
+def load_model(name: str) -> object | None:
+    """The language model, or None where the library or the model isn't installed."""
+    try:
+        import spacy
+
+        return spacy.load(name)
+    except (ImportError, OSError):
+        return None
 
 
 def hybrid(regex: DataFrame, other: DataFrame, keys: tuple[str, ...] = ("mail_id", "category", "value", "unit")) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailweave.operators.records import timeline_span, values_by_category
+from mailweave.operators.records import timeline_span, value_sets, values_by_category
 from mailweave.operators.sentences import sentence_category
 
 
@@ -19,31 +19,74 @@ def _lines(df: DataFrame, order: str, text: str, name: str, k: int | None = None
 
 
 def thread_summary(mails: DataFrame, specs: DataFrame, tagged: DataFrame, people: DataFrame, items: int = 5, events: DataFrame | None = None) -> DataFrame:
-    """(thread_id, summary): overview, specifications by category, participants by mails sent, open items, span of dates.
+    """(thread_id, summary): overview, organisations, specifications by category, participants, open items, span of dates.
 
-    All categories and all who sent mails are listed; of the open items the first `items`, with the number of the others.
-    Dates are those of the timeline over specs and events (tagged if none are given).
+    All categories and all who sent mails are listed, with role and number of specifications; of the open items the first
+    `items`, with their flags and the number of the others. Dates and events are those of the timeline over specs and events
+    (tagged if none are given).
 
     Sets are sorted, so the text doesn't depend on the run. A thread without mails has no row; missing parts are left out,
     and without open items the summary says so.
     """
-    head = mails.groupBy("thread_id").agg(F.count("*").alias("n_mails"), F.countDistinct("subject").alias("n_subjects"), F.min("subject").alias("subject"))
+    head = mails.groupBy("thread_id").agg(F.count("*").alias("n_mails"), F.countDistinct(F.when(F.length("subject") > 0, F.col("subject"))).alias("n_subjects"), F.min(F.when(F.length("subject") > 0, F.col("subject"))).alias("subject"))
     n_specs = specs.groupBy("thread_id").agg(F.count("*").alias("n_specs"))
-    cats = _lines(values_by_category(specs).withColumn("line", F.concat(F.lit("- **"), F.col("category"), F.lit(":** "), F.col("values"))), "category", "line", "cats")
-    ranked = people.where("mails_sent > 0").select("thread_id", F.format_string("%012d%s", 999999999999 - F.col("mails_sent"), "address").alias("o"), F.concat(F.lit("- **"), F.coalesce("name", F.lit("Unknown")), F.lit("**"), F.when(F.length("company") > 0, F.concat(F.lit(" ("), "company", F.lit(")"))).otherwise(""), F.lit(" — "), F.col("mails_sent").cast("string"), F.lit(" mail(s)")).alias("line"))
-    who = _lines(ranked, "o", "line", "people")
+    n_people = people.groupBy("thread_id").agg(F.count("*").alias("n_persons"))
+    orgs = people.where("length(company) > 0").select("thread_id", "company").distinct().groupBy("thread_id").agg(F.array_join(F.array_sort(F.collect_list("company")), ", ").alias("orgs"))  # distinct companies
+    cats = _lines(values_by_category(specs, bold=True).withColumn("line", F.concat(F.lit("- **"), F.col("category"), F.lit(":** "), F.col("values"))), "category", "line", "cats")
+    if "role" not in people.columns:
+        people = people.withColumn("role", F.lit(""))
+    part = lambda c, text: F.when(c, text).otherwise("")
+    line = F.concat(
+        F.lit("- **"), F.coalesce("name", F.lit("Unknown")), F.lit("**"), part(F.length("company") > 0, F.concat(F.lit(" ("), "company", F.lit(")"))), part(F.length("role") > 0, F.concat(F.lit(" — "), "role")),
+        F.lit(" — "), F.col("mails_sent").cast("string"), F.lit(" mail(s)"), part(F.col("specs_mentioned") > 0, F.concat(F.lit(", mentioned "), F.col("specs_mentioned").cast("string"), F.lit(" spec(s)"))),
+    )
+    who = _lines(people.where("mails_sent > 0").select("thread_id", F.format_string("%012d%s", 999999999999 - F.col("mails_sent"), "address").alias("o"), line.alias("line")), "o", "line", "people")
     short = F.when(F.length("sentence") > 150, F.concat(F.left("sentence", F.lit(150)), F.lit("..."))).otherwise(F.col("sentence"))
-    open_ = _lines(tagged.where("is_unresolved").select("thread_id", "ord", F.concat(F.lit("- "), short, F.lit(" ("), F.coalesce("mentioned_by", F.lit("")), F.lit(")")).alias("line")), "ord", "line", "open", items)
+    flags = F.coalesce(F.nullif(F.array_join("trigger_keywords", ", "), F.lit("")), F.lit("—")) if "trigger_keywords" in tagged.columns else F.lit("—")
+    open_ = _lines(tagged.where("is_unresolved").select("thread_id", "ord", F.concat(F.lit("- *\""), short, F.lit("\"* → **"), F.coalesce("mentioned_by", F.lit("")), F.lit("** | Flags: "), flags).alias("line")), "ord", "line", "open", items)
     dates = timeline_span(specs, tagged if events is None else events)
-    x = head.join(n_specs, "thread_id", "left").join(cats, "thread_id", "left").join(who, "thread_id", "left").join(open_, "thread_id", "left").join(dates, "thread_id", "left")
-    topic = F.when(F.col("n_subjects") == 1, F.col("subject")).otherwise(F.concat(F.col("n_subjects").cast("string"), F.lit(" topics")))
+    x = head
+    for side in (n_specs, n_people, orgs, cats, who, open_, dates):
+        x = x.join(side, "thread_id", "left")
     num = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
-    more = F.when(F.col("n_open") > items, F.concat(F.lit("\n... and "), (F.col("n_open") - items).cast("string"), F.lit(" more"))).otherwise("")
+    topic = F.when(F.col("n_subjects") == 1, F.col("subject")).otherwise(F.concat(F.col("n_subjects").cast("string"), F.lit(" topics")))
+    more = F.when(F.col("n_open") > items, F.concat(F.lit("\n... and "), (F.col("n_open") - items).cast("string"), F.lit(" more open items."))).otherwise("")
+    text = F.concat_ws(
+        "\n",
+        F.lit("## Executive Summary"), F.concat(F.lit("**Thread:** "), topic, F.lit(" | **Mails:** "), num("n_mails"), F.lit(" | **Participants:** "), num("n_persons"), F.lit(" | **Specs:** "), num("n_specs"), F.lit(" | **Open:** "), num("n_open")),
+        F.concat(F.lit("**Organizations:** "), "orgs"), F.concat(F.lit("### Key Specifications\n"), "cats"), F.concat(F.lit("### Participants\n"), "people"),
+        F.when(F.col("open").isNotNull(), F.concat(F.lit("### Action Items ("), num("n_open"), F.lit(")\n"), "open", more)).otherwise("### No Open Items\nAll items appear resolved."),
+        F.when(F.col("first").isNotNull(), F.concat(F.lit("### Timeline\nFrom "), "first", F.lit(" to "), "last", F.lit(", "), F.col("n_events").cast("string"), F.lit(" events."))),
+    )
+    return x.select("thread_id", text.alias("summary"))
+
+
+def extractive_summary(mails: DataFrame, specs: DataFrame, tagged: DataFrame, people: DataFrame, chosen: DataFrame, items: int = 3) -> DataFrame:
+    """(thread_id, summary): header with participants and up to three organisations, the values of the first six categories, two
+    decisions among the thread's best sentences, three open items with the number of the others.
+
+    chosen has the thread's best sentences (thread_id, sent_id, sentence), as ranking.diverse_top gives them. Sets are sorted.
+    Missing parts are left out; a thread with none says so. A thread without mails has no row.
+    """
+    head = mails.groupBy("thread_id").agg(F.count("*").alias("n_mails"))
+    n_people = people.groupBy("thread_id").agg(F.count("*").alias("n_people"))
+    orgs = people.where("length(company) > 0 AND company <> 'Unknown'").select("thread_id", "company").distinct().groupBy("thread_id").agg(F.count("*").alias("n_orgs"), F.array_sort(F.collect_list("company")).alias("o"))
+    orgs = orgs.select("thread_id", F.concat(F.lit(" across "), F.col("n_orgs").cast("string"), F.lit(" organization(s) ("), F.array_join(F.slice("o", 1, 3), ", "), F.lit(")")).alias("orgs"))
+    cats = _lines(value_sets(specs).withColumn("line", F.concat(F.lit("- **"), "category", F.lit(":** "), "line")), "ord", "line", "cats")
+    best = _lines(decisions(chosen).withColumn("line", F.concat(F.lit('- "'), "sentence", F.lit('"'))), "ord", "line", "best")
+    bare = F.regexp_replace("sentence", r"^[>\s]+", "")
+    open_ = _lines(tagged.where("is_unresolved").select("thread_id", "ord", F.concat(F.lit("- "), bare, F.lit(" *(Asked by "), F.coalesce(F.nullif("mentioned_by", F.lit("")), F.lit("Unknown")), F.lit(")*")).alias("line")), "ord", "line", "open", items)
+    some = specs.select("thread_id").distinct().withColumn("has_specs", F.lit(True))
+    x = head
+    for side in (n_people, orgs, cats, best, open_, some):
+        x = x.join(side, "thread_id", "left")
+    more = F.when(F.col("n_open") > items, F.concat(F.lit("\n- *...and "), (F.col("n_open") - items).cast("string"), F.lit(" more unresolved item(s).*"))).otherwise("")
     text = F.concat_ws(
         "\n",
-        F.lit("## Executive Summary"), F.concat(F.lit("**Thread:** "), topic, F.lit(" | **Mails:** "), num("n_mails"), F.lit(" | **Specs:** "), num("n_specs"), F.lit(" | **Open:** "), num("n_open")),
-        F.when(F.col("cats").isNotNull(), F.concat(F.lit("### Key Specifications\n"), "cats")), F.when(F.col("people").isNotNull(), F.concat(F.lit("### Participants\n"), "people")),
-        F.when(F.col("open").isNotNull(), F.concat(F.lit("### Action Items\n"), "open", more)).otherwise("### No Open Items"), F.when(F.col("first").isNotNull(), F.concat(F.lit("### Timeline\n"), "first", F.lit(" to "), "last")),
+        F.lit("### Executive Engineering Summary"),
+        F.concat(F.lit("This thread contains **"), F.col("n_mails").cast("string"), F.lit(" mails** with **"), F.coalesce("n_people", F.lit(0)).cast("string"), F.lit(" participants**"), F.coalesce("orgs", F.lit("")), F.lit(".")),
+        F.concat(F.lit("**Finalized / Proposed Specifications:**\n"), "cats"), F.concat(F.lit("**Key Agreements & Statements:**\n"), "best"), F.concat(F.lit("**Pending Action Items & Questions:**\n"), "open", more),
+        F.when(F.col("has_specs").isNull() & F.col("open").isNull() & F.col("best").isNull(), "*No specific engineering parameters or action items were identified in this thread.*"),
     )
     return x.select("thread_id", text.alias("summary"))
 

@@ -223,12 +223,29 @@ SQL["d6_jaccard_neighbours"] = f"""WITH {PARAS}, w AS (SELECT mail_id, para_ord,
 
 @query
 def d4_fuzzy_within_mail(spark: SparkSession, root: str) -> DataFrame:
-    return P.fuzzy_within_mail(P.first_occurrences(P.paragraphs(mails(spark, root)))).select("mail_id", "para_ord", F.md5("paragraph").alias("paragraph_md5"))
+    return P.fuzzy_within_mail(P.first_occurrences(P.paragraphs(mails(spark, root)))).select("mail_id", F.col("para_ord").cast("long").alias("para_ord"), F.md5("paragraph").alias("paragraph_md5"))
 
 
 @query
 def d5_fuzzy_within_thread(spark: SparkSession, root: str) -> DataFrame:
-    return P.fuzzy_within_thread(P.paragraphs(mails(spark, root))).select("mail_id", "para_ord", F.md5("paragraph").alias("paragraph_md5"))
+    return P.fuzzy_within_thread(P.paragraphs(mails(spark, root))).select("mail_id", F.col("para_ord").cast("long").alias("para_ord"), F.md5("paragraph").alias("paragraph_md5"))
+
+
+_EXACT = f"{PARAS}, r AS (SELECT *, row_number() OVER (PARTITION BY thread_id, CASE WHEN length(norm) >= 10 THEN md5(norm) ELSE mail_id || '-' || para_ord END ORDER BY mail_ord, mail_id, para_ord) AS n FROM p), x AS (SELECT thread_id, mail_ord, mail_id, para_ord, paragraph, length(norm) < 10 AS short, list_distinct(regexp_extract_all(lower(paragraph), '[a-z0-9]+')) AS w FROM r WHERE n = 1)"
+_JACCARD = "len(list_intersect({a}, {b})) >= 0.85 * len(list_distinct(list_concat({a}, {b})))"
+# the scan itself, one paragraph of each mail a step
+SQL["d4_fuzzy_within_mail"] = f"""WITH RECURSIVE {_EXACT}, o AS (SELECT *, row_number() OVER (PARTITION BY mail_id ORDER BY para_ord) AS i FROM x),
+    g AS (SELECT mail_id, para_ord, paragraph, i, CASE WHEN short THEN [] ELSE [w] END AS seen, true AS kept FROM o WHERE i = 1 UNION ALL
+        SELECT mail_id, para_ord, paragraph, i, CASE WHEN short OR rep THEN seen ELSE list_append(seen, w) END, NOT rep FROM (SELECT o.*, g.seen, NOT o.short AND len(o.w) >= 5 AND len(list_filter(g.seen, lambda s: len(s) > 0 AND {_JACCARD.format(a='o.w', b='s')})) > 0 AS rep FROM g JOIN o ON o.mail_id = g.mail_id AND o.i = g.i + 1))
+    SELECT mail_id, para_ord, md5(paragraph) AS paragraph_md5 FROM g WHERE kept"""
+# the scan over paragraphs that are similar to an earlier one, one of each thread a step
+SQL["d5_fuzzy_within_thread"] = f"""WITH RECURSIVE {_EXACT}, o AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY mail_ord, mail_id, para_ord) AS i FROM x), c AS (SELECT * FROM o WHERE NOT short AND len(w) >= 5),
+    e AS (SELECT b.thread_id, b.i, list(a.i) AS earlier FROM c a JOIN c b ON a.thread_id = b.thread_id AND a.i < b.i AND len(a.w) >= 0.85 * len(b.w) AND len(b.w) >= 0.85 * len(a.w) AND {_JACCARD.format(a='a.w', b='b.w')} GROUP BY 1, 2),
+    q AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY i) AS k FROM e),
+    g AS (SELECT DISTINCT thread_id, 0::BIGINT AS k, []::BIGINT[] AS gone FROM q UNION ALL
+        SELECT q.thread_id, q.k, CASE WHEN len(list_filter(q.earlier, lambda a: NOT list_contains(g.gone, a))) > 0 THEN list_append(g.gone, q.i) ELSE g.gone END FROM g JOIN q ON q.thread_id = g.thread_id AND q.k = g.k + 1),
+    f AS (SELECT thread_id, arg_max(gone, k) AS gone FROM g GROUP BY 1)
+    SELECT mail_id, para_ord, md5(paragraph) AS paragraph_md5 FROM o LEFT JOIN f USING (thread_id) WHERE f.gone IS NULL OR NOT list_contains(f.gone, o.i)"""
 
 
 @query
@@ -317,14 +334,32 @@ SQL["x5_false_positives"] = f"SELECT spec_id, (({_NEAR}) OR (coalesce(unit, '')
 
 @query
 def n2_token_units(spark: SparkSession, root: str) -> DataFrame:
-    return X.token_window_matches(mails(spark, root))
+    return X.token_window_matches(mails(spark, root)).withColumn("token_ord", F.col("token_ord").cast("long"))
+
+
+_UNIT_KEYS, _UNIT_VALUES = "[" + ", ".join(lit(k) for k in X.UNIT_TOKENS) + "]", "[" + ", ".join(lit(f"{c}|{u}") for c, u in X.UNIT_TOKENS.values()) + "]"
+_LISTED = lambda words: "(" + ", ".join(lit(w) for w in words) + ")"
+TOKENS = f"""tk AS (SELECT mail_id, regexp_extract_all({steps('body', X.TOKEN_STEPS)}, {lit(X.TOKEN)}) AS k FROM m), tu AS (SELECT mail_id, k, unnest(range(len(k))) AS i FROM tk),
+    tw AS (SELECT *, k[i + 1] AS value, k[i + 2:i + 6] AS ahead FROM tu WHERE regexp_matches(k[i + 1], '^-?\\d')),
+    th AS (SELECT *, list_min(list_filter(range(len(ahead)), lambda j: list_contains({_UNIT_KEYS}, lower(ahead[j + 1])))) AS hit, list_min(list_filter(range(len(ahead)), lambda j: ahead[j + 1] IN ('.', '!', '?', ';') OR (j >= 2 AND ahead[j + 1] NOT IN {_LISTED(X.RANGE_SIGNS)} AND lower(ahead[j + 1]) NOT IN {_LISTED(X.CONNECTORS)} AND NOT list_contains({_UNIT_KEYS}, lower(ahead[j + 1]))))) AS stop,
+        coalesce(lower(k[i + 2]) IN {_LISTED(X.RANGE_SIGNS)} AND regexp_matches(k[i + 3], '^\\d'), false) AS span FROM tw),
+    tz AS (SELECT mail_id, i AS token_ord, {_UNIT_VALUES}[list_position({_UNIT_KEYS}, lower(ahead[hit + 1]))] AS cu, CASE WHEN span THEN value || '-' || k[i + 3] ELSE value END AS value, CASE WHEN span THEN value || k[i + 2] || k[i + 3] ELSE value END AS shown FROM th WHERE hit IS NOT NULL AND (stop IS NULL OR stop > hit)),
+    tq AS (SELECT mail_id, token_ord, split_part(cu, '|', 1) AS category, shown || ' ' || split_part(cu, '|', 2) AS raw_match, value, split_part(cu, '|', 2) AS unit FROM tz QUALIFY row_number() OVER (PARTITION BY mail_id, category, lower(raw_match) ORDER BY token_ord) = 1)"""
+SQL["n2_token_units"] = f"WITH {MAILS}, {TOKENS} SELECT * FROM tq"
 
 
 @query
 def n5_hybrid(spark: SparkSession, root: str) -> DataFrame:
     m = mails(spark, root)
     cols = ("mail_id", "category", "raw_match", "value", "unit")
-    return X.hybrid(X.category_matches(m).select(*cols), X.token_window_matches(m).select(*cols))
+    trim = F.regexp_replace("unit", r"[^A-Za-z°µ%\"/.\-\s]$", "")
+    return X.hybrid(X.category_matches(m).withColumn("unit", trim).select(*cols), X.token_window_matches(m).select(*cols))
+
+
+SQL["n5_hybrid"] = f"""WITH g AS (SELECT mail_id, category, raw_match, value, unit FROM ({SQL['x1_category_matches']})), {MAILS}, {TOKENS},
+    h AS (SELECT mail_id, category, raw_match, value, unit FROM tq t WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.mail_id = t.mail_id AND lower(g.category) = lower(t.category) AND lower(coalesce(g.value, '')) = lower(t.value) AND lower(coalesce(g.unit, '')) = lower(t.unit))
+        QUALIFY row_number() OVER (PARTITION BY mail_id, lower(category), lower(value), lower(unit) ORDER BY category, raw_match, value, unit) = 1)
+    SELECT *, 'regex' AS origin FROM g UNION ALL SELECT *, 'tokens' FROM h"""
 
 
 # ---- sentences
@@ -474,6 +509,9 @@ def a2_specs_mentioned(spark: SparkSession, root: str) -> DataFrame:
     return Pe.people_table(m, X.category_matches(m)).where("specs_mentioned > 0").select("thread_id", "address", "specs_mentioned")
 
 
+SQL["a2_specs_mentioned"] = f"WITH g AS (SELECT mail_id, count(*) AS n FROM ({SQL['x1_category_matches']}) GROUP BY 1), {MENTIONS} SELECT thread_id, address, sum(n)::BIGINT AS specs_mentioned FROM mx JOIN g USING (mail_id) WHERE is_sender GROUP BY 1, 2"
+
+
 # ---- records
 
 
@@ -518,6 +556,10 @@ def conflict_lines(spark: SparkSession, root: str) -> DataFrame:
     return R.conflict_lines(R.conflicts(table(spark, root, "specs"))).select("thread_id", "n", "line")
 
 
+SQL["conflict_lines"] = f"""WITH c AS ({SQL['conflicts']}), s AS (SELECT c.*, {s_strip("concat_ws(' ', a_value, lower(" + s_strip("coalesce(x.unit, '')") + "))")} AS sa, {s_strip("concat_ws(' ', b_value, lower(" + s_strip("coalesce(y.unit, '')") + "))")} AS sb, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS rank FROM c JOIN specs x ON x.spec_id = c.spec_a JOIN specs y ON y.spec_id = c.spec_b)
+    SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY rank, spec_a, spec_b) AS n, format('[{{}}] {{}} ({{}}): {{}} by {{}} vs {{}} by {{}}', upper(severity), subject, category, sa, a_by, sb, b_by) AS line FROM s"""
+
+
 @query
 def a9_category_counts(spark: SparkSession, root: str) -> DataFrame:
     return R.category_counts(table(spark, root, "specs"))
@@ -612,12 +654,27 @@ SQL["o1_mail_order"] = "SELECT delivery_id, thread_id, strftime(date, '%Y-%m-%d
 # ---- ranking and summaries
 
 
+def thread_of(spark: SparkSession, root: str) -> DataFrame:
+    """(k, thread_id): the thread of each message identifier, the first by name if there are several."""
+    from mailweave.operators.delivery_dedup import normal_id
+
+    return table(spark, root, "messages").select(normal_id(F.col("message_id")).alias("k"), "thread_id").where("k IS NOT NULL").groupBy("k").agg(F.min("thread_id").alias("thread_id"))
+
+
+def _in_threads(spark: SparkSession, root: str) -> DataFrame:
+    """tagged_sentences with thread_id; one whose message isn't known is a thread of its own."""
+    from mailweave.operators.delivery_dedup import normal_id
+
+    t = table(spark, root, "tagged_sentences").withColumn("k", normal_id(F.col("message_id")))
+    return t.join(thread_of(spark, root), "k", "left").drop("k").withColumn("thread_id", F.coalesce("thread_id", F.concat(F.lit("#"), F.col("sentence_id").cast("string"))))
+
+
 def _ranked(spark: SparkSession, root: str) -> DataFrame:
-    t = table(spark, root, "tagged_sentences")
-    return t.where("sentence IS NOT NULL AND mentioned_address IS NOT NULL").select(F.lower("mentioned_address").alias("thread_id"), F.col("sentence_id").alias("sent_id"), "sentence")
+    return _in_threads(spark, root).where("sentence IS NOT NULL").select("thread_id", F.col("sentence_id").alias("sent_id"), "sentence")
 
 
-_SENT = "t AS (SELECT lower(mentioned_address) AS thread_id, sentence_id AS sent_id, sentence FROM tagged_sentences WHERE sentence IS NOT NULL AND mentioned_address IS NOT NULL)"
+_THREADS = f"mth AS (SELECT {_K} AS k, min(thread_id) AS thread_id FROM messages WHERE {_K} IS NOT NULL GROUP BY 1), ts AS (SELECT s.*, coalesce(mth.thread_id, '#' || sentence_id) AS thread_id FROM (SELECT *, {_K} AS k FROM tagged_sentences) s LEFT JOIN mth USING (k))"
+_SENT = f"{_THREADS}, t AS (SELECT thread_id, sentence_id AS sent_id, sentence FROM ts WHERE sentence IS NOT NULL)"
 _STOPS = ", ".join(lit(w) for w in STOP_WORDS)
 TFIDF = f"""{_SENT}, w AS (SELECT thread_id, sent_id, list_filter({_TOKENS}, lambda x: x NOT IN ({_STOPS}) AND length(x) > 1) AS k FROM t),
     tf AS (SELECT thread_id, sent_id, term, count(*)::DOUBLE / max(n) AS tf FROM (SELECT thread_id, sent_id, len(k) AS n, unnest(k) AS term FROM w) GROUP BY 1, 2, 3),
@@ -646,21 +703,68 @@ def r2_textrank(spark: SparkSession, root: str) -> DataFrame:
     return Ra.rank_sentences(_ranked(spark, root)).select("thread_id", "sent_id", F.round("score", 5).alias("score"))
 
 
+UNITS = f"{TFIDF}, z AS (SELECT thread_id, sent_id, sqrt(sum(w * w)) AS z FROM v GROUP BY 1, 2 HAVING sqrt(sum(w * w)) > 0), u AS (SELECT v.*, w / z AS u FROM v JOIN z USING (thread_id, sent_id))"
+SIMILAR = f"{UNITS}, sm AS (SELECT a.thread_id, a.sent_id AS i, b.sent_id AS j, sum(a.u * b.u) AS sim FROM u a JOIN u b ON a.thread_id = b.thread_id AND a.term = b.term AND a.sent_id <> b.sent_id GROUP BY 1, 2, 3)"
+# power iteration, a round a step; each thread ends on its own; a node's row of weight 0 to itself carries its old score along
+RANKED = f"""{SIMILAR}, ow AS (SELECT i, sum(sim) AS o FROM sm GROUP BY 1), ed AS (SELECT thread_id, i, j, sim / o AS w FROM sm JOIN ow USING (i) UNION ALL SELECT thread_id, sent_id, sent_id, 0.0 FROM t),
+    pr AS (SELECT t.thread_id, sent_id, n, 1.0::DOUBLE / n AS score, 0 AS it, false AS done FROM t JOIN nn USING (thread_id) UNION ALL
+        SELECT thread_id, sent_id, n, new, it + 1, max(abs(new - old)) OVER (PARTITION BY thread_id) < 1e-4 FROM (
+            SELECT ed.thread_id, ed.j AS sent_id, pr.n, pr.it, 0.15::DOUBLE / pr.n + 0.85::DOUBLE * sum(ed.w * pr.score) AS new, max(CASE WHEN ed.i = ed.j THEN pr.score END) AS old FROM pr JOIN ed ON ed.thread_id = pr.thread_id AND ed.i = pr.sent_id WHERE NOT pr.done AND pr.it < 100 GROUP BY ed.thread_id, ed.j, pr.n, pr.it)),
+    rk AS (SELECT thread_id, sent_id, CASE WHEN any_value(n) = 1 THEN 1.0 ELSE arg_max(score, it) END AS score FROM pr GROUP BY 1, 2)"""
+SQL["r2_textrank"] = f"WITH RECURSIVE {RANKED} SELECT thread_id, sent_id, round(score, 5) AS score FROM rk"
+
+
+def _diverse(top: int) -> str:
+    """The greedy choice, one sentence of each thread's ranking a step."""
+    return f"""{RANKED}, od AS (SELECT rk.thread_id, rk.sent_id, coalesce(h.near, []) AS near, row_number() OVER (PARTITION BY rk.thread_id ORDER BY round(score, 9) DESC, rk.sent_id) AS pos FROM rk LEFT JOIN (SELECT i, list(j) AS near FROM sm WHERE sim > 0.7 GROUP BY 1) h ON h.i = rk.sent_id),
+    ch AS (SELECT DISTINCT thread_id, 0::BIGINT AS pos, []::BIGINT[] AS chosen FROM od UNION ALL
+        SELECT od.thread_id, od.pos, CASE WHEN len(ch.chosen) < {top} AND NOT list_has_any(ch.chosen, od.near) THEN list_append(ch.chosen, od.sent_id) ELSE ch.chosen END FROM ch JOIN od ON od.thread_id = ch.thread_id AND od.pos = ch.pos + 1),
+    dv AS (SELECT thread_id, unnest(chosen) AS sent_id FROM (SELECT thread_id, arg_max(chosen, pos) AS chosen FROM ch GROUP BY 1))"""
+
+
 @query
 def r3_diverse_top(spark: SparkSession, root: str) -> DataFrame:
     s = _ranked(spark, root)
     return Ra.diverse_top(s, Ra.rank_sentences(s))
 
 
+SQL["r3_diverse_top"] = f"WITH RECURSIVE {_diverse(8)} SELECT thread_id, sent_id, sentence FROM dv JOIN t USING (thread_id, sent_id)"
+
+
+def _counted_people(spark: SparkSession, root: str, m: DataFrame) -> DataFrame:
+    """People with the number of recorded specifications of their mails."""
+    from mailweave.operators.delivery_dedup import normal_id
+
+    ids = table(spark, root, "messages").select(F.col("delivery_id").alias("mail_id"), normal_id(F.col("message_id")).alias("k"))
+    recorded = table(spark, root, "specs").select(normal_id(F.col("message_id")).alias("k")).where("k IS NOT NULL")
+    return Pe.people_table(m, ids.join(recorded, "k").select("mail_id"))
+
+
 @query
 def r4_thread_summary(spark: SparkSession, root: str) -> DataFrame:
     m = mails(spark, root)
-    specs, tagged = _records(spark, root)
-    from mailweave.operators.delivery_dedup import normal_id
-
-    threads = table(spark, root, "messages").select(normal_id(F.col("message_id")).alias("k"), "thread_id").where("k IS NOT NULL").groupBy("k").agg(F.min("thread_id").alias("thread_id"))
-    t = tagged.withColumn("k", normal_id(F.col("message_id"))).join(threads, "k").withColumn("ord", F.col("sentence_id"))
-    return Su.thread_summary(m, specs, t, Pe.people_table(m))
+    return Su.thread_summary(m, table(spark, root, "specs"), _in_threads(spark, root).withColumn("ord", F.col("sentence_id")), _counted_people(spark, root, m))
+
+
+PEOPLE = f"""{MENTIONS}, pf AS (SELECT *, count(*) FILTER (WHERE is_sender) OVER (PARTITION BY thread_id, address) AS mails_sent, row_number() OVER (PARTITION BY thread_id, address ORDER BY mail_ord, mail_id, slot) AS n FROM mx),
+    pg AS (SELECT pf.*, m.body FROM pf JOIN m USING (mail_id) WHERE n = 1), pk AS (SELECT delivery_id AS mail_id, n FROM (SELECT delivery_id, {_K} AS k FROM messages) JOIN (SELECT {_K} AS k, count(*) AS n FROM specs GROUP BY 1) USING (k)),
+    pn AS (SELECT thread_id, address, sum(n)::BIGINT AS specs_mentioned FROM mx JOIN pk USING (mail_id) WHERE is_sender GROUP BY 1, 2),
+    pp AS (SELECT pg.thread_id, pg.address, CASE WHEN is_sender AND length(sender_name) > 0 THEN sender_name ELSE {_NAME} END AS name, {_COMPANY} AS company, CASE WHEN is_sender THEN {_role_sql()} ELSE '' END AS role, mails_sent, coalesce(specs_mentioned, 0) AS specs_mentioned FROM pg LEFT JOIN pn USING (thread_id, address))"""
+_BOLD = f"(CASE WHEN length(subject) > 0 THEN subject || ': ' ELSE '' END || '**' || {s_strip("concat_ws(' ', coalesce(value, ''), coalesce(unit, ''))")} || '**')"
+_SHORT = "CASE WHEN length(sentence) > 150 THEN left(sentence, 150) || '...' ELSE sentence END"
+SQL["r4_thread_summary"] = f"""WITH {PEOPLE}, {_THREADS}, hd AS (SELECT thread_id, count(*) AS n_mails, count(DISTINCT nullif(subject, '')) AS n_subjects, min(nullif(subject, '')) AS subject FROM m GROUP BY 1),
+    ns AS (SELECT thread_id, count(*) AS n_specs FROM specs GROUP BY 1), np AS (SELECT thread_id, count(*) AS n_persons FROM pp GROUP BY 1), og AS (SELECT thread_id, string_agg(DISTINCT company, ', ' ORDER BY company) AS orgs FROM pp WHERE length(company) > 0 GROUP BY 1),
+    vc AS (SELECT thread_id, category, string_agg(label, ' · ' ORDER BY id) AS vals FROM (SELECT thread_id, category, arg_min(label, spec_id) AS label, min(spec_id) AS id FROM (SELECT *, {_BOLD} AS label FROM specs) GROUP BY thread_id, category, lower(label)) GROUP BY 1, 2),
+    ca AS (SELECT thread_id, string_agg('- **' || category || ':** ' || vals, chr(10) ORDER BY category) AS cats FROM vc GROUP BY 1),
+    wh AS (SELECT thread_id, string_agg('- **' || coalesce(name, 'Unknown') || '**' || CASE WHEN length(company) > 0 THEN ' (' || company || ')' ELSE '' END || CASE WHEN length(role) > 0 THEN ' — ' || role ELSE '' END || ' — ' || mails_sent || ' mail(s)' || CASE WHEN specs_mentioned > 0 THEN ', mentioned ' || specs_mentioned || ' spec(s)' ELSE '' END, chr(10) ORDER BY mails_sent DESC, address) AS people FROM pp WHERE mails_sent > 0 GROUP BY 1),
+    oi AS (SELECT thread_id, sentence_id, '- *"' || {_SHORT} || '"* → **' || coalesce(mentioned_by, '') || '** | Flags: ' || coalesce(nullif(array_to_string(trigger_keywords, ', '), ''), '—') AS line, row_number() OVER (PARTITION BY thread_id ORDER BY sentence_id) AS r, count(*) OVER (PARTITION BY thread_id) AS n_open FROM ts WHERE is_unresolved),
+    op AS (SELECT thread_id, string_agg(line, chr(10) ORDER BY r) FILTER (WHERE r <= 5) AS items, any_value(n_open) AS n_open FROM oi GROUP BY 1),
+    dt AS (SELECT thread_id, min(date_str) AS first, max(date_str) AS last, count(*) AS n_events FROM (SELECT thread_id, date_str FROM specs WHERE length(date_str) > 0 UNION ALL SELECT thread_id, date_str FROM ts WHERE length(date_str) > 0 AND is_unresolved) GROUP BY 1)
+    SELECT thread_id, concat_ws(chr(10), '## Executive Summary', '**Thread:** ' || CASE WHEN n_subjects = 1 THEN subject ELSE n_subjects || ' topics' END || ' | **Mails:** ' || n_mails || ' | **Participants:** ' || coalesce(n_persons, 0) || ' | **Specs:** ' || coalesce(n_specs, 0) || ' | **Open:** ' || coalesce(n_open, 0),
+        '**Organizations:** ' || orgs, '### Key Specifications' || chr(10) || cats, '### Participants' || chr(10) || people,
+        CASE WHEN items IS NOT NULL THEN '### Action Items (' || n_open || ')' || chr(10) || items || CASE WHEN n_open > 5 THEN chr(10) || '... and ' || (n_open - 5) || ' more open items.' ELSE '' END ELSE '### No Open Items' || chr(10) || 'All items appear resolved.' END,
+        '### Timeline' || chr(10) || 'From ' || first || ' to ' || last || ', ' || n_events || ' events.') AS summary
+    FROM hd LEFT JOIN ns USING (thread_id) LEFT JOIN np USING (thread_id) LEFT JOIN og USING (thread_id) LEFT JOIN ca USING (thread_id) LEFT JOIN wh USING (thread_id) LEFT JOIN op USING (thread_id) LEFT JOIN dt USING (thread_id)"""
 
 
 @query
@@ -669,6 +773,40 @@ def r5_decisions(spark: SparkSession, root: str) -> DataFrame:
     return Su.decisions(Ra.diverse_top(s, Ra.rank_sentences(s), top=10))
 
 
+_KIND = SQL["g6_sentence_category"].split("SELECT sentence_id, ", 1)[1].rsplit(" AS kind FROM", 1)[0]
+_CUT = f"CASE WHEN length(bare) > 200 THEN left(bare, 200) || '...' ELSE bare END"
+_DECIDED = f"{_diverse(10)}, dc AS (SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY sent_id) AS ord, {_CUT} AS sentence FROM (SELECT thread_id, sent_id, regexp_replace(sentence, '^[>\\s]+', '') AS bare, {_KIND} AS kind FROM dv JOIN t USING (thread_id, sent_id)) WHERE kind = 'decision' QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY sent_id) <= 2)"
+SQL["r5_decisions"] = f"WITH RECURSIVE {_DECIDED} SELECT * FROM dc"
+
+
+@query
+def r5_extractive_summary(spark: SparkSession, root: str) -> DataFrame:
+    s, m = _ranked(spark, root), mails(spark, root)
+    chosen = Ra.diverse_top(s, Ra.rank_sentences(s), top=10)
+    return Su.extractive_summary(m, table(spark, root, "specs"), _in_threads(spark, root).withColumn("ord", F.col("sentence_id")), _counted_people(spark, root, m), chosen)
+
+
+@query
+def a6_value_sets(spark: SparkSession, root: str) -> DataFrame:
+    return R.value_sets(table(spark, root, "specs")).withColumn("ord", F.col("ord").cast("long"))
+
+
+_VAL6 = s_strip("(coalesce(value, '') || ' ' || coalesce(unit, ''))")
+VALUE_SETS = f"""vs AS (SELECT thread_id, category, CASE WHEN length(value) > 0 THEN {_VAL6} END AS val, min(spec_id) AS id FROM specs GROUP BY 1, 2, 3), vg AS (SELECT thread_id, category, min(id) AS id, string_agg(val, ' | ' ORDER BY val) AS line FROM vs GROUP BY 1, 2),
+    vl AS (SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY id, category) AS ord, category, line FROM vg)"""
+SQL["a6_value_sets"] = f"WITH {VALUE_SETS} SELECT * FROM vl WHERE ord <= 6 AND length(line) > 0"
+SQL["r5_extractive_summary"] = f"""WITH RECURSIVE {PEOPLE}, {_DECIDED}, {VALUE_SETS}, hd AS (SELECT thread_id, count(*) AS n_mails FROM m GROUP BY 1), np AS (SELECT thread_id, count(*) AS n_people FROM pp GROUP BY 1),
+    og AS (SELECT thread_id, ' across ' || len(o) || ' organization(s) (' || array_to_string(o[1:3], ', ') || ')' AS orgs FROM (SELECT thread_id, list(DISTINCT company ORDER BY company) AS o FROM pp WHERE length(company) > 0 AND company <> 'Unknown' GROUP BY 1)),
+    ca AS (SELECT thread_id, string_agg('- **' || category || ':** ' || line, chr(10) ORDER BY ord) AS cats FROM vl WHERE ord <= 6 AND length(line) > 0 GROUP BY 1),
+    be AS (SELECT thread_id, string_agg('- "' || sentence || '"', chr(10) ORDER BY ord) AS best FROM dc GROUP BY 1),
+    oi AS (SELECT thread_id, '- ' || regexp_replace(sentence, '^[>\\s]+', '') || ' *(Asked by ' || coalesce(nullif(mentioned_by, ''), 'Unknown') || ')*' AS line, row_number() OVER (PARTITION BY thread_id ORDER BY sentence_id) AS r, count(*) OVER (PARTITION BY thread_id) AS n_open FROM ts WHERE is_unresolved),
+    op AS (SELECT thread_id, string_agg(line, chr(10) ORDER BY r) FILTER (WHERE r <= 3) AS items, any_value(n_open) AS n_open FROM oi GROUP BY 1), sp AS (SELECT DISTINCT thread_id, true AS has_specs FROM specs)
+    SELECT thread_id, concat_ws(chr(10), '### Executive Engineering Summary', 'This thread contains **' || n_mails || ' mails** with **' || coalesce(n_people, 0) || ' participants**' || coalesce(orgs, '') || '.', '**Finalized / Proposed Specifications:**' || chr(10) || cats,
+        '**Key Agreements & Statements:**' || chr(10) || best, '**Pending Action Items & Questions:**' || chr(10) || items || CASE WHEN n_open > 3 THEN chr(10) || '- *...and ' || (n_open - 3) || ' more unresolved item(s).*' ELSE '' END,
+        CASE WHEN has_specs IS NULL AND items IS NULL AND best IS NULL THEN '*No specific engineering parameters or action items were identified in this thread.*' END) AS summary
+    FROM hd LEFT JOIN np USING (thread_id) LEFT JOIN og USING (thread_id) LEFT JOIN ca USING (thread_id) LEFT JOIN be USING (thread_id) LEFT JOIN op USING (thread_id) LEFT JOIN sp USING (thread_id)"""
+
+
 @query
 def r6_prompts(spark: SparkSession, root: str) -> DataFrame:
     return Su.prompts(mails(spark, root))
@@ -701,6 +839,12 @@ def w5_rate_limit(spark: SparkSession, root: str) -> DataFrame:
     return R.rate_limited(e, "user_id", "ts", limit=2, seconds=3600).select("event_id", "accepted")
 
 
+SQL["w5_rate_limit"] = """WITH RECURSIVE o AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    g AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, false AS accepted, []::TIMESTAMP[] AS q FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+        SELECT user_id, i, event_id, len(live) < 2, CASE WHEN len(live) < 2 THEN list_append(live, ts) ELSE live END FROM (SELECT o.*, list_filter(g.q, lambda t: o.ts - t < INTERVAL 3600 SECOND) AS live FROM g JOIN o ON o.user_id = g.user_id AND o.i = g.i + 1))
+    SELECT event_id, accepted FROM g WHERE i > 0"""
+
+
 @query
 def win_window_counts(spark: SparkSession, root: str) -> DataFrame:
     x = window_counts(table(spark, root, "events"), window="1 day")
