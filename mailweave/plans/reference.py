@@ -303,7 +303,8 @@ SQL["x4_materials"] = f"WITH {MAILS}, k AS (SELECT unnest([{', '.join(lit(x) for
 
 @query
 def x_extract_specs(spark: SparkSession, root: str) -> DataFrame:
-    return X.extract_specs(mails(spark, root))
+    x = X.extract_specs(mails(spark, root)).withColumn("match_ord", F.col("match_ord").cast("long"))
+    return x.select("mail_id", "match_ord", "category", "raw_match", "value", "unit", "context", "subject")
 
 
 @query
@@ -313,6 +314,45 @@ def x3_subject(spark: SparkSession, root: str) -> DataFrame:
 
 
 _CTX, _VAL = "lower(coalesce(context, ''))", "lower(coalesce(value, ''))"
+
+
+def _around(text: str) -> str:
+    """The sentence of text that holds the offset `off` (characters before it)."""
+    left, right = f"left({text}, off)", f"substr({text}, off + 1)"
+    end = rf"(?s)^(.*?[.!?\n]){WS}"
+    return s_strip(f"(regexp_replace({left}, {lit(rf'(?s)^.*[.!?\n]{WS}+')}, '') || CASE WHEN {s_match(right, end)} THEN regexp_extract({right}, {lit(end)}, 1) ELSE {right} END)")
+
+
+def _located() -> str:
+    """CTE `lm`: matches with their offsets, from the lengths of the pieces between matches and of the matches before."""
+    parts = []
+    for n, (category, pattern) in enumerate(X.PATTERNS):
+        p = _re2(category, pattern)
+        value = "raw_match" if category == "Thread/Bolt" else f"regexp_extract(raw_match, {lit(p)}, 1)"
+        unit = "''" if category in X.UNITLESS else f"regexp_extract(raw_match, {lit(p)}, 2)"
+        parts.append(
+            f"SELECT mail_id, t, {n} AS n, {lit(category)} AS category, raw_match, {value} AS value, {unit} AS unit, off FROM (SELECT mail_id, any_value(t) AS t, arg_min(r, pos) AS raw_match, arg_min(off, pos) AS off FROM ("
+            f"SELECT mail_id, t, pos, {s_strip(_raw(category))} AS r, off FROM (SELECT mail_id, t, unnest(range(len(x))) AS pos, unnest(x) AS raw, unnest(list_transform(range(len(x)), lambda i: coalesce(list_sum(list_transform(b[1:i + 1], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(x[1:i], lambda y: length(y))), 0)))::BIGINT AS off "
+            f"FROM (SELECT mail_id, t, regexp_extract_all(t, {lit(p)}) AS x, regexp_split_to_array(t, {lit(p)}) AS b FROM f))) GROUP BY mail_id, lower(r))"
+        )
+    return "lm AS (" + " UNION ALL ".join(parts) + ")"
+
+
+_MATERIAL_LIST = ", ".join(lit(k) for k in dict((m.lower(), m) for m in reversed(MATERIALS)).values())
+_FALSE = lambda: f"((coalesce({_NEAR}, false)) OR (coalesce(unit, '') = '' AND regexp_matches({_V}, '^\\d+$') AND length({_V}) >= 5) OR regexp_matches(coalesce(raw_match, ''), {lit('(?i)' + X.SKIP_PHONE)}) OR (regexp_matches(coalesce(context, ''), {lit(_PIN)}) AND regexp_matches({_V}, '^\\d+$') AND length({_V}) BETWEEN 5 AND 6))"
+
+
+def extracted() -> str:
+    """CTEs up to `xe`: (mail_id, match_ord, category, raw_match, value, unit, context, subject), false positives taken out."""
+    return f"""{MAILS}, f AS (SELECT mail_id, {PREFILTER} AS t FROM m WHERE length(body) > 0), {_located()},
+    ml AS (SELECT unnest([{_MATERIAL_LIST}]) AS material, unnest(range({len(set(x.lower() for x in MATERIALS))})) AS mo), mm AS (SELECT mail_id, body AS t, 100 + {len(MATERIALS)} - mo AS n, 'Material' AS category, material AS raw_match, material AS value, '' AS unit, instr(lower(body), lower(material)) - 1 AS off FROM m JOIN ml ON contains(lower(body), lower(material))),
+    la AS (SELECT *, row_number() OVER (PARTITION BY mail_id ORDER BY n, off) - 1 AS match_ord, {_around('t')} AS context FROM (SELECT * FROM lm UNION ALL SELECT * FROM mm)),
+    kw AS (SELECT unnest([{', '.join(lit(x) for x in SUBJECTS)}]) AS k, unnest(range({len(SUBJECTS)})) AS i),
+    sc AS (SELECT mail_id, match_ord, k, CASE WHEN instr({_CTX}, {_VAL}) > 0 THEN i ELSE 0 END AS i, CASE WHEN instr({_CTX}, {_VAL}) > 0 THEN abs(instr({_CTX}, k) - instr({_CTX}, {_VAL})) ELSE instr({_CTX}, k) - 1 END AS d FROM la, kw WHERE contains({_CTX}, k)),
+    sb AS (SELECT mail_id, match_ord, k FROM sc QUALIFY row_number() OVER (PARTITION BY mail_id, match_ord ORDER BY d, i, k) = 1),
+    xe AS (SELECT mail_id, match_ord, category, raw_match, value, unit, context, coalesce({s_capital('k')}, '') AS subject FROM la LEFT JOIN sb USING (mail_id, match_ord) WHERE category = 'Material' OR NOT {_FALSE()})"""
+
+
 SQL["x3_subject"] = f"""WITH k AS (SELECT unnest([{', '.join(lit(x) for x in SUBJECTS)}]) AS k, unnest(range({len(SUBJECTS)})) AS i),
     c AS (SELECT spec_id, k, CASE WHEN instr({_CTX}, {_VAL}) > 0 THEN i ELSE 0 END AS i, CASE WHEN instr({_CTX}, {_VAL}) > 0 THEN abs(instr({_CTX}, k) - instr({_CTX}, {_VAL})) ELSE instr({_CTX}, k) - 1 END AS d FROM specs, k WHERE contains({_CTX}, k)),
     b AS (SELECT spec_id, k FROM c QUALIFY row_number() OVER (PARTITION BY spec_id ORDER BY d, i, k) = 1)
@@ -332,6 +372,24 @@ _PIN = r"(?i)(?:pin|zip|postal)\s*[:.\-]?\s*\d{5,6}|\b\d{6}\b\s*(?:india|us|uk|$
 SQL["x5_false_positives"] = f"SELECT spec_id, (({_NEAR}) OR (coalesce(unit, '') = '' AND regexp_matches({_V}, '^\\d+$') AND length({_V}) >= 5) OR regexp_matches(coalesce(raw_match, ''), {lit('(?i)' + X.SKIP_PHONE)}) OR (regexp_matches(coalesce(context, ''), {lit(_PIN)}) AND regexp_matches({_V}, '^\\d+$') AND length({_V}) BETWEEN 5 AND 6)) AS rejected FROM specs"
 
 
+SQL["x_extract_specs"] = f"WITH {extracted()} SELECT * FROM xe"
+
+
+@query
+def a2_person_specs(spark: SparkSession, root: str) -> DataFrame:
+    m = mails(spark, root)
+    return Pe.specs_of_people(m, X.extract_specs(m)).select("thread_id", "address", "mail_ord", "mail_id", F.col("match_ord").cast("long").alias("match_ord"), "raw_match")
+
+
+@query
+def f11_highlighted(spark: SparkSession, root: str) -> DataFrame:
+    s = table(spark, root, "specs")
+    return s.select("spec_id", X.highlighted(F.col("context"), F.col("raw_match")).alias("shown"))
+
+
+SQL["f11_highlighted"] = "SELECT spec_id, CASE WHEN length(raw_match) > 0 THEN replace(context, raw_match, '<mark>' || raw_match || '</mark>') ELSE context END AS shown FROM specs"
+
+
 @query
 def n2_token_units(spark: SparkSession, root: str) -> DataFrame:
     return X.token_window_matches(mails(spark, root)).withColumn("token_ord", F.col("token_ord").cast("long"))
@@ -485,6 +543,9 @@ def f4_roles(spark: SparkSession, root: str) -> DataFrame:
 SQL["f4_roles"] = f"WITH {MAILS} SELECT mail_id, {_role_sql()} AS role FROM m"
 
 
+SQL["a2_person_specs"] = f"WITH {extracted()}, {MENTIONS.removeprefix(MAILS + ', ')} SELECT thread_id, address, mail_ord, mail_id, match_ord, raw_match FROM mx JOIN xe USING (mail_id) WHERE is_sender"
+
+
 @query
 def a1_mails_sent(spark: SparkSession, root: str) -> DataFrame:
     return Pe.mentions(mails(spark, root)).where("is_sender").groupBy("address").agg(F.count("*").alias("n"))
@@ -832,6 +893,11 @@ def k4_json_lines(spark: SparkSession, root: str) -> DataFrame:
     return json_lines({"specs": specs, "tagged_sentences": tagged})
 
 
+_SPEC_JSON = ", ".join(f"'{c}': {c}" for c in "spec_id thread_id message_id category raw_match value unit subject context mentioned_by mentioned_address date_str source_file".split())
+_TAGGED_JSON = ", ".join(f"'{c}': {c}" for c in "sentence_id message_id sentence context trigger_keywords is_unresolved confidence mentioned_by mentioned_address date_str source_file".split())
+SQL["k4_json_lines"] = f"SELECT 'specs' AS section, to_json({{{_SPEC_JSON}}})::VARCHAR AS json FROM specs UNION ALL SELECT 'tagged_sentences', to_json({{{_TAGGED_JSON}}})::VARCHAR FROM tagged_sentences"
+
+
 @query
 def w5_rate_limit(spark: SparkSession, root: str) -> DataFrame:
     """Events accepted under a limit of two an hour and user."""

@@ -42,10 +42,10 @@ def as_text(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def json_lines(sections: dict[str, DataFrame]) -> DataFrame:
-    """(section, json): each row of each section as a JSON object."""
+    """(section, json): each row of each section as a JSON object, with all its fields."""
     out = None
     for name, df in sections.items():
-        x = df.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("json"))
+        x = df.select(F.lit(name).alias("section"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
         out = x if out is None else out.unionByName(x)
     return out
 
