@@ -164,7 +164,8 @@ def escape_html(c: Column) -> Column:
 
 
 def preview(body: Column, length: int = 500) -> Column:
-    """Body for display: escape sequences deleted, HTML escaped, cut with an ellipsis; "(empty)" for nothing."""
-    c = escape_html(F.regexp_replace(F.coalesce(body, F.lit("")), r"\\u[0-9a-fA-F]{4}", ""))
+    """Body for display: escape sequences of characters decoded (what is none deleted), HTML escaped, cut with an ellipsis; "(empty)" for nothing."""
+    c = _code_points(F.coalesce(body, F.lit("")), r"\\u([0-9a-fA-F]{4})", 16)
+    c = escape_html(F.regexp_replace(c, r"\\u[0-9a-fA-F]{4}", ""))
     c = F.when(F.length(c) > length, F.concat(F.left(c, F.lit(length)), F.lit("..."))).otherwise(c)
     return F.when(F.length(strip(F.coalesce(body, F.lit("")))) == 0, "(empty)").otherwise(c)

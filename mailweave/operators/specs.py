@@ -277,11 +277,14 @@ def load_model(name: str) -> object | None:
         return None
 
 
-def hybrid(regex: DataFrame, other: DataFrame, keys: tuple[str, ...] = ("mail_id", "category", "value", "unit")) -> DataFrame:
-    """regex and those rows of other whose key (regardless of case) regex doesn't have; other's own repetitions count once."""
+def hybrid(regex: DataFrame, other: DataFrame, keys: tuple[str, ...] = ("mail_id", "category", "value", "unit"), extra: list[str] | None = None) -> DataFrame:
+    """regex and those rows of other whose key (regardless of case) regex doesn't have; other's own repetitions count once.
+
+    The columns are those that both have, and `extra` of other, NULL for regex."""
     k = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"_k{i}") for i, c in enumerate(keys)]
     names = [f"_k{i}" for i in range(len(keys))]
-    cols = [c for c in regex.columns if c in other.columns]
+    more = extra or []
+    cols = [c for c in regex.columns if c in other.columns and c not in more]
     w = Window.partitionBy(*names).orderBy(*[F.col(c) for c in cols])
-    extra = other.select(*cols, *k).withColumn("_n", F.row_number().over(w)).where("_n = 1").join(regex.select(*k).distinct(), names, "left_anti").select(*cols)
-    return regex.select(*cols, F.lit("regex").alias("origin")).unionByName(extra.withColumn("origin", F.lit("tokens")))
+    rest = other.select(*cols, *more, *k).withColumn("_n", F.row_number().over(w)).where("_n = 1").join(regex.select(*k).distinct(), names, "left_anti").select(*cols, *more)
+    return regex.select(*cols, F.lit("regex").alias("origin")).unionByName(rest.withColumn("origin", F.lit("tokens")), allowMissingColumns=True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +126,33 @@ class OfflineModel:
         return "The local model isn't reachable."
 
 
+class LocalModel:
+    """A model server on this network: POST {model, prompt} to /api/generate. It is asked first whether it is there; what goes wrong
+    is told in the answer instead of ending the job."""
+
+    def __init__(self, url: str = "http://localhost:11434", model: str = "llama3", probe_seconds: float = 2, seconds: float = 36_000) -> None:
+        self.url, self.model, self.probe_seconds, self.seconds = url, model, probe_seconds, seconds
+
+    def reachable(self) -> bool:
+        try:
+            with urllib.request.urlopen(self.url, timeout=self.probe_seconds) as r:
+                return r.status == 200
+        except (OSError, ValueError):
+            return False
+
+    def complete(self, prompt: str) -> str:
+        if not self.reachable():
+            return f"The local model isn't reachable at {self.url}."
+        body = json.dumps({"model": self.model, "prompt": prompt, "stream": False}).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"{self.url}/api/generate", body, {"Content-Type": "application/json"}), timeout=self.seconds) as r:
+                return json.loads(r.read()).get("response", "The model gave no response.")
+        except TimeoutError:
+            return "The local model took too long to respond."
+        except (OSError, ValueError) as e:
+            return f"The local model failed: {e}"
+
+
 def model_summaries(mails: DataFrame, model: object | None = None) -> DataFrame:
     """(thread_id, answer): a model's answer to each thread's prompt; `model` needs complete(prompt) and must pickle."""
     from mailweave.functions.arrow import flat_map

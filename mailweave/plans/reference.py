@@ -164,7 +164,8 @@ def _escaped(expr: str) -> str:
     return expr
 
 
-_SHOWN = _escaped(rx("body", r"\\u[0-9a-fA-F]{4}"))
+_DECODED = "(SELECT list_reduce(list_concat([t], list_filter(list_distinct(regexp_extract_all(t, '\\\\u[0-9a-fA-F]{4}')), lambda x: lower(x) NOT BETWEEN '\\ud800' AND '\\udfff' AND x <> '\\u0000')), lambda acc, x: replace(acc, x, chr(('0x' || x[3:6])::INT))) FROM (SELECT body AS t))"
+_SHOWN = _escaped(rx(_DECODED, r"\\u[0-9a-fA-F]{4}"))
 text_query("u1_preview", C.preview, f"CASE WHEN length({s_strip('body')}) = 0 THEN '(empty)' WHEN length({_SHOWN}) > 500 THEN left({_SHOWN}, 500) || '...' ELSE {_SHOWN} END")
 
 # ---- paragraphs

@@ -6,8 +6,13 @@ section's rows through the driver one at a time, up to the format's own limit.
 
 from __future__ import annotations
 
+import io
+import json
 import os
 import zipfile
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
@@ -76,11 +81,15 @@ def write_html(path: str, sections: dict[str, DataFrame], title: str = "Mail rep
         f.write("</body></html>")
 
 
-def _cell(text: str) -> str:
-    return "".join(c for c in escape(text[:32767]) if c >= " " or c in "\t\n")
+#: Characters that a spreadsheet's cell can hold; longer texts end there, in that format only.
+CELL_CHARS = 32_767
 
 
-def write_xlsx(path: str, sections: dict[str, DataFrame]) -> None:
+def _cell(text: str, most: int | None = None) -> str:
+    return "".join(c for c in escape(text[:most]) if c >= " " or c in "\t\n")
+
+
+def write_xlsx(path: str | BinaryIO, sections: dict[str, DataFrame]) -> None:
     """A workbook with a sheet per section, headers always, columns as wide as their texts up to 60; written part by part."""
     names = list(sections)
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -102,7 +111,7 @@ def write_xlsx(path: str, sections: dict[str, DataFrame]) -> None:
                 for k, c in enumerate(cols, 1):
                     w(f'<col min="{k}" max="{k}" width="{min(max(len(c), widths[c] or 0) + 2, 60)}" customWidth="1"/>')
                 w("</cols><sheetData>")
-                row = lambda values: "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{_cell(v)}</t></is></c>' for v in values) + "</row>"
+                row = lambda values: "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{_cell(v, CELL_CHARS)}</t></is></c>' for v in values) + "</row>"
                 w(row(cols))
                 for n, r in enumerate(x.toLocalIterator(), 1):
                     if n > SHEET_ROWS:
@@ -111,7 +120,7 @@ def write_xlsx(path: str, sections: dict[str, DataFrame]) -> None:
                 w("</sheetData></worksheet>")
 
 
-def write_docx(path: str, sections: dict[str, DataFrame], title: str = "Mail report") -> None:
+def write_docx(path: str | BinaryIO, sections: dict[str, DataFrame], title: str = "Mail report") -> None:
     """A document with a heading and a table per section; an empty section says so."""
     ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t: f"<w:p><w:r><w:t xml:space=\"preserve\">{_cell(t)}</w:t></w:r></w:p>"
@@ -135,13 +144,76 @@ def write_docx(path: str, sections: dict[str, DataFrame], title: str = "Mail rep
             w("</w:body></w:document>")
 
 
+def read_xlsx(path: str | BinaryIO) -> dict[str, list[list[str]]]:
+    """Rows of each sheet of a workbook with inline texts, headers first."""
+    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(path) as z:
+        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{ns}sheet")]
+        return {n: [["".join(t.text or "" for t in c.iter(f"{ns}t")) for c in r.iter(f"{ns}c")] for r in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{ns}row")] for i, n in enumerate(names, 1)}
+
+
+def read_docx(path: str | BinaryIO) -> list[list[list[str]]]:
+    """Rows of each table of a document, headers first."""
+    ns = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    with zipfile.ZipFile(path) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml"))
+    return [[["".join(t.text or "" for t in c.iter(f"{ns}t")) for c in r.iter(f"{ns}tc")] for r in t.iter(f"{ns}tr")] for t in body.iter(f"{ns}tbl")]
+
+
+#: Sections of the response, by their names in a report.
+RESPONSE = {"Specifications": "specs", "People": "people", "Eng Sentences": "tagged_sentences", "Unresolved": "unresolved_items", "Conflicts": "conflicts", "Timeline": "timeline"}
+
+
+def response(sections: dict[str, DataFrame]) -> dict:
+    """{status, metrics} of a request: the number of mails, its sections as lists of objects, the summary. For the mails of one
+    request, whose number is bounded; the sink for sections of any size is write_tables."""
+    metrics: dict[str, object] = {"emails_processed": sections["Mails"].count()}
+    for name, key in RESPONSE.items():
+        metrics[key] = [json.loads(r[0]) for r in sections[name].select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+    lines = [r["summary"] for r in sections["Summary"].select("summary").collect()]
+    metrics["summary"] = "\n\n".join(lines) if lines else "No mails were analyzed."
+    return {"status": "success", "metrics": metrics}
+
+
+def write_json(path: str, sections: dict[str, DataFrame]) -> None:
+    """One object with a list for each section, written row by row."""
+    with open(path, "w", encoding="utf-8") as f:
+        for n, (name, df) in enumerate(sections.items()):
+            f.write(("," if n else "{") + json.dumps(name) + ":[")
+            for k, r in enumerate(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()):
+                f.write(("," if k else "") + r[0])
+            f.write("]")
+        f.write("}" if sections else "{}")
+
+
+def report_files(sections: dict[str, DataFrame], forms: tuple[str, ...] = ("docx", "xlsx")) -> dict[str, bytes]:
+    """name -> content of reports to download."""
+    out = {}
+    for form in forms:
+        held = io.BytesIO()
+        {"docx": write_docx, "xlsx": write_xlsx}[form](held, sections)
+        out[f"report.{form}"] = held.getvalue()
+    return out
+
+
+def write_back(summaries: DataFrame, make_client: Callable[[], object], field: str = "summary") -> None:
+    """Hand each thread's summary to a client's update(thread_id, {field: text}), one client for each partition."""
+
+    def send(rows: Iterator) -> None:
+        client = make_client()
+        for r in rows:
+            client.update(r["thread_id"], {field: r["summary"]})
+
+    summaries.select("thread_id", "summary").foreachPartition(send)
+
+
 def write_tables(path: str, sections: dict[str, DataFrame]) -> None:
     """A Parquet table per section: the sink for sections of any size."""
     for name, df in sections.items():
         df.write.mode("overwrite").parquet(os.path.join(path, name.lower().replace(" ", "_")))
 
 
-SINKS = {"html": write_html, "xlsx": write_xlsx, "excel": write_xlsx, "docx": write_docx, "tables": write_tables}
+SINKS = {"json": write_json, "html": write_html, "xlsx": write_xlsx, "excel": write_xlsx, "docx": write_docx, "tables": write_tables}
 
 
 def write_report(path: str, sections: dict[str, DataFrame], form: str = "all") -> list[str]:
