@@ -10,6 +10,7 @@ inside a Latin word) and replacement characters, which are reported but can't be
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from mailweave.functions.arrow import flat_map
 LEGACY = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp1250", "iso8859_2", "cp866", "cp1253", "cp1254", "iso8859_15"]
 # Pairs (set in which the text was wrongly read, set in which it had been written).
 SINGLE = [("cp1251", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("koi8_r", "cp1252"), ("cp866", "cp1252"), ("cp1252", "cp1250"), ("cp1252", "iso8859_2"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1250", "cp1252"), ("cp1253", "cp1252"), ("cp1252", "cp1251"), ("latin-1", "cp1252")]
-_TOKEN = re.compile(r"[^ \t\r\n\v\f]*[^\x00-\x7f][^ \t\r\n\v\f]*")
+_TOKEN = re.compile(r"(?<![^ \t\r\n\v\f])[^ \t\r\n\v\f]*[^\x00-\x7f][^ \t\r\n\v\f]*")  # tried at the starts of tokens only, so linear
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _LATIN = r"A-Za-zÀ-ÖØ-öø-ɏ"
 _FOREIGN = re.compile(
@@ -47,13 +48,24 @@ def _bytes_of(codec: str) -> dict[str, int]:
     return table
 
 
+@lru_cache(maxsize=10_000)
+def _script(c: str) -> str | None:
+    """The script of an assigned letter or mark, by the first word of its name; None for other characters."""
+    return unicodedata.name(c, "").split(" ")[0] or None if unicodedata.category(c)[0] in "LM" else None
+
+
 def _plausible(text: str) -> bool:
-    """Characters that mail in the known scripts holds; rare letters make a chance match more likely than damage."""
+    """Characters that are likely in mail, or two or more letters of one script: a single rare letter is more likely a chance
+    match of accents and signs than damage."""
+    scripts: dict[str, int] = {}
     for c in text:
         o = ord(c)
-        if not (0xA0 <= o <= 0x17F or 0x218 <= o <= 0x21B or 0x386 <= o <= 0x3CE or 0x401 <= o <= 0x45F or 0x2010 <= o <= 0x2044 or 0x2070 <= o <= 0x209C or 0x20A0 <= o <= 0x22FF or 0x2500 <= o <= 0x25FF or 0x3000 <= o <= 0x30FF or 0x4E00 <= o <= 0x9FFF or 0xAC00 <= o <= 0xD7A3 or 0xFB00 <= o <= 0xFB04 or 0xFF00 <= o <= 0xFFEF or o == 0xFFFD or 0x2C6 <= o <= 0x2DD or o >= 0x1F000 or 0x80 <= o <= 0x9F):
-            return False
-    return True
+        if not (0x1E00 <= o <= 0x1EFF or o in (0x1A0, 0x1A1, 0x1AF, 0x1B0) or 0xA0 <= o <= 0x17F or 0x218 <= o <= 0x21B or 0x386 <= o <= 0x3CE or 0x401 <= o <= 0x45F or 0x2010 <= o <= 0x2044 or 0x2070 <= o <= 0x209C or 0x20A0 <= o <= 0x22FF or 0x2500 <= o <= 0x25FF or 0x3000 <= o <= 0x30FF or 0x4E00 <= o <= 0x9FFF or 0xAC00 <= o <= 0xD7A3 or 0xFB00 <= o <= 0xFB04 or 0xFF00 <= o <= 0xFFEF or o == 0xFFFD or 0x2C6 <= o <= 0x2DD or o >= 0x1F000 or 0x80 <= o <= 0x9F):
+            script = _script(c)
+            if script is None:
+                return False
+            scripts[script] = scripts.get(script, 0) + 1
+    return not scripts or (len(scripts) == 1 and min(scripts.values()) > 1)
 
 
 def spans(data: list[int]) -> list[tuple[int, int]]:
@@ -110,10 +122,7 @@ def _mixed(token: str) -> bool:
 def _token(token: str) -> tuple[bool, str]:
     """(damaged, repaired) of one token without white space."""
     bad, text = "�" in token, token
-    for _ in range(3):
-        fixed = _RUN.sub(lambda m: _run(m[0]) or m[0], text)
-        if fixed == text:
-            break
+    while (fixed := _RUN.sub(lambda m: _run(m[0]) or m[0], text)) != text:  # each round leaves fewer characters
         bad, text = True, fixed
     if not bad and _mixed(text):
         bad = True

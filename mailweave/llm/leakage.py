@@ -104,21 +104,30 @@ def winnow(g: np.ndarray, w: int = WINDOW) -> np.ndarray:
     return np.unique(best)
 
 
-def follows(doc: np.ndarray, item: np.ndarray, numeric: np.ndarray, shift: int, band: int = 16) -> bool:
+def has_free_stretch(numeric: np.ndarray) -> bool:
+    """Whether MIN_WORDS words in a row have no figure."""
+    at = np.concatenate(([-1], np.nonzero(numeric)[0], [len(numeric)]))
+    return bool((np.diff(at) > MIN_WORDS).any())
+
+
+def follows(doc: np.ndarray, item: np.ndarray, numeric: np.ndarray, shift: int, band: int = 16, free: bool | None = None) -> bool:
     """Whether doc follows MIN_WORDS or more running words of item near the diagonal doc = item + shift, with at most one change in PER_EDIT.
 
     Words are compared on the diagonals of a band; a step to another diagonal costs the words inserted. The band is the 16
     diagonals that a hit's bucket and the next one hold, with 8 more on either side, twice what changes can shift. A stretch whose
-    figures mostly differ from the item's is another question of the same pattern, not a passage.
+    figures mostly differ from the item's is another question of the same pattern, not a passage. free: has_free_stretch(numeric), if known.
     """
     n, m = len(item), len(doc)
-    rows = np.arange(n)[None, :] + np.arange(shift - band, shift + band + 1)[:, None]
-    inside = (rows >= 0) & (rows < m)
-    same = np.zeros(rows.shape, bool)
-    same[inside] = (doc[np.where(inside, rows, 0)] == item[None, :])[inside]
-    hit = same.any(axis=0)
     need = MIN_WORDS - MIN_WORDS // PER_EDIT
-    if n < MIN_WORDS or hit.sum() < need:
+    if n < MIN_WORDS:
+        return False
+    # the document's words on the diagonals shift - band to shift + band, 0 (no word's hash) beyond its ends
+    first, last = shift - band, shift + band + n
+    part = doc[max(first, 0) : max(min(last, m), 0)]
+    part = np.concatenate((np.zeros(min(max(-first, 0), last - first), np.uint64), part, np.zeros(min(max(last - m, 0), last - first), np.uint64)))[: last - first]
+    same = np.ndarray((2 * band + 1, n), np.uint64, np.ascontiguousarray(part), strides=(8, 8)) == item  # a view: row d is the diagonal shift - band + d
+    hit = same.any(axis=0)
+    if np.count_nonzero(hit) < need or not ((hit & numeric).any() or (has_free_stretch(numeric) if free is None else free)):
         return False
     # before the alignment, its own test with every word that occurs in the band taken as met: nothing is lost
     sums = lambda x: np.concatenate(([0], np.cumsum(x)))
@@ -168,11 +177,11 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids = [i for i, _ in items]
-        self.items: list[tuple[np.ndarray, np.ndarray]] = []
+        self.items: list[tuple[np.ndarray, np.ndarray, bool]] = []
         kept, grams, owner, place = [], [], [], []
         for n, (_, text) in enumerate(items):
             h, numeric, _ = hashed_words([text or ""])
-            self.items.append((h, numeric))
+            self.items.append((h, numeric, has_free_stretch(numeric)))
             g = kgrams(h)
             kept.append(g[winnow(g)])
             grams.append(g)
@@ -241,9 +250,9 @@ class Index:
             n = key >> 32
             if n in found:
                 continue
-            item, numeric = self.items[n]
+            item, numeric, free = self.items[n]
             shift = (((key & (2**32 - 1)) - 2**20) << 3) + 8
-            if follows(h, item, numeric, shift):
+            if follows(h, item, numeric, shift, free=free):
                 found.add(n)
         return sorted(self.ids[n] for n in found)
 

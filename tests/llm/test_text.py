@@ -220,3 +220,21 @@ def test_first_authors_by_date_and_place(spark):
     got = {(r["delivery_id"], r["line_no"]): r["evidence"] for r in Q.judged_lines(spark.createDataFrame(rows, MESSAGES)).collect()}
     # a copy is no quotation, nor what the author repeats, another thread, or what stands later in the thread by place
     assert got == {(2, 3): "first_author", (2, 4): "first_author", (7, 3): "first_author", (7, 4): "first_author", (4, 1): "first_author", (4, 2): "first_author", (4, 3): "structure"}
+
+
+@pytest.mark.parametrize("text", ["Việt Nam", "مرحبا بكم", "שלום עולם", "नमस्ते", "สวัสดี", "Đường", "Привет", "日本語"])
+@pytest.mark.parametrize("codec", ["cp1252", "latin-1"])
+def test_scripts_come_back(text, codec):
+    table = E._bytes_of(codec)
+    back = {b: c for c, b in table.items()}
+    wrong = "".join(back.get(b, chr(b)) if b > 127 else chr(b) for b in text.encode("utf-8"))
+    if any(c in "\x85\x1c\xa0\x0b" for c in wrong):
+        pytest.skip("a byte reads as white space, so the word falls into tokens")
+    assert E.repair(wrong) == (True, text)
+
+
+def test_damage_of_any_number_of_rounds():
+    text = wrong = "Prüfstück für Größe"
+    for _ in range(6):
+        wrong = wrong.encode("utf-8").decode("latin-1")
+        assert E.repair(wrong) == (True, text)
