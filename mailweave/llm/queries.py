@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mailweave.llm.encoding import repaired_fields
 from mailweave.llm.leakage import leaked_items
 from mailweave.llm.markup import cleaned_texts
-from mailweave.llm.names import linked_rows
+from mailweave.llm.names import linked_rows, star_clusters
 from mailweave.llm.packing import packed
 from mailweave.llm.quoted import newly_written, not_new_lines
 from mailweave.llm.truncation import cut_documents, cut_share
@@ -43,6 +43,11 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return linked_rows(rows, table(spark, root, "people"))
 
 
+def p4_clusters(spark: SparkSession, root: str) -> DataFrame:
+    m, s = table(spark, root, "messages"), table(spark, root, "specs")
+    return star_clusters(m.select(F.col("sender_name").alias("name")).unionByName(s.select(F.col("mentioned_by").alias("name"))), table(spark, root, "people"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return not_new_lines(spread(table(spark, root, "messages")), table(spark, root, "mailboxes"))
 
@@ -68,7 +73,7 @@ def p10_cut_share(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean_text, p2_found, p2_repaired, p4_found, p7_found, p7_new_text, p8_packed, p9_found, p10_found, p10_cut_share)}
+    return {f.__name__: f for f in (p1_found, p1_clean_text, p2_found, p2_repaired, p4_found, p4_clusters, p7_found, p7_new_text, p8_packed, p9_found, p10_found, p10_cut_share)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -246,3 +246,35 @@ def test_packed(spark):
                 at += n
             assert at == tokens[d]
     assert P.packed(docs.limit(0), kinds).count() == 0
+
+
+def test_star_clusters(spark):
+    p = spark.createDataFrame(PEOPLE, "person_id long, kind string, name string, address string, company string")
+    ted = ["Theodore Fennendezyk", "Fennendezyk, Theodore", "Ted Fennendezyk", "T. Fennendezyk", "Theodre Fennendezyk"]
+    unknown = ["Ottilie Brackwasser", "BRACKWASSER, Ottilie", "O. Brackwasser", "Ottilie Brackwaser", "obrackwasser"]
+    firm = ["Quandrelin Pumps Ltd", "Quandrelin Pumps", "QUANDRELIN PUMPS LIMITED"]
+    s = spark.createDataFrame([(n,) for n in ted + unknown * 2 + firm + ["Somebody Else", None, "", "noreply", "123"]], "name string")
+    got = {r["name"]: (r["cluster"], r["person_id"]) for r in N.star_clusters(s, p).collect()}
+    assert {got[n] for n in ted} == {("Theodore Fennendezyk", 1)}
+    assert len({got[n] for n in unknown}) == 1 and got["Ottilie Brackwasser"][1] is None
+    assert len({got[n] for n in firm}) == 1 and got["Somebody Else"] == ("Somebody Else", None) and set(got) == {*ted, *unknown, *firm, "Somebody Else"}
+    assert N.star_clusters(s.limit(0), p).count() == 0
+
+
+def test_recall_on_names_that_no_list_was_made_for(spark):
+    """Variants of names outside the test tables: typing errors, initials, other orders, and the short forms of the table."""
+    rng = random.Random(12)
+    given = rng.sample(sorted(N.SHORT_NAMES), 60)
+    people = [(i, "person", f"{g.capitalize()} {''.join(rng.choice(['bra', 'kel', 'min', 'dor', 'vas', 'tul', 'rep']) for _ in range(3)).capitalize()}son", None, None) for i, g in enumerate(given)]
+    rows, want = [], []
+    for i, _, name, _, _ in people:
+        g, f = name.split(" ")
+        k = rng.randrange(2, len(f) - 1)
+        for v in (f"{f}, {g}", f"{g[0]}. {f}", f"{g} {f[:k]}{f[k + 1:]}", f"{f.upper()} {g}", f"{N.SHORT_NAMES[g.lower()].split()[0].capitalize()} {f}", f"{g.lower()}.{f.lower()}"):
+            rows.append(("messages", len(rows), v, None))
+            want.append(i)
+    p = spark.createDataFrame(people, "person_id long, kind string, name string, address string, company string")
+    r = spark.createDataFrame(rows, "tab string, rec_id long, name string, address string")
+    got = {x["rec_id"]: x["person_id"] for x in N.linked_rows(r, p).collect()}
+    right = sum(got.get(k) == w for k, w in enumerate(want))
+    assert right / len(want) >= 0.97 and all(got[k] == want[k] for k in got)
