@@ -135,6 +135,29 @@ def context_at(text: str, start: int, end: int, index: tuple[list[int], list[str
     return text[max(0, start - 100) : end + 100].strip()
 
 
+def matches_of(body: str, materials: list[str] = MATERIALS) -> list[tuple]:
+    """(match_ord, category, raw_match, value, unit, context) of one text: distinct matches in order of patterns and offsets, then materials."""
+    filtered = "\n".join(l for l in _REFS.sub("", body).split("\n") if not (l.strip() and _PHONE_LINE.match(l.strip())))
+    index, out, seen = _contexts(filtered), [], set()
+    for category, pattern in _COMPILED:
+        for m in pattern.finditer(filtered):
+            raw = m[0].strip()
+            if (category, raw.lower()) in seen:
+                continue
+            seen.add((category, raw.lower()))
+            value = raw if category == "Thread/Bolt" else m[1]
+            unit = "" if category in UNITLESS else m[2] or ""
+            out.append((len(out), category, raw, value, unit, context_at(filtered, m.start(), m.end(), index)))
+    whole, low = _contexts(body), body.lower()
+    for k, name in {m.lower(): m for m in reversed(materials)}.items():
+        if k in low:
+            out.append((0, "Material", name, name, "", context_at(body, low.find(k), low.find(k) + len(k), whole)))
+    order = {m.lower(): i for i, m in reversed(list(enumerate(materials)))}
+    named = sorted((r for r in out if r[1] == "Material"), key=lambda r: order[r[2].lower()])
+    out = [r for r in out if r[1] != "Material"]
+    return out + [(len(out) + i, *r[1:]) for i, r in enumerate(named)]
+
+
 def extract_matches(mails: DataFrame, text: str = "body", materials: list[str] = MATERIALS) -> DataFrame:
     """(mail_id, match_ord, category, raw_match, value, unit, context): distinct matches per mail in order of patterns and
     offsets, then materials, each with its sentence. One pass in Python, as the JVM's functions don't give match offsets;
@@ -142,29 +165,7 @@ def extract_matches(mails: DataFrame, text: str = "body", materials: list[str] =
     """
 
     def make() -> object:
-        low_materials = list(dict.fromkeys((m.lower(), m) for m in materials))
-
-        def one(mail: object, body: str) -> list[tuple]:
-            filtered = "\n".join(l for l in _REFS.sub("", body).split("\n") if not (l.strip() and _PHONE_LINE.match(l.strip())))
-            index, out, seen = _contexts(filtered), [], set()
-            for category, pattern in _COMPILED:
-                for m in pattern.finditer(filtered):
-                    raw = m[0].strip()
-                    if (category, raw.lower()) in seen:
-                        continue
-                    seen.add((category, raw.lower()))
-                    value = raw if category == "Thread/Bolt" else m[1]
-                    unit = "" if category in UNITLESS else m[2] or ""
-                    out.append((mail, len(out), category, raw, value, unit, context_at(filtered, m.start(), m.end(), index)))
-            whole, low, named = _contexts(body), body.lower(), set()
-            for k, name in low_materials:
-                at = low.find(k)
-                if at >= 0 and k not in named:
-                    named.add(k)
-                    out.append((mail, len(out), "Material", name, name, "", context_at(body, at, at + len(k), whole)))
-            return out
-
-        return one
+        return lambda mail, body: [(mail, *r) for r in matches_of(body, materials)]
 
     kind = mails.schema["mail_id"].dataType.simpleString()
     return flat_map(mails.where(f"length({text}) > 0").select("mail_id", text), make, f"mail_id {kind}, match_ord int, category string, raw_match string, value string, unit string, context string")
