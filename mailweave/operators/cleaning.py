@@ -81,10 +81,10 @@ def strip_disclaimer(body: Column, phrases: list[str] = DISCLAIMER_PHRASES) -> C
 
 
 def line_signal(line: Column) -> Column:
-    """What a line has of a signature: phone, email, url, address or role; "" if nothing."""
+    """What a line has of a signature: phone, mail, url, address or role; "" if nothing."""
     bare = strip(line)
     return (
-        F.when(F.length(bare) == 0, "").when(line.rlike(PHONE) | line.rlike(BARE_PHONE), "phone").when(bare.rlike(ADDRESS_ONLY), "email").when(bare.rlike(URL), "url")
+        F.when(F.length(bare) == 0, "").when(line.rlike(PHONE) | line.rlike(BARE_PHONE), "phone").when(bare.rlike(ADDRESS_ONLY), "mail").when(bare.rlike(URL), "url")
         .when(bare.rlike(STREET) & (F.length(bare) < 120), "address").when((F.length(bare) < 80) & F.lower(bare).rlike(ROLE), "role").otherwise("")
     )
 

@@ -71,5 +71,6 @@ def surplus_deliveries(deliveries: DataFrame, id_col: str = "message_id", order_
 
 
 def exactly_once(deliveries: DataFrame, id_col: str = "message_id", order_col: str = "delivery_id") -> DataFrame:
-    """deliveries without the surplus rows; rows without identifier stay."""
-    return deliveries.join(surplus_deliveries(deliveries, id_col, order_col), order_col, "left_anti")
+    """deliveries without the surplus rows; rows without identifier or without order_col stay. One join, on order_col."""
+    alone = normal_id(F.col(id_col)).isNull() | F.col(order_col).isNull()
+    return deliveries.where(~alone).join(kept_deliveries(deliveries, id_col, order_col), order_col, "left_semi").select(*deliveries.columns).unionByName(deliveries.where(alone))

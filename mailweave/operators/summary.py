@@ -35,9 +35,10 @@ def thread_summary(mails: DataFrame, specs: DataFrame, tagged: DataFrame, people
     n_specs = specs.groupBy("thread_id").agg(F.count("*").alias("n_specs"))
     n_people = people.groupBy("thread_id").agg(F.count("*").alias("n_persons"))
     orgs = people.where("length(company) > 0").select("thread_id", "company").distinct().groupBy("thread_id").agg(F.array_join(F.array_sort(F.collect_list("company")), ", ").alias("orgs"))  # distinct companies
-    cats = _lines(values_by_category(specs, bold=True).withColumn("line", F.concat(F.lit("- **"), F.col("category"), F.lit(":** "), F.col("values"))), "category", "line", "cats")
-    if "role" not in people.columns:
-        people = people.withColumn("role", F.lit(""))
+    cats = _lines(values_by_category(specs).withColumn("line", F.concat(F.lit("- **"), F.col("category"), F.lit(":** "), F.col("values"))), "category", "line", "cats")
+    for c, nothing in (("role", F.lit("")), ("specs_mentioned", F.lit(0))):
+        if c not in people.columns:
+            people = people.withColumn(c, nothing)
     part = lambda c, text: F.when(c, text).otherwise("")
     line = F.concat(
         F.lit("- **"), F.coalesce("name", F.lit("Unknown")), F.lit("**"), part(F.length("company") > 0, F.concat(F.lit(" ("), "company", F.lit(")"))), part(F.length("role") > 0, F.concat(F.lit(" — "), "role")),
@@ -45,21 +46,21 @@ def thread_summary(mails: DataFrame, specs: DataFrame, tagged: DataFrame, people
     )
     who = _lines(people.where("mails_sent > 0").select("thread_id", F.format_string("%012d%s", 999999999999 - F.col("mails_sent"), "address").alias("o"), line.alias("line")), "o", "line", "people")
     short = F.when(F.length("sentence") > 150, F.concat(F.left("sentence", F.lit(150)), F.lit("..."))).otherwise(F.col("sentence"))
-    flags = F.coalesce(F.nullif(F.array_join("trigger_keywords", ", "), F.lit("")), F.lit("—")) if "trigger_keywords" in tagged.columns else F.lit("—")
-    open_ = _lines(tagged.where("is_unresolved").select("thread_id", "ord", F.concat(F.lit("- *\""), short, F.lit("\"* → **"), F.coalesce("mentioned_by", F.lit("")), F.lit("** | Flags: "), flags).alias("line")), "ord", "line", "open", items)
+    flags = F.coalesce(F.concat(F.lit(" — flags: "), F.nullif(F.array_join("trigger_keywords", ", "), F.lit(""))), F.lit("")) if "trigger_keywords" in tagged.columns else F.lit("")
+    open_ = _lines(tagged.where("is_unresolved").select("thread_id", "ord", F.concat(F.lit("- "), short, F.lit(" ("), F.coalesce("mentioned_by", F.lit("")), F.lit(")"), flags).alias("line")), "ord", "line", "open", items)
     dates = timeline_span(specs, tagged if events is None else events)
     x = head
     for side in (n_specs, n_people, orgs, cats, who, open_, dates):
         x = x.join(side, "thread_id", "left")
     num = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
     topic = F.when(F.col("n_subjects") == 1, F.col("subject")).otherwise(F.concat(F.col("n_subjects").cast("string"), F.lit(" topics")))
-    more = F.when(F.col("n_open") > items, F.concat(F.lit("\n... and "), (F.col("n_open") - items).cast("string"), F.lit(" more open items."))).otherwise("")
+    more = F.when(F.col("n_open") > items, F.concat(F.lit("\n... and "), (F.col("n_open") - items).cast("string"), F.lit(" more"))).otherwise("")
     text = F.concat_ws(
         "\n",
         F.lit("## Executive Summary"), F.concat(F.lit("**Thread:** "), topic, F.lit(" | **Mails:** "), num("n_mails"), F.lit(" | **Participants:** "), num("n_persons"), F.lit(" | **Specs:** "), num("n_specs"), F.lit(" | **Open:** "), num("n_open")),
         F.concat(F.lit("**Organizations:** "), "orgs"), F.concat(F.lit("### Key Specifications\n"), "cats"), F.concat(F.lit("### Participants\n"), "people"),
         F.when(F.col("open").isNotNull(), F.concat(F.lit("### Action Items ("), num("n_open"), F.lit(")\n"), "open", more)).otherwise("### No Open Items\nAll items appear resolved."),
-        F.when(F.col("first").isNotNull(), F.concat(F.lit("### Timeline\nFrom "), "first", F.lit(" to "), "last", F.lit(", "), F.col("n_events").cast("string"), F.lit(" events."))),
+        F.when(F.col("first").isNotNull(), F.concat(F.lit("### Timeline ("), F.col("n_events").cast("string"), F.lit(" events)\n"), "first", F.lit(" to "), "last")),
     )
     return x.select("thread_id", text.alias("summary"))
 

@@ -113,7 +113,7 @@ text_query("c5_strip_disclaimer", C.strip_disclaimer, s_disclaimer("body"))
 def s_signal(line: str) -> str:
     bare = s_strip(line)
     return (
-        f"CASE WHEN length({bare}) = 0 THEN '' WHEN {s_match(line, C.PHONE)} OR {s_match(line, C.BARE_PHONE)} THEN 'phone' WHEN {s_match(bare, C.ADDRESS_ONLY)} THEN 'email' WHEN {s_match(bare, C.URL)} THEN 'url' "
+        f"CASE WHEN length({bare}) = 0 THEN '' WHEN {s_match(line, C.PHONE)} OR {s_match(line, C.BARE_PHONE)} THEN 'phone' WHEN {s_match(bare, C.ADDRESS_ONLY)} THEN 'mail' WHEN {s_match(bare, C.URL)} THEN 'url' "
         f"WHEN {s_match(bare, C.STREET)} AND length({bare}) < 120 THEN 'address' WHEN length({bare}) < 80 AND {s_match(f'lower({bare})', C.ROLE)} THEN 'role' ELSE '' END"
     )
 
@@ -812,20 +812,19 @@ PEOPLE = f"""{MENTIONS}, pf AS (SELECT *, count(*) FILTER (WHERE is_sender) OVER
     pg AS (SELECT pf.*, m.body FROM pf JOIN m USING (mail_id) WHERE n = 1), pk AS (SELECT delivery_id AS mail_id, n FROM (SELECT delivery_id, {_K} AS k FROM messages) JOIN (SELECT {_K} AS k, count(*) AS n FROM specs GROUP BY 1) USING (k)),
     pn AS (SELECT thread_id, address, sum(n)::BIGINT AS specs_mentioned FROM mx JOIN pk USING (mail_id) WHERE is_sender GROUP BY 1, 2),
     pp AS (SELECT pg.thread_id, pg.address, CASE WHEN is_sender AND length(sender_name) > 0 THEN sender_name ELSE {_NAME} END AS name, {_COMPANY} AS company, CASE WHEN is_sender THEN {_role_sql()} ELSE '' END AS role, mails_sent, coalesce(specs_mentioned, 0) AS specs_mentioned FROM pg LEFT JOIN pn USING (thread_id, address))"""
-_BOLD = f"(CASE WHEN length(subject) > 0 THEN subject || ': ' ELSE '' END || '**' || {s_strip("concat_ws(' ', coalesce(value, ''), coalesce(unit, ''))")} || '**')"
 _SHORT = "CASE WHEN length(sentence) > 150 THEN left(sentence, 150) || '...' ELSE sentence END"
 SQL["r4_thread_summary"] = f"""WITH {PEOPLE}, {_THREADS}, hd AS (SELECT thread_id, count(*) AS n_mails, count(DISTINCT nullif(subject, '')) AS n_subjects, min(nullif(subject, '')) AS subject FROM m GROUP BY 1),
     ns AS (SELECT thread_id, count(*) AS n_specs FROM specs GROUP BY 1), np AS (SELECT thread_id, count(*) AS n_persons FROM pp GROUP BY 1), og AS (SELECT thread_id, string_agg(DISTINCT company, ', ' ORDER BY company) AS orgs FROM pp WHERE length(company) > 0 GROUP BY 1),
-    vc AS (SELECT thread_id, category, string_agg(label, ' · ' ORDER BY id) AS vals FROM (SELECT thread_id, category, arg_min(label, spec_id) AS label, min(spec_id) AS id FROM (SELECT *, {_BOLD} AS label FROM specs) GROUP BY thread_id, category, lower(label)) GROUP BY 1, 2),
+    vc AS (SELECT thread_id, category, string_agg(label, ' · ' ORDER BY id) AS vals FROM (SELECT thread_id, category, arg_min(label, spec_id) AS label, min(spec_id) AS id FROM (SELECT *, {_LABEL} AS label FROM specs) GROUP BY thread_id, category, lower(label)) GROUP BY 1, 2),
     ca AS (SELECT thread_id, string_agg('- **' || category || ':** ' || vals, chr(10) ORDER BY category) AS cats FROM vc GROUP BY 1),
     wh AS (SELECT thread_id, string_agg('- **' || coalesce(name, 'Unknown') || '**' || CASE WHEN length(company) > 0 THEN ' (' || company || ')' ELSE '' END || CASE WHEN length(role) > 0 THEN ' — ' || role ELSE '' END || ' — ' || mails_sent || ' mail(s)' || CASE WHEN specs_mentioned > 0 THEN ', mentioned ' || specs_mentioned || ' spec(s)' ELSE '' END, chr(10) ORDER BY mails_sent DESC, address) AS people FROM pp WHERE mails_sent > 0 GROUP BY 1),
-    oi AS (SELECT thread_id, sentence_id, '- *"' || {_SHORT} || '"* → **' || coalesce(mentioned_by, '') || '** | Flags: ' || coalesce(nullif(array_to_string(trigger_keywords, ', '), ''), '—') AS line, row_number() OVER (PARTITION BY thread_id ORDER BY sentence_id) AS r, count(*) OVER (PARTITION BY thread_id) AS n_open FROM ts WHERE is_unresolved),
+    oi AS (SELECT thread_id, sentence_id, '- ' || {_SHORT} || ' (' || coalesce(mentioned_by, '') || ')' || coalesce(' — flags: ' || nullif(array_to_string(trigger_keywords, ', '), ''), '') AS line, row_number() OVER (PARTITION BY thread_id ORDER BY sentence_id) AS r, count(*) OVER (PARTITION BY thread_id) AS n_open FROM ts WHERE is_unresolved),
     op AS (SELECT thread_id, string_agg(line, chr(10) ORDER BY r) FILTER (WHERE r <= 5) AS items, any_value(n_open) AS n_open FROM oi GROUP BY 1),
     dt AS (SELECT thread_id, min(date_str) AS first, max(date_str) AS last, count(*) AS n_events FROM (SELECT thread_id, date_str FROM specs WHERE length(date_str) > 0 UNION ALL SELECT thread_id, date_str FROM ts WHERE length(date_str) > 0 AND is_unresolved) GROUP BY 1)
     SELECT thread_id, concat_ws(chr(10), '## Executive Summary', '**Thread:** ' || CASE WHEN n_subjects = 1 THEN subject ELSE n_subjects || ' topics' END || ' | **Mails:** ' || n_mails || ' | **Participants:** ' || coalesce(n_persons, 0) || ' | **Specs:** ' || coalesce(n_specs, 0) || ' | **Open:** ' || coalesce(n_open, 0),
         '**Organizations:** ' || orgs, '### Key Specifications' || chr(10) || cats, '### Participants' || chr(10) || people,
-        CASE WHEN items IS NOT NULL THEN '### Action Items (' || n_open || ')' || chr(10) || items || CASE WHEN n_open > 5 THEN chr(10) || '... and ' || (n_open - 5) || ' more open items.' ELSE '' END ELSE '### No Open Items' || chr(10) || 'All items appear resolved.' END,
-        '### Timeline' || chr(10) || 'From ' || first || ' to ' || last || ', ' || n_events || ' events.') AS summary
+        CASE WHEN items IS NOT NULL THEN '### Action Items (' || n_open || ')' || chr(10) || items || CASE WHEN n_open > 5 THEN chr(10) || '... and ' || (n_open - 5) || ' more' ELSE '' END ELSE '### No Open Items' || chr(10) || 'All items appear resolved.' END,
+        '### Timeline (' || n_events || ' events)' || chr(10) || first || ' to ' || last) AS summary
     FROM hd LEFT JOIN ns USING (thread_id) LEFT JOIN np USING (thread_id) LEFT JOIN og USING (thread_id) LEFT JOIN ca USING (thread_id) LEFT JOIN wh USING (thread_id) LEFT JOIN op USING (thread_id) LEFT JOIN dt USING (thread_id)"""
 
 

@@ -160,7 +160,7 @@ def read_docx(path: str | BinaryIO) -> list[list[list[str]]]:
     return [[["".join(t.text or "" for t in c.iter(f"{ns}t")) for c in r.iter(f"{ns}tc")] for r in t.iter(f"{ns}tr")] for t in body.iter(f"{ns}tbl")]
 
 
-#: Sections of the response, by their names in a report.
+#: Sections of the response, by their names in a report; its field names are those that callers expect.
 RESPONSE = {"Specifications": "specs", "People": "people", "Eng Sentences": "tagged_sentences", "Unresolved": "unresolved_items", "Conflicts": "conflicts", "Timeline": "timeline"}
 
 

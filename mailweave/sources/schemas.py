@@ -6,6 +6,7 @@ MAIL = (
     "message_id string, sender_name string, sender_address string, recipients array<string>, cc array<string>, date timestamp, date_local timestamp_ntz, date_str string, subject string, body string, "
     "source_file string, attachments array<string>, error string"
 )
+# Field names of the request and names of the CRM's objects are those of their senders.
 REQUEST = (
     "emails array<struct<message_id: string, subject: string, body: string, sender_email: string, date_str: string, sender_name: string, recipients: array<string>, cc: array<string>>>, "
     "use_local_ai boolean, ai_model_name string"

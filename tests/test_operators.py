@@ -239,3 +239,34 @@ def test_empty_tables(spark):
     assert X.category_matches(m).count() == 0 and X.extract_specs(m).count() == 0 and S.tag_sentences(m).count() == 0
     assert R.conflicts(specs(spark, [])).count() == 0
     assert Counter() == Counter()
+
+
+def test_summary_has_roles_flags_and_organisations(spark):
+    m = spark.createDataFrame([("a", "Bore"), ("a", None)], "thread_id string, subject string")
+    s = spark.createDataFrame([("a", "Torque", "5", "Nm", "Shaft", 1, "")], "thread_id string, category string, value string, unit string, subject string, spec_id long, date_str string")
+    t = spark.createDataFrame([("a", 1, "who?", "Ann", "", True, ["torque", "rpm"])], "thread_id string, ord long, sentence string, mentioned_by string, date_str string, is_unresolved boolean, trigger_keywords array<string>")
+    p = spark.createDataFrame([("a", "ann@x.example", "Ann", "X", "Engineer", 2, 3)], "thread_id string, address string, name string, company string, role string, mails_sent long, specs_mentioned long")
+    lines = Su.thread_summary(m, s, t, p).first()["summary"].split("\n")
+    assert "**Thread:** Bore | **Mails:** 2 | **Participants:** 1 | **Specs:** 1 | **Open:** 1" in lines and "**Organizations:** X" in lines
+    assert "- **Ann** (X) — Engineer — 2 mail(s), mentioned 3 spec(s)" in lines and "- who? (Ann) — flags: torque, rpm" in lines and "- **Torque:** Shaft: 5 Nm" in lines
+    chosen = spark.createDataFrame([("a", 1, "> We agreed on 5 Nm."), ("a", 2, "The torque is high."), ("a", 3, "It was approved."), ("a", 4, "Also confirmed.")], "thread_id string, sent_id long, sentence string")
+    text = Su.extractive_summary(m, s, t, p, chosen).first()["summary"]
+    assert "across 1 organization(s) (X)" in text and "- **Torque:** 5 Nm" in text and '- "We agreed on 5 Nm."' in text and '- "It was approved."' in text and "Also" not in text and "*(Asked by Ann)*" in text
+    none = Su.extractive_summary(m, s.limit(0), t.limit(0), p.limit(0), chosen.limit(0)).first()["summary"]
+    assert "No specific engineering parameters" in none
+
+
+def test_numbered_is_a_window_over_all(spark):
+    df = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 50 = 1 THEN 'small' ELSE 'hot' END AS k", "(id * 7919) % 5000 AS v")
+    got = {(r["k"], r["v"]): r["n"] for r in R.numbered(df, ["k"], ["v"]).collect()}
+    rows = {}
+    for r in df.collect():
+        rows.setdefault(r["k"], []).append(r["v"])
+    assert got == {(k, v): n for k, vs in rows.items() for n, v in enumerate(sorted(vs), 1)}
+    assert R.numbered(df.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_token_windows_give_ranges_once(spark):
+    m = mails(spark, ["Use 10 - 20 mm, then 10-20 mm. A 65 ° C oil, 5 is the kW. 7 bolts of nice steel mm", None, ""])
+    got = [(r["category"], r["raw_match"], r["value"]) for r in X.token_window_matches(m).orderBy("token_ord").collect()]
+    assert got == [("Dimensions", "10–20 mm", "10-20"), ("Dimensions", "20 mm", "20"), ("Temperature", "65 °C", "65"), ("Power", "5 kW", "5")]
