@@ -18,13 +18,17 @@ def replace_all(c: Column, steps: Steps) -> Column:
     return c
 
 
+#: The characters of that class.
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """c without white space at both ends (all white space, not only blanks)."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    """c without white space at both ends (all white space, not only blanks); looks at the ends only, unlike a pattern."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WS}+\z", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def capitalise(c: Column) -> Column:

@@ -52,9 +52,9 @@ def first_occurrences(paras: DataFrame) -> DataFrame:
     """
     x = paras.withColumn("h", paragraph_hash(F.col("paragraph")))
     key = ["mail_ord", "mail_id", "para_ord"]
-    firsts = x.where("h IS NOT NULL").groupBy("thread_id", "h").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
-    short = x.where("h IS NULL").drop("h")
-    return x.where("h IS NOT NULL").drop("h").join(firsts, key, "left_semi").unionByName(short)
+    firsts = x.where("h IS NOT NULL").groupBy("thread_id", "h").agg(F.min(F.struct(*key)).alias("k")).select("k.*", F.lit(True).alias("_mw_first"))
+    same = [x[k].eqNullSafe(firsts[k]) for k in key]
+    return x.join(firsts, same, "left").where("h IS NULL OR _mw_first").select(*[x[c] for c in paras.columns])
 
 
 def fuzzy_within_mail(paras: DataFrame, threshold: float = FUZZY) -> DataFrame:
