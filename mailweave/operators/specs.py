@@ -82,10 +82,15 @@ def category_matches(mails: DataFrame, categories: list[str] | None = None, text
 
 def subject_of(context: Column, value: Column) -> Column:
     """The subject word nearest to value in context (the first in the list among equals), capitalised; "" if there is none."""
-    low, v = F.lower(context), F.lower(value)
-    at = find(low, v)
-    cands = F.array(*[F.when(find(low, F.lit(k)) >= 0, F.struct(F.when(at >= 0, F.abs(find(low, F.lit(k)) - at)).otherwise(find(low, F.lit(k))).alias("d"), F.when(at >= 0, i).otherwise(0).alias("i"), F.lit(k).alias("k"))) for i, k in enumerate(SUBJECTS)])
-    return F.coalesce(capitalise(F.array_min(F.filter(cands, lambda c: c.isNotNull()))["k"]), F.lit(""))
+    low = F.lower(context)
+
+    def nearest(b: Column) -> Column:
+        hits = F.filter(F.transform(F.array(*[F.lit(k) for k in SUBJECTS]), lambda k, i: F.struct(find(b["low"], k).alias("p"), i.alias("i"), k.alias("k"))), lambda s: s["p"] >= 0)
+        there = b["at"] >= 0
+        return F.array_min(F.transform(hits, lambda s: F.struct(F.when(there, F.abs(s["p"] - b["at"])).otherwise(s["p"]).alias("d"), F.when(there, s["i"]).otherwise(0).alias("i"), s["k"].alias("k"))))["k"]
+
+    # the text in lower case and the value's place are bound once
+    return F.coalesce(capitalise(F.get(F.transform(F.array(F.struct(low.alias("low"), find(low, F.lower(value)).alias("at"))), nearest), F.lit(0))), F.lit(""))
 
 
 def false_positive(category: Column, raw: Column, value: Column, unit: Column, context: Column, whole_words: bool = False) -> Column:
@@ -94,10 +99,17 @@ def false_positive(category: Column, raw: Column, value: Column, unit: Column, c
     Reference words count as parts of words ("po" in "power"), as the rule was meant to be read literally; whole_words asks for words.
     """
     low, v = F.lower(context), F.lower(strip(value))
-    near = F.lit(False)
-    for w in REFERENCE_WORDS:
-        at = (F.regexp_instr(low, F.lit(r"\b" + re.escape(w) + (r"\b" if w[-1].isalnum() else ""))) - 1) if whole_words else find(low, F.lit(w))
-        near = near | ((at >= 0) & (find(low, v) >= 0) & (F.abs(at - find(low, v)) < NEAR))
+    if whole_words:
+        near = F.lit(False)
+        for w in REFERENCE_WORDS:
+            at = F.regexp_instr(low, F.lit(r"\b" + re.escape(w) + (r"\b" if w[-1].isalnum() else ""))) - 1
+            near = near | ((at >= 0) & (find(low, v) >= 0) & (F.abs(at - find(low, v)) < NEAR))
+    else:
+
+        def by_word(b: Column) -> Column:
+            return (b["at"] >= 0) & F.exists(F.transform(F.array(*[F.lit(w) for w in REFERENCE_WORDS]), lambda w: find(b["low"], w)), lambda p: (p >= 0) & (F.abs(p - b["at"]) < NEAR))
+
+        near = F.get(F.transform(F.array(F.struct(low.alias("low"), find(low, v).alias("at"))), by_word), F.lit(0))
     digits = v.rlike(r"^\d+$")
     return near | ((unit == "") & digits & (F.length(v) >= 5)) | raw.rlike("(?i)" + SKIP_PHONE) | (context.rlike("(?i)" + SKIP_PIN) & digits & F.length(v).between(5, 6))
 
