@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,31 @@ def replace_all(c: Column, steps: Steps) -> Column:
     return c
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is computed once however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def replace_guarded(c: Column, steps: Steps, needs: list[tuple[str, ...]]) -> Column:
+    """replace_all for texts of which few have anything to replace: each step runs only on texts that hold one of its literals.
+
+    Literals in lower case are looked for regardless of case; one that begins with ^ is a short pattern.
+    """
+
+    def guarded(step: tuple[str, str], some: tuple[str, ...]) -> Callable[[Column], Column]:
+        def run(x: Column) -> Column:
+            has = F.lit(False)
+            for s in some:
+                has = has | (x.rlike(s[1:]) if s.startswith("^") else F.lower(x).contains(s) if s.islower() else x.contains(s))
+            return F.when(has, replace_all(x, [step])).otherwise(x)
+
+        return run
+
+    for step, some in zip(steps, needs, strict=True):
+        c = bound(c, guarded(step, some))
+    return c
+
+
 #: The characters of that class.
 WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailweave.functions.text import WS, Steps, any_contains, quote, replace_all, rstrip, strip
+from mailweave.functions.text import WS, Steps, any_contains, bound, quote, replace_all, replace_guarded, rstrip, strip
 from mailweave.words import DISCLAIMER_PHRASES, SIGNATURE_MARKERS, SIGNATURE_ROLES
 
 # What each step deletes.
@@ -31,6 +31,10 @@ AUTO_REPLY: Steps = [
     (r"(?i)I (?:am|will be) (?:currently )?(?:out of (?:the )?office|on leave|unavailable)", ""),
     (r"(?im)^Sent from (?:my )?\w+", ""),
 ]
+#: What a text must hold for each step to find something.
+_FORWARDED_NEEDS = [("forwarded message",), ("original message",), ("Sent:",), ("wrote:",), ("_" * 10,), ("-" * 10,), ("=" * 10,), ("\n\n\n",)]
+_CRM_NEEDS, _CALENDAR_NEEDS = [("ref:_",), ("ref:",), (r"^\d{5}",), ("sf-",)], [("when:", "where:", "organizer:", "required:", "optional:"), ("─" * 5,)]
+_AUTO_NEEDS = [("this is an automatic",), ("i am ", "i will be "), ("sent from ",)]
 CONTROLS: Steps = [(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")]
 HTML_TAGS: Steps = [
     (r"(?is)<script[^>]*>.*?</script>", ""), (r"(?is)<style[^>]*>.*?</style>", ""), (r"(?i)<br\s*/?\s*>", "\n"), (r"(?i)</p>", "\n"), (r"(?i)</div>", "\n"), (r"(?i)</tr>", "\n"), (r"<[^>]+>", ""),
@@ -52,19 +56,19 @@ PARAGRAPH_BREAK = rf"\n{WS}*\n"
 
 def strip_forwarded(body: Column) -> Column:
     """Forwarding marks, header blocks up to the subject and rulers deleted; forwarded content stays."""
-    return strip(replace_all(body, FORWARDED))
+    return strip(replace_guarded(body, FORWARDED, _FORWARDED_NEEDS))
 
 
 def strip_crm_refs(body: Column) -> Column:
-    return replace_all(body, CRM_REFS)
+    return replace_guarded(body, CRM_REFS, _CRM_NEEDS)
 
 
 def strip_calendar(body: Column) -> Column:
-    return replace_all(body, CALENDAR)
+    return replace_guarded(body, CALENDAR, _CALENDAR_NEEDS)
 
 
 def strip_auto_reply(body: Column) -> Column:
-    return replace_all(body, AUTO_REPLY)
+    return replace_guarded(body, AUTO_REPLY, _AUTO_NEEDS)
 
 
 def sanitise(text: Column) -> Column:
@@ -82,11 +86,16 @@ def strip_disclaimer(body: Column, phrases: list[str] = DISCLAIMER_PHRASES) -> C
 
 def line_signal(line: Column) -> Column:
     """What a line has of a signature: phone, mail, url, address or role; "" if nothing."""
-    bare = strip(line)
-    return (
-        F.when(F.length(bare) == 0, "").when(line.rlike(PHONE) | line.rlike(BARE_PHONE), "phone").when(bare.rlike(ADDRESS_ONLY), "mail").when(bare.rlike(URL), "url")
-        .when(bare.rlike(STREET) & (F.length(bare) < 120), "address").when((F.length(bare) < 80) & F.lower(bare).rlike(ROLE), "role").otherwise("")
-    )
+
+    def kind(x: Column) -> Column:
+        line, bare, low = x["line"], x["bare"], x["low"]
+        n = F.length(bare)
+        return (
+            F.when(n == 0, "").when(line.rlike(PHONE) | line.rlike(BARE_PHONE), "phone").when(bare.contains("@") & bare.rlike(ADDRESS_ONLY), "mail")
+            .when((low.contains("http") | low.contains("www.") | low.contains(".com")) & bare.rlike(URL), "url").when((n < 120) & bare.rlike(STREET), "address").when((n < 80) & low.rlike(ROLE), "role").otherwise("")
+        )
+
+    return bound(F.struct(line.alias("line"), strip(line).alias("bare"), F.lower(strip(line)).alias("low")), kind)
 
 
 def marker_pattern(markers: list[str] = SIGNATURE_MARKERS) -> str:
