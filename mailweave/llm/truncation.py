@@ -42,7 +42,6 @@ _CLOSED = re.compile(
 _ITEM = re.compile(r"(?:[-*•–]|\d{1,3}[.)])\s+\S")
 _ENDS = ".!?…:,;\x01"
 _UNFINISHED = re.compile(r"(?:,\s*\d*|\b[A-Z]{2}-\d{0,3}|[-:])$")  # no list item ends like this
-_LAST = re.compile(r"\S*\s*\Z")
 _SENTENCE = re.compile(r"[.!?…。][\"”’»)]*\s+")
 CLOSING = re.compile(r"^(?:best|kind|warm|many|with|yours|thanks|thx|cheers|br|regards|mit|viele|freundliche|cordialement|bien|saludos|atentamente|sincerely|mfg|rgds)\b", re.I)
 
@@ -87,13 +86,19 @@ def ending(text: str) -> tuple[str, str, bool]:
     return PROSE, word, True
 
 
+def _without_last(text: str) -> str:
+    """Text without its last token."""
+    bare = text.rstrip()
+    return bare[: max(bare.rfind(c) for c in " \n\t\r\xa0\u3000") + 1]
+
+
 def _count_words() -> object:
     """Batch -> (word, n, n_end): raw tokens are counted first, so each distinct one is taken apart once; the map-side combine."""
 
     def batch(texts: list[str]) -> Iterable[tuple]:
         raw: Counter = Counter()
         for t in texts:
-            whole = _LAST.sub("", t)
+            whole = _without_last(t)
             raw.update(whole.replace("\n", "\x01 ").split())  # \x01 marks the end of a line
         n, ends = Counter(), Counter()
         for token, k in raw.items():
