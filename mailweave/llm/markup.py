@@ -47,7 +47,7 @@ CONSTRUCTS: dict[str, tuple[str, tuple[str, ...], re.Pattern]] = {
     "code": ("markdown", ("`",), re.compile(r"(?<!`)`[^`\n]+(?:\n[^`\n]+)?`(?!`)")),
     "wiki_heading": ("wiki", ("==",), re.compile(_LEAD + r"(={2,6})[^=\n]+\1\s*$", re.M)),
     "wiki_link": ("wiki", ("[[",), re.compile(r"\[\[[^\[\]]+\]\]")),
-    "wiki_url": ("wiki", ("http",), re.compile(r"\[https?://[^\s\]]+ [^\]]+\]|\[[^\[\]|\n]+\|https?://[^\]]+\]")),
+    "wiki_url": ("wiki", ("http",), re.compile(r"\[https?://[^\s\[\]]+ [^\[\]]+\]|\[[^\[\]|\n]+\|https?://[^\[\]]+\]")),
     "template": ("wiki", ("{{",), re.compile(r"\{\{[^{}]+\}\}")),
     "wiki_table": ("wiki", ("{|", "|}", "|-"), re.compile(r"\{\||" + _LEAD + r"\|[-}]\s*$", re.M)),
     "wiki_quotes": ("wiki", ("''",), re.compile(r"''+[^'\n]+(?:\n[^'\n]+)?''+")),
@@ -152,7 +152,7 @@ def parse(source: str) -> Node:
     return b.root
 
 
-_LINKS = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]+(?:\s[^()]*)?\)|\[\[(?:[^|\]]*\|)?([^\]]*)\]\]|\[https?://\S+ ([^\]]+)\]|\[([^\[\]|\n]+)\|https?://[^\]]+\]|\\href\{[^}]*\}\{([^}]*)\}")
+_LINKS = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]+(?:\s[^()]*)?\)|\[\[(?:[^|\]]*\|)?([^\]]*)\]\]|\[https?://[^\s\[\]]+ ([^\[\]]+)\]|\[([^\[\]|\n]+)\|https?://[^\[\]]+\]|\\href\{[^}]*\}\{([^}]*)\}")
 
 
 def block_tree(text: str) -> Node:
@@ -299,7 +299,7 @@ _REWRITE = [
     (re.compile(r"^\{\|[^\n]*\n?|^\|\}\s*\n?|^\|-[^\n]*\n?", re.M), ""), (re.compile(_QUOTE + r"(?:\{\|[^\n]*|\|[-}][ \t]*)(?:\n|\Z)", re.M), ""), (re.compile(_QUOTE_NO_BAR + r"!\s*(.+)$", re.M), lambda m: m[1] + re.sub(r"\s*!!\s*", " | ", m[2])),
     (re.compile(_QUOTE + r"\|\|(.+?)\|\|[ \t]*$", re.M), lambda m: m[1] + " | ".join(x.strip() for x in m[2].split("||"))), (re.compile(_QUOTE_NO_BAR + r"\|?[ \t]*:?-{3,}:?[ \t]*\|[-:| \t]*(?:\n|\Z)", re.M), ""), (re.compile(r"^\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|?\s*$\n?", re.M), ""),
     (re.compile(r"^\|\s?(?=[^\n]*\|)([^\n]*?)\|?\s*$", re.M), lambda m: " | ".join(x.strip() for x in re.split(r"\|+", m[1]))), (re.compile(_QUOTE_NO_BAR + r"\|([^|\n]+\|[^\n]*)\|[ \t]*$", re.M), lambda m: m[1] + " | ".join(x.strip() for x in re.split(r"\|+", m[2]))),
-    (re.compile(r"\[\[(?:File|Image|Datei):([^|\]]*)[^\]]*\]\]"), r"\1"), (re.compile(r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]"), r"\1"), (re.compile(r"\[https?://\S+ ([^\]]+)\]"), r"\1"), (re.compile(r"\[([^\[\]|\n]+)\|https?://[^\]]+\]"), r"\1"),
+    (re.compile(r"\[\[(?:File|Image|Datei):([^|\]]*)[^\]]*\]\]"), r"\1"), (re.compile(r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]"), r"\1"), (re.compile(r"\[https?://[^\s\[\]]+ ([^\[\]]+)\]"), r"\1"), (re.compile(r"\[([^\[\]|\n]+)\|https?://[^\[\]]+\]"), r"\1"),
     (re.compile(r"!?\[([^\[\]]*)\]\([^()\s]+(?:\s[^()]*)?\)"), r"\1"), (re.compile(r"\{\{(?:[^|{}]*\|)?([^{}]*)\}\}"), r"\1"),
     (re.compile(r"''+([^'\n]+(?:\n[^'\n]+)?)''+"), r"\1"), (re.compile(r"(?<![\w*])\*\*(?=[^\s*])([^*\n]*(?:\n[^*\n]+)?)(?<=\S)\*\*(?![\w*])"), r"\1"), (re.compile(r"(?<![\w_])__(?=[^\s_])((?:[^_\n]|\n(?!\s*\n))+)(?<=[^\s_])__(?![\w_])"), r"\1"),
     (re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]+(?:\n[^*\n]+)?)(?<=[^\s*])\*(?![\w*])"), r"\1"), (re.compile(r"(?<![\w_])_(?=[^\s_])([^_\n]+(?:\n[^_\n]+)?)(?<=[^\s_])_(?![\w_])"), r"\1"), (re.compile(r"~~(?=[^\s~])((?:[^~\n]|\n(?!\s*\n))+)(?<=[^\s~])~~"), r"\1"), (re.compile(r"(?<!`)`([^`\n]+(?:\n[^`\n]+)?)`(?!`)"), r"\1"), (re.compile(r"^\* (?=\S)", re.M), "- "),

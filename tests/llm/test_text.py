@@ -238,3 +238,16 @@ def test_damage_of_any_number_of_rounds():
     for _ in range(6):
         wrong = wrong.encode("utf-8").decode("latin-1")
         assert E.repair(wrong) == (True, text)
+
+
+@pytest.mark.parametrize("piece", ["*a", "_a", "[", "<a ", "&amp", "==", "|a", "{{a", "\\a", "''a", "---|", "![a", "[http://a ", "> a\n", "é", "x", "1 ", " \n"])
+def test_long_odd_texts_take_linear_time(piece):
+    import time
+
+    text = piece * (120_000 // len(piece))
+    began = time.time()
+    M.clean(text)
+    E.repair(text)
+    Q.line_kinds(text)
+    T.ending(text)
+    assert time.time() - began < 20
