@@ -868,6 +868,46 @@ SQL["r5_extractive_summary"] = f"""WITH RECURSIVE {PEOPLE}, {_DECIDED}, {VALUE_S
     FROM hd LEFT JOIN np USING (thread_id) LEFT JOIN og USING (thread_id) LEFT JOIN ca USING (thread_id) LEFT JOIN be USING (thread_id) LEFT JOIN op USING (thread_id) LEFT JOIN sp USING (thread_id)"""
 
 
+@query
+def a7_subjects_and_companies(spark: SparkSession, root: str) -> DataFrame:
+    """The distinct subjects and companies of each thread."""
+    m = mails(spark, root)
+    a = m.where("length(subject) > 0").select("thread_id", F.lit("subject").alias("kind"), F.col("subject").alias("name"))
+    b = Pe.people_table(m).where("length(company) > 0").select("thread_id", F.lit("company").alias("kind"), F.col("company").alias("name"))
+    return a.unionByName(b).distinct()
+
+
+SQL["a7_subjects_and_companies"] = f"WITH {PEOPLE} SELECT DISTINCT thread_id, 'subject' AS kind, subject AS name FROM m WHERE length(subject) > 0 UNION ALL SELECT DISTINCT thread_id, 'company', company FROM pp WHERE length(company) > 0"
+
+
+@query
+def a12_timeline_span(spark: SparkSession, root: str) -> DataFrame:
+    return R.timeline_span(table(spark, root, "specs"), _in_threads(spark, root))
+
+
+SQL["a12_timeline_span"] = f"WITH {_THREADS} SELECT thread_id, min(date_str) AS first, max(date_str) AS last, count(*) AS n_events FROM (SELECT thread_id, date_str FROM specs WHERE length(date_str) > 0 UNION ALL SELECT thread_id, date_str FROM ts WHERE length(date_str) > 0 AND is_unresolved) GROUP BY 1"
+
+
+@query
+def o4_participants(spark: SparkSession, root: str) -> DataFrame:
+    """Who sent mails in a thread, by number of mails."""
+    p = Pe.people_table(mails(spark, root)).where("mails_sent > 0").select("thread_id", (-F.col("mails_sent")).alias("less"), "address", "mails_sent")
+    return R.numbered(p, ["thread_id"], ["less", "address"]).select("thread_id", "n", "address", "mails_sent")
+
+
+SQL["o4_participants"] = f"WITH {MENTIONS} SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY count(*) DESC, address) AS n, address, count(*) AS mails_sent FROM mx WHERE is_sender GROUP BY thread_id, address"
+
+
+@query
+def f9_thinking(spark: SparkSession, root: str) -> DataFrame:
+    """Subjects as a model's thinking before bodies as its answer, split again."""
+    thinking, answer = Su.split_thinking(F.concat(F.lit("<think>"), "subject", F.lit("</think>"), "body"))
+    return mails(spark, root).select("mail_id", thinking.alias("thinking"), F.md5(answer).alias("answer_md5"))
+
+
+SQL["f9_thinking"] = f"WITH {MAILS} SELECT mail_id, subject AS thinking, md5(trim(body)) AS answer_md5 FROM m"
+
+
 @query
 def r6_prompts(spark: SparkSession, root: str) -> DataFrame:
     return Su.prompts(mails(spark, root))
