@@ -111,20 +111,25 @@ def textrank_in_memory(texts: list[str], damping: float = 0.85, rounds: int = 10
     if n < 2:
         return [1.0] * n
     terms: dict[str, int] = {}
-    vectors = vectors_of(texts)
-    x = np.zeros((n, len({w for v in vectors for w in v}) or 1))
-    for i, v in enumerate(vectors):
-        for w, k in v.items():
-            x[i, terms.setdefault(w, len(terms))] = k
-    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-    sim = x @ x.T
-    np.fill_diagonal(sim, 0.0)
-    out = sim.sum(axis=1, keepdims=True)
-    step = np.divide(sim, out, out=np.zeros_like(sim), where=out > 0).T
+    rows, cols, vals = [], [], []
+    for i, v in enumerate(vectors_of(texts)):
+        size = math.sqrt(sum(k * k for k in v.values()))
+        for w, k in v.items() if size else ():
+            rows.append(i)
+            cols.append(terms.setdefault(w, len(terms)))
+            vals.append(k / size)
+    row, col, u = np.array(rows, int), np.array(cols, int), np.array(vals, float)
+    own = np.bincount(row, u * u, n)  # the similarity of a sentence to itself
+
+    def product(q: np.ndarray) -> np.ndarray:
+        """For each sentence the sum of similarity times q over the others; linear in the words, as no similarity is listed."""
+        return np.bincount(row, u * np.bincount(col, u * q[row], len(terms))[col], n) - own * q
+
+    out = product(np.ones(n))
+    linked = out > 1e-9
     score = np.full(n, 1.0 / n)
     for _ in range(rounds):
-        new = (1 - damping) / n + damping * (step @ score)
+        new = (1 - damping) / n + damping * np.where(linked, product(np.divide(score, out, out=np.zeros(n), where=linked)), 0.0)
         change = np.abs(new - score).max()
         score = new
         if change < epsilon:
@@ -132,8 +137,8 @@ def textrank_in_memory(texts: list[str], damping: float = 0.85, rounds: int = 10
     return score.tolist()
 
 
-#: Threads of at most so many sentences are ranked in one task each (a matrix of 32 MB); larger ones over their edges.
-IN_MEMORY = 2000
+#: Threads of at most so many sentences are ranked in one task each (some 100 MB); larger ones by the distributed iteration.
+IN_MEMORY = 50_000
 
 
 def rank_sentences(sentences: DataFrame, in_memory: int = IN_MEMORY) -> DataFrame:
