@@ -22,8 +22,9 @@ from mailweave.session import cut_lineage
 #: A word that occurs at least so often is known; one that ends fewer than 1 % of its lines isn't an ending.
 KNOWN, ENDING = 3, 0.01
 #: A length is a limit of its source if at least so many texts have it, so many times as many as the mean of the lengths that
-#: occur within SPREAD, and more than chance gives (so many standard deviations of a Poisson count; the longest length of all needs none).
-LIMIT_TEXTS, LIMIT_EXCESS, SPREAD, DEVIATIONS = 5, 4.0, 100, 6.0
+#: occur within SPREAD, more than chance gives (so many standard deviations of a Poisson count), and SHARP times as many as the two
+#: lengths on either side, as systems that cut at word ends pile up many lengths. The longest length of all needs the first two only.
+LIMIT_TEXTS, LIMIT_EXCESS, SPREAD, DEVIATIONS, SHARP = 5, 4.0, 100, 6.0, 2.0
 #: Words after the last full stop from which on its absence says little: such texts have none anyway.
 UNPUNCTUATED = 40
 #: Evidence for a cut (log odds): half a character, a broken word, a word that never ends a line, the source's limit; by the shape
@@ -143,7 +144,10 @@ def limits(feats: DataFrame, unit: str) -> DataFrame:
     w = Window.partitionBy("source").orderBy("length").rangeBetween(-SPREAD, SPREAD)
     n = feats.groupBy("source", F.col(unit).alias("length")).agg(F.count("*").alias("n")).withColumns({"around": F.sum("n").over(w), "others": F.count("*").over(w) - 1, "longer": F.lead("n").over(Window.partitionBy("source").orderBy("length"))})
     mean = (F.col("around") - F.col("n")) / F.greatest("others", F.lit(1))
-    chance = F.col("longer").isNotNull() & (F.col("n") <= mean + DEVIATIONS * F.sqrt(mean + 1))
+    by = Window.partitionBy("source").orderBy("length")
+    beside = F.greatest(F.coalesce(F.max("n").over(by.rangeBetween(-2, -1)), F.lit(0)), F.coalesce(F.max("n").over(by.rangeBetween(1, 2)), F.lit(0)))
+    n = n.withColumn("beside", beside)
+    chance = F.col("longer").isNotNull() & ((F.col("n") <= mean + DEVIATIONS * F.sqrt(mean + 1)) | (F.col("n") < SHARP * F.col("beside")))
     return n.where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_EXCESS * mean) & ~chance).groupBy(F.col("source").alias(f"{unit}_source")).agg(F.collect_set("length").alias(f"{unit}_limits"))
 
 
