@@ -14,11 +14,12 @@ from mailweave.operators.sentences import sentence_category
 
 def _lines(df: DataFrame, order: str, text: str, name: str, k: int | None = None) -> DataFrame:
     """The texts of each thread, or the first k, joined by line feeds, with the thread's number of texts."""
-    top = df.select("thread_id", F.col(order).alias("_r"), F.col(text).alias("t"))
-    if k is not None:
-        top = top.withColumn("_r", F.row_number().over(Window.partitionBy("thread_id").orderBy("_r"))).where(F.col("_r") <= k)
-    lines = top.groupBy("thread_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "t"))), lambda s: s["t"]), "\n").alias(name))
-    return lines.join(df.groupBy("thread_id").agg(F.count("*").alias(f"n_{name}")), "thread_id")
+    x = df.select("thread_id", F.col(order).alias("_r"), F.col(text).alias("t"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "t"))), lambda s: s["t"]), "\n").alias(name)
+    if k is None:
+        return x.groupBy("thread_id").agg(joined, F.count("*").alias(f"n_{name}"))  # df is computed once
+    top = x.withColumn("_r", F.row_number().over(Window.partitionBy("thread_id").orderBy("_r"))).where(F.col("_r") <= k)
+    return top.groupBy("thread_id").agg(joined).join(x.groupBy("thread_id").agg(F.count("*").alias(f"n_{name}")), "thread_id")
 
 
 def thread_summary(mails: DataFrame, specs: DataFrame, tagged: DataFrame, people: DataFrame, items: int = 5, events: DataFrame | None = None) -> DataFrame:
