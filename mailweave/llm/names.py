@@ -1,9 +1,9 @@
 """Variant spellings of persons and organisations (problem 4).
 
-Candidates by MinHash banding over padded q-grams, the number of bands set from the collision curve; verified by
-Monge-Elkan similarity with a token similarity that knows typing errors, initials and short names; clustered by
-stars: each spelling joins the one centre that it is most similar to. `linked_rows` takes the directory's entries as
-centres, `star_clusters` also finds centres among the spellings, for those whose entity isn't in the directory.
+Candidates by MinHash banding over padded q-grams, the number of bands set from the collision curve, and by keys that
+similar spellings always share; verified by Monge-Elkan similarity with a token similarity that knows typing errors, initials
+and short names; clustered by stars: each spelling joins the one centre that it is most similar to. `linked_rows` takes the
+directory's entries as centres, `star_clusters` also finds centres among the spellings, for those whose entity isn't in the directory.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -49,11 +50,6 @@ TITLES = {"dr", "mr", "mrs", "ms", "prof", "ing", "dipl", "herr", "frau", "ext",
 MACHINES = re.compile(r"no.?reply|mail delivery|automatic reply|mailer.?daemon|postmaster|undisclosed|system", re.I)
 _SHORTS = {k: frozenset(v.split()) for k, v in SHORT_NAMES.items()}
 
-_INITIALS: dict[str, set[str]] = {}
-for _full, _short in _SHORTS.items():
-    for _s in _short:
-        _INITIALS.setdefault(_s, set()).add(_full[0])
-
 ROWS_PER_BAND = 2
 Q = 3
 
@@ -65,15 +61,9 @@ def bands_for(similarity: float, recall: float, rows: int = ROWS_PER_BAND) -> in
 
 #: A short form with one typing error still shares 0.4 of its q-grams with one of the centre's forms.
 BANDS = bands_for(0.4, 0.995)
-#: Rows of a band for the words of spellings among themselves, which have 0.6 of their q-grams in common after a typing error.
-STAR_ROWS = 3
-
-
-@lru_cache(maxsize=None)
-def _seeds(rows: int) -> tuple[int, np.ndarray]:
-    """(bands, one odd multiplier for each row of each band)."""
-    bands = BANDS if rows == ROWS_PER_BAND else bands_for(0.6, 0.995, rows)
-    return bands, np.random.RandomState(7).randint(1, 2**62, size=(bands * rows, 1)).astype(np.uint64) | np.uint64(1)
+#: Words from this length on have their ends as keys instead of their deletions; spellings of more words than this have keys of single words.
+LONG_WORD, MANY_WORDS = 24, 12
+_SEEDS = np.random.RandomState(7).randint(1, 2**62, size=(BANDS * ROWS_PER_BAND, 1)).astype(np.uint64) | np.uint64(1)
 
 
 def fold(text: str) -> str:
@@ -188,16 +178,72 @@ def _forms(name: str, kind: str) -> list[tuple[str, ...]]:
     return [t, (t[0][0], family), (t[0][0] + family,)] + [(s, family) for s in sorted(_SHORTS.get(t[0], ()))]
 
 
-def _bands(words: Iterable[str], rows: int = ROWS_PER_BAND) -> list[int]:
+def _bands(words: Iterable[str]) -> list[int]:
     grams = {p[i : i + Q] for w in words for p in (f"##{w}##",) for i in range(len(p) - Q + 1)}
     h = np.array([xxhash.xxh64_intdigest(g) for g in grams], dtype=np.uint64)
-    bands, seeds = _seeds(rows)
     with np.errstate(over="ignore"):
-        m = ((h * seeds) ^ ((h * seeds) >> np.uint64(29))).min(axis=1).reshape(bands, rows)
+        m = ((h * _SEEDS) ^ ((h * _SEEDS) >> np.uint64(29))).min(axis=1).reshape(BANDS, ROWS_PER_BAND)
         mixed = m[:, 0]
-        for k in range(1, rows):
+        for k in range(1, ROWS_PER_BAND):
             mixed = mixed * np.uint64(0x9E3779B97F4A7C15) ^ (m[:, k] >> np.uint64(7))
-        return (mixed ^ np.arange(bands, dtype=np.uint64)).view(np.int64).tolist()
+        return (mixed ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+
+
+@lru_cache(maxsize=50_000)
+def _edits(word: str) -> frozenset[str]:
+    """Words that are `near` share one of these: the word and its single deletions, or an end of a long one."""
+    if len(word) < 4:
+        return frozenset((word,))
+    out = {word}
+    if len(word) <= LONG_WORD:
+        out |= {word[:i] + word[i + 1 :] for i in range(len(word))}
+    if len(word) >= LONG_WORD:  # no edit touches both ends
+        half = (LONG_WORD - 1) // 2
+        out |= {"<" + word[:half], ">" + word[-half:]}
+    return frozenset(out)
+
+
+def _ends(word: str) -> set[str]:
+    """Words that are `near`, or of which one begins the other, share one of these short codes."""
+    if len(word) < 4:
+        return {"<" + word[:2]}
+    return {"<" + word[:2], ">" + word[-2:]} | ({f"-{word[0]}{word[-1]}"} if len(word) == 4 else set())
+
+
+def _asked(t: tuple[str, ...], firm: tuple[str, ...]) -> set[str]:
+    """Keys of a spelling's words, as a person's and as an organisation's: it shares one with the `_answered` of every centre
+    that it is similar to, by either similarity."""
+    out = set()
+    if len(t) == 1:
+        out |= {"s" + e for e in _edits(t[0])}
+    elif len(set(t)) > MANY_WORDS:  # any word may be the family name
+        out |= {"m" + e for w in set(t) for e in _edits(w)}
+    else:  # one word is the family name, another the first given name
+        times = Counter(t)
+        codes = {w: _ends(w) if len(w) > 1 else {"1" + w} for w in times}
+        out |= {f"p{e}|{c}" for a in times for b in times if a != b or times[a] > 1 for e in _edits(a) for c in codes[b]}
+    firm = tuple(w for w in firm if w != "the")
+    if firm and len(firm[0]) > 3:
+        other = next((w for w in firm[1:] if w not in LEGAL and len(w) > 2), None)
+        out |= {f"o{e}|{c}" for e in _edits(firm[0]) for c in (_ends(other) if other else ("",))}
+    return out
+
+
+def _answered(name: str) -> set[str]:
+    """Keys of a spelling as centre."""
+    t, firm, out = entry_tokens(name), tokens(name), set()
+    if len(t) > 1:
+        given, family = t[0], t[-1]
+        out |= {"s" + e for w in (given[0] + family, given + family, family) for e in _edits(w)}
+        codes = {"1" + given[0]}.union(*(_ends(w) for w in (given, *_SHORTS.get(given, ()))))
+        out |= {f"p{e}|{c}" for e in _edits(family) for c in codes} | {"m" + e for e in _edits(family)}
+    if firm:
+        out |= {f"o{e}|{c}" for e in _edits(firm[0]) for c in {""}.union(*(_ends(w) for w in firm[1:]))}
+    return out
+
+
+def _hashed(keys: Iterable[str]) -> list[int]:
+    return [xxhash.xxh64_intdigest(k) - 2**63 for k in keys]
 
 
 def domain_of(address: str | None) -> str:
@@ -321,17 +367,43 @@ def entry_tokens(name: str) -> tuple[str, ...]:
     return tokens(given) + tokens(family) if comma and tokens(given) else tokens(name)
 
 
+def star_similarity(name: str, full: str) -> tuple[float, bool]:
+    """Of a spelling to another as centre, and whether as persons; else as organisations, where initials must be met as well:
+    what kind they are isn't known, and initials tell apart the persons of one family name."""
+    person = similarity(entry_tokens(name), "person", full)
+    if person > 0:
+        return person, True
+    spelling, entry = tokens(name), tokens(full)
+    if any(len(w) <= 2 and w not in LEGAL and w not in entry for w in spelling):
+        return 0.0, False
+    return organisation_similarity(spelling, entry), False
+
+
+def centres_of(live: DataFrame, edges: DataFrame) -> DataFrame:
+    """(centre) of all stars. live has words and rank; edges has words, centre and the ranks of both (rank, best), each pair one way."""
+    centres = live.select(F.col("words").alias("centre")).limit(0)
+    while not live.isEmpty():  # who has no better neighbour left opens a star, its neighbours leave
+        opened = cut_lineage(live.join(edges, "words", "left_anti").select(F.col("words").alias("centre")))
+        if opened.isEmpty():  # a ring, as some pairs are against the ranks: who ranks first among its neighbours breaks it
+            beaten = edges.select(F.when(F.col("rank") < F.col("best"), F.col("words")).otherwise(F.col("centre")).alias("words"))
+            opened = cut_lineage(live.join(beaten, "words", "left_anti").select(F.col("words").alias("centre")))
+        centres = centres.unionByName(opened)
+        gone = cut_lineage(edges.join(opened, "centre", "left_semi").select("words").unionByName(opened.select(F.col("centre").alias("words"))).distinct())
+        live = cut_lineage(live.join(gone, "words", "left_anti"))
+        edges = cut_lineage(edges.join(gone, "words", "left_anti").join(gone.withColumnRenamed("words", "centre"), "centre", "left_anti"))
+    return cut_lineage(centres)
+
+
 def star_clusters(spellings: DataFrame, people: DataFrame) -> DataFrame:
     """(name, cluster, person_id) for each distinct spelling: the centre's name, and its directory entry if it is one.
 
-    spellings has name. The directory's entries are centres first (resolve_spellings, without domains). The spellings that are
-    left are clustered in rounds. Their buckets are the bands of each word together with the initial of another (of the full
-    form, for short ones): spellings of one entity share such a pair, and few others do. In each bucket the best spelling (full names before short ones, then how often it
-    occurs) is compared with the others; those that aren't similar go on in a bucket of their own, until none has two. So a bucket
-    gives one comparison for each of its spellings and rounds, of which there are as many as it has stars, never all pairs.
-    Then a spelling without a better similar one opens a star, which its similar ones join, each the star that it is most
-    similar to, and the rest goes again. Names without letters, machines and NULLs have no row. Words that agree in any order
-    are one spelling.
+    spellings has name. The directory's entries are centres first (resolve_spellings, without domains). Of the spellings that
+    are left every similar pair is found: who is similar to a centre shares a key with it (`_asked`, `_answered`), so pairs
+    that mean different entities rarely meet, and no similar one is missed by chance. Of a pair the better spelling (full names
+    before short ones, then how often it occurs) is the centre, unless as persons only the other one can be: Bob is short for
+    Robert, not the reverse. A spelling without a better similar one opens a star, its similar ones leave, and the rest goes again. Then each
+    joins the star that it is most similar to of all. Names without letters, machines and NULLs have no row. Words that agree
+    in any order are one spelling, which is similar to what one of its orders is similar to.
     """
 
     def sign() -> object:
@@ -339,54 +411,40 @@ def star_clusters(spellings: DataFrame, people: DataFrame) -> DataFrame:
             t = entry_tokens(name)
             if not t or MACHINES.search(name):
                 return []
-            words = [w for w in t if w != "the"] or list(t)
-            core = [w for w in words if w not in LEGAL] or words
-            firm = len(core) < len(words)
-            bands = set(_bands((words[0],), STAR_ROWS)) if firm or len(words) == 1 else set(_bands((words[0][0] + words[-1],), STAR_ROWS))
-            for j, w in enumerate(core):
-                if len(core) > 1 and len(w) > 2 and not (firm and j):  # of a firm only the first word is its own
-                    starts = {x for i, v in enumerate(core) if i != j and not (firm and i > 1) for x in (v[0], *_INITIALS.get(v, ()))}
-                    bands |= {xxhash.xxh64_intdigest(f"{x}{b}") - 2**63 for b in _bands((w,), STAR_ROWS) for x in starts}
-            return [(name, " ".join(sorted(t)), n, int(sum(len(w) > 1 for w in t) > 1), sorted(bands))]
+            return [(name, " ".join(sorted(t)), " ".join((*t, "/", *tokens(name))), n, int(sum(len(w) > 1 for w in t) > 1))]
 
         return one
 
     given = cut_lineage(spellings.where("length(trim(name)) > 0").groupBy("name").agg(F.count("*").alias("n")))
     entries = people.where("person_id IS NOT NULL AND length(trim(name)) > 0").select(F.col("name").alias("cluster"), F.col("person_id").cast("long").alias("person_id"))
     known = cut_lineage(resolve_spellings(given.select("name", F.lit("").alias("domain")), people).select("name", "person_id").join(entries, "person_id").select("name", "cluster", "person_id"))
-    signed = cut_lineage(flat_map(given.join(known, "name", "left_anti"), sign, "name string, words string, n long, class int, bands array<long>"))
-    node = signed.groupBy("words").agg(F.sum("n").alias("n"), F.max(F.struct("class", "n", "name", "bands")).alias("x")).select("words", "n", F.col("x.class").alias("class"), F.col("x.name").alias("name"), F.col("x.bands").alias("bands"))
-    node = cut_lineage(node.withColumn("rank", F.struct("class", "n", F.xxhash64("words").alias("h"))))
+    signed = cut_lineage(flat_map(given.join(known, "name", "left_anti"), sign, "name string, words string, form string, n long, class int"))
+    node = signed.groupBy("words").agg(F.sum("n").alias("n"), F.max(F.struct("class", "n", "name")).alias("x")).select("words", "n", F.col("x.class").alias("class"), F.col("x.name").alias("name"))
+    node = cut_lineage(node.withColumn("rank", F.struct("class", "n", F.xxhash64("words").alias("h"), "words")))
+    forms = cut_lineage(signed.groupBy("words", "form").agg(F.min("name").alias("name")))
+
+    def keys() -> object:
+        return lambda words, name: [(k, words, name, True) for k in _hashed(_asked(entry_tokens(name), tokens(name)))] + [(k, words, name, False) for k in _hashed(_answered(name))]
 
     def verify() -> object:
         def one(words: str, name: str, centre: str, full: str) -> list[tuple]:
-            s = similarity(entry_tokens(name), "person", full) or organisation_similarity(tokens(name), tokens(full))
-            return [(words, centre, s)] if s > 0 else []
+            s, person = star_similarity(name, full)
+            return [(words, centre, s, person)] if s > 0 else []
 
         return one
 
-    names = node.select("words", "name")
-    held = node.select("words", "rank", F.explode("bands").alias("bucket"))
-    edges = node.select("words", F.col("words").alias("centre"), F.lit(0.0).alias("score")).limit(0)
-    while True:  # each bucket's best against the others of the bucket; who isn't similar goes on in a bucket without it
-        best = held.groupBy("bucket").agg(F.max(F.struct("rank", "words")).alias("c")).select("bucket", F.col("c.words").alias("centre"))
-        met = cut_lineage(held.join(best, "bucket").where("words <> centre"))
-        if met.isEmpty():
-            break
-        asked = met.select("words", "centre").distinct().join(names, "words").join(names.select(F.col("words").alias("centre"), F.col("name").alias("full")), "centre")
-        similar = cut_lineage(flat_map(asked.select("words", "name", "centre", "full"), verify, "words string, centre string, score double"))
-        edges = edges.unionByName(similar)
-        held = met.join(similar.select("words", "centre"), ["words", "centre"], "left_anti").select("words", "rank", F.xxhash64("bucket", "centre").alias("bucket"))
-    edges = cut_lineage(edges.groupBy("words", "centre").agg(F.max("score").alias("score")))
-    live, stars = node.select("words"), edges.select("words", "centre").limit(0)
-    while not live.isEmpty():  # who has no better neighbour left opens a star, its neighbours join the most similar one
-        opened = live.join(edges, "words", "left_anti")
-        joined = edges.join(opened.select(F.col("words").alias("centre")), "centre", "left_semi").groupBy("words").agg(F.max(F.struct("score", "centre")).alias("b")).select("words", F.col("b.centre").alias("centre"))
-        new = cut_lineage(joined.unionByName(opened.select("words", F.col("words").alias("centre"))))
-        stars = stars.unionByName(new)
-        gone = new.select("words")
-        live = cut_lineage(live.join(gone, "words", "left_anti"))
-        edges = cut_lineage(edges.join(gone, "words", "left_anti").join(gone.withColumnRenamed("words", "centre"), "centre", "left_anti").select("words", "centre", "score"))
+    keyed = cut_lineage(flat_map(forms.select("words", "name"), keys, "key long, words string, name string, asks boolean"))
+    centre = keyed.where("NOT asks").select("key", F.col("words").alias("centre"), F.col("name").alias("full"))
+    asked = keyed.where("asks").join(centre, "key").where("words <> centre").select("words", "name", "centre", "full").distinct()
+    similar = flat_map(asked, verify, "words string, centre string, score double, person boolean").groupBy("words", "centre").agg(F.max("score").alias("score"), F.max("person").alias("person"))
+    ranks = node.select("words", "rank")
+    similar = cut_lineage(similar.join(ranks, "words").join(ranks.select(F.col("words").alias("centre"), F.col("rank").alias("best")), "centre"))
+    way = F.struct("person", F.col("rank") < F.col("best"), "score", "words", "centre", "rank", "best")
+    pairs = similar.where("person OR rank < best").groupBy(F.least("words", "centre"), F.greatest("words", "centre")).agg(F.max(way).alias("w"))
+    edges = cut_lineage(pairs.select("w.words", "w.centre", "w.score", "w.rank", "w.best"))
+    centres = centres_of(ranks, edges)
+    joined = edges.join(centres, "centre", "left_semi").join(centres.withColumnRenamed("centre", "words"), "words", "left_anti").groupBy("words").agg(F.max(F.struct("score", "best")).alias("b")).select("words", F.col("b.best.words").alias("centre"))
+    stars = joined.unionByName(centres.select(F.col("centre").alias("words"), "centre"))
     heads = node.select(F.col("words").alias("centre"), F.col("name").alias("cluster"), F.lit(None).cast("long").alias("person_id"))
     return known.unionByName(signed.select("name", "words").join(stars, "words").join(heads, "centre").select("name", "cluster", "person_id"))
 

@@ -261,6 +261,59 @@ def test_star_clusters(spark):
     assert N.star_clusters(s.limit(0), p).count() == 0
 
 
+def test_stars_leave_no_similar_pair_apart(spark):
+    """Every centre against every other by brute force, and each spelling in the star that it is most similar to."""
+    rng = random.Random(8)
+    variants, initials = [], [("Orla Wick", 3), ("O. Wcik", 1), ("Bob Tarn", 3), ("Robert Tarn", 1), ("Holm, H.", 2), ("Holm, F.", 1), ("azanimoken", 1), ("A. L. Zanimoken", 2), ("Robert J Brem", 3), ("Robert Brem", 1), ("Acne", 1), ("Acme Ltd", 2)]
+    for g, f in [("Theodore", "Kolm"), ("Ottilie", "Sandeb"), ("Margaret", "Brugg"), ("Runa", "Felt")]:
+        for _ in range(40):
+            w = [rng.choice([g, g[0], N.SHORT_NAMES.get(g.lower(), g).split()[0].capitalize()]), f]
+            i, k = rng.randrange(2), rng.randrange(4)
+            w[i] = w[i][:k] + rng.choice(["", "x", "n"]) + w[i][k + 1 :] if rng.random() < 0.7 else w[i]
+            variants.append((" ".join(w).strip() if rng.random() < 0.6 else f"{w[1]}, {w[0]}", rng.randrange(1, 4)))
+    s = spark.createDataFrame([(n,) for n, k in variants + initials for _ in range(k)], "name string")
+    p = spark.createDataFrame([], "person_id long, kind string, name string, address string, company string")
+    got = {r["name"]: r["cluster"] for r in N.star_clusters(s, p).collect()}
+    assert set(got) == {n for n, _ in variants + initials}
+    together = [("Orla Wick", "O. Wcik"), ("Bob Tarn", "Robert Tarn"), ("azanimoken", "A. L. Zanimoken"), ("Robert J Brem", "Robert Brem"), ("Acne", "Acme Ltd")]
+    assert all(got[a] == got[b] for a, b in together) and got["Holm, H."] != got["Holm, F."]
+    forms = {}
+    for n in got:
+        forms.setdefault(" ".join(sorted(N.entry_tokens(n))), []).append(n)
+    like = {(x, c): max(N.star_similarity(a, b) for a in forms[x] for b in forms[c]) for x in forms for c in forms if x != c}
+    centre = {x: " ".join(sorted(N.entry_tokens(got[ns[0]]))) for x, ns in forms.items()}
+    opened = set(centre.values())
+    assert all(like[x, c][0] == 0 for x in opened for c in opened if x != c and like[c, x][0] > 0 and like[c, x][1] == like[x, c][1])
+    assert all(like[x, c][0] == 0 or not like[x, c][1] for x in opened for c in opened if x != c)
+    assert all(like[x, centre[x]][0] > 0 for x in forms if x != centre[x])
+
+
+def test_similar_spellings_share_a_key():
+    rng = random.Random(4)
+    families = ["".join(rng.choice("abeilmnorst") for _ in range(k)) for k in (1, 2, 3, 4, 4, 5, 6, 8, 23, 24, 25, 40)]
+    given = ["robert", "bob", "alexander", "alex", "li", "j", "nan", "theodore"]
+    firms = ["ltd", "pumps", "engineering", "engi", "the"]
+    names = set()
+    while len(names) < 400:
+        t = rng.choice([[rng.choice(given), rng.choice(families)], [rng.choice(given) for _ in range(rng.randrange(1, 16))] + [rng.choice(families)], [rng.choice(families), *rng.sample(firms, rng.randrange(3))], [rng.choice(given)[0] + rng.choice(families)]])
+        i = rng.randrange(len(t))
+        k = rng.randrange(len(t[i]))
+        t[i] = rng.choice([t[i], t[i][:k] + t[i][k + 1 :], t[i][:k] + "e" + t[i][k:], t[i][:k] + "o" + t[i][k + 1 :], t[i][:k] + t[i][k + 1 : k + 2] + t[i][k] + t[i][k + 2 :]])
+        names.add(" ".join(t) if rng.random() < 0.8 else f"{t[-1]}, {' '.join(t[:-1])}")
+    names = sorted(n for n in names if N.tokens(n))
+    asked, answered = {n: N._asked(N.entry_tokens(n), N.tokens(n)) for n in names}, {n: N._answered(n) for n in names}
+    similar = [(x, c) for x in names for c in names if sorted(N.tokens(x)) != sorted(N.tokens(c)) and (N.star_similarity(x, c)[0] or N.organisation_similarity(N.tokens(x), N.tokens(c)))]
+    assert len(similar) > 500 and [p for p in similar if asked[p[0]].isdisjoint(answered[p[1]])] == []
+    many = tuple(chr(0x4E00 + i) for i in range(5_000)) + ("x" * 100_000,)
+    assert len(N._asked(many, many)) < 6_000 and len(N._answered(" ".join(many))) < 12_000
+
+
+def test_a_ring_of_pairs_ends(spark):
+    edges = spark.createDataFrame([("a", "b", 3, 1), ("b", "c", 1, 2), ("c", "a", 2, 3), ("d", "c", 0, 2)], "words string, centre string, rank int, best int")
+    live = spark.createDataFrame([("a", 3), ("b", 1), ("c", 2), ("d", 0), ("e", 0)], "words string, rank int")
+    assert sorted(r[0] for r in N.centres_of(live, edges).collect()) == ["a", "b", "d", "e"]
+
+
 def test_recall_on_names_that_no_list_was_made_for(spark):
     """Variants of names outside the test tables: typing errors, initials, other orders, and the short forms of the table."""
     rng = random.Random(12)
