@@ -299,7 +299,8 @@ def resolve_spellings(spellings: DataFrame, people: DataFrame, broadcast_rows: i
         def one(pid: int, kind: str, name: str | None, address: str | None, company: str | None) -> list[tuple]:
             if not name:
                 return []
-            return [(b, pid) for b in sorted({b for f in _forms(name, kind) for b in _bands(f)})]
+            firm = kind == "organisation"
+            return [(b, pid) for b in sorted({b for f in _forms(name, kind) for b in _bands(f)}.union(_hashed(k for k in _answered(name) if (k[0] == "o") == firm)))]
 
         return one
 
@@ -314,6 +315,7 @@ def resolve_spellings(spellings: DataFrame, people: DataFrame, broadcast_rows: i
                 out |= set(_bands(core))
             if len(core) > 1 and len(core) > 2:
                 out |= set(_bands(core[:1]))
+            out |= set(_hashed(_asked(t, t)))
             return [(name, domain, sorted(out))]
 
         return one

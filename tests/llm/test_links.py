@@ -41,6 +41,18 @@ def test_large_directory_gives_the_same(spark):
     assert a == sorted(tuple(r) for r in N.resolve_spellings(s, p, broadcast_rows=1).collect()) and len(a) == 3
 
 
+def test_links_that_share_few_qgrams(spark):
+    """Typing errors in short words, which leave so few q-grams in common that bands may miss them."""
+    full = ["Maximilian Brare", "Daniel Keln", "Henrietta Miva", "Ivan Mimin", "Kokel Couplings Ltd", "Tudor Gumpings Ltd"]
+    p = spark.createDataFrame([(i, "organisation" if n.endswith("Ltd") else "person", n, None, None) for i, n in enumerate(full)], "person_id long, kind string, name string, address string, company string")
+    want = {"Braer": 0, "Klen": 1, "Mima": 2, "Mimni": 3, "Kotel": 4, "Tudro": 5}
+    s = spark.createDataFrame([(n, "") for n in want], "name string, domain string")
+    for rows in (20_000, 1):
+        assert {r["name"]: r["person_id"] for r in N.resolve_spellings(s, p, broadcast_rows=rows).collect()} == want
+    got = {r["name"]: (r["cluster"], r["person_id"]) for r in N.star_clusters(s.select("name"), p).collect()}
+    assert got == {n: (full[i], i) for n, i in want.items()}
+
+
 def test_nobody(spark):
     assert resolve(spark, ("Theodore Igrarpiquet", "x@polquargear.example"), ("noreply", "noreply@polquargear.example"), ("Mail Delivery System", None), (None, "theodore.fennendezyk@polquargear.example"), ("", None), ("  ", None), ("123", None), ("Theodore Fennendezyk", None), ("x" * 100000, None)) == [None] * 9
     assert resolve(spark) == []
