@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
+from hashlib import blake2b
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from mailweave.functions.arrow import flat_map
 from mailweave.functions.text import WS, strip
 from mailweave.operators.cleaning import PARAGRAPH_BREAK, drop_quoted_lines
 from mailweave.session import cut_lineage
@@ -14,6 +21,9 @@ from mailweave.session import cut_lineage
 FUZZY, FEW_WORDS = 0.85, 5
 #: Normalised paragraphs shorter than this are always kept.
 SHORT = 10
+#: What orders the paragraphs of a thread.
+KEY = ("mail_ord", "mail_id", "para_ord")
+ROW = ("thread_id", *KEY)
 
 
 def normalised(paragraph: Column) -> Column:
@@ -75,60 +85,203 @@ def fuzzy_within_mail(paras: DataFrame, threshold: float = FUZZY) -> DataFrame:
     return mail.select("thread_id", "mail_ord", "mail_id", F.explode(F.aggregate("p", zero, step)["kept"]).alias("k")).select("thread_id", "mail_ord", "mail_id", "k.para_ord", "k.paragraph")
 
 
-def similar_paragraphs(paras: DataFrame, threshold: float = FUZZY) -> DataFrame:
-    """(thread_id, a, b, similarity): pairs of different word sets of a thread with Jaccard similarity >= threshold, a before b.
+def _words(paragraph: str) -> frozenset[str] | None:
+    """The word set as it is compared; None for a paragraph that is always kept."""
+    if len(" ".join(paragraph.lower().split())) < SHORT:
+        return None
+    w = frozenset(re.findall("[a-z0-9]+", paragraph.lower()))
+    return w if len(w) >= FEW_WORDS else None
 
-    Exact prefix filtering: sets that similar share one of their rarest words, so only the first
-    |s| - ceil(threshold * |s|) + 1 words in order of rarity are joined. Equal sets are one class with the key of its
-    first paragraph; the classes' members are in word_classes.
+
+def _alike(a: frozenset[str], b: frozenset[str], threshold: float) -> bool:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) >= threshold
+
+
+class SetKeys:
+    """Keys of word sets of which every two sets with Jaccard similarity >= threshold share one.
+
+    Sizes fall into classes l..l/threshold, so of a similar pair the larger set is of the smaller one's class or the next:
+    a set has keys of its own class and of the one before. A pair of a class differs in at most d words. Words are dealt by
+    hash into d + 2 parts, of which two are equal then; a key is two parts, so few other sets share it. From nine parts
+    on there are d + 1, and a key is one part.
+    """
+
+    def __init__(self, threshold: float):
+        if not 0 < threshold <= 1:
+            raise ValueError("a bound above 0 and up to 1 is needed")
+        self.threshold = threshold
+        self.ends: list[int] = []  # largest size of each class
+        self.hashes: dict[str, int] = {}
+
+    def _class(self, n: int) -> int:
+        while not self.ends or self.ends[-1] < n:
+            self.ends.append(int(((self.ends[-1] if self.ends else FEW_WORDS - 1) + 1) / self.threshold + 1e-9))
+        return bisect_left(self.ends, n)
+
+    def _hash(self, word: str) -> int:
+        h = self.hashes.get(word)
+        if h is None:
+            if len(self.hashes) > 200_000:
+                self.hashes.clear()
+            h = self.hashes[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
+        return h
+
+    def __call__(self, w: frozenset[str]) -> list[int]:
+        own, t, out = self._class(len(w)), self.threshold, []
+        hashes = [self._hash(x) for x in w]
+        for k in range(max(own - 1, 0), own + 1):
+            d = int((1 - t) / (1 + t) * (self.ends[k] + int(self.ends[k] / t + 1e-9)) + 1e-9)
+            parts = d + 2 if d <= 6 else d + 1
+            sums = [0] * parts
+            for h in hashes:
+                sums[h % parts] += h
+            # hashes of integers are the same in every process
+            out += [hash((k, i, j, sums[i], sums[j])) for i in range(parts) for j in range(i)] if d <= 6 else [hash((k, i, x)) for i, x in enumerate(sums)]
+        return out
+
+
+def _sorted_groups(paras: DataFrame, by: list[str], make: Callable[[], Callable[[Iterator[tuple]], Iterator[tuple]]], schema: T.StructType) -> DataFrame:
+    """Rows of each group in order of (mail_ord, mail_id, para_ord), given to make() as an iterator, one group at a time."""
+    n = len(by)
+
+    def stream() -> Callable[..., Iterator[tuple]]:
+        group, last = make(), [None, None]
+
+        def row(*values: Any) -> Iterator[tuple]:
+            if last[1] is None or values[:n] != last[0]:
+                last[0], last[1] = values[:n], group()
+            return last[1](values)
+
+        return row
+
+    return flat_map(paras.repartition(*by).sortWithinPartitions(*by, *KEY), stream, schema)
+
+
+def _scan(paras: DataFrame, threshold: float) -> DataFrame:
+    """The greedy scan itself, a thread in one task's memory: its rows without exact and similar repetitions."""
+    cols = [*ROW, "paragraph"]
+
+    def make() -> Callable[[], Callable[[tuple], Iterator[tuple]]]:
+        keys = SetKeys(threshold)
+
+        def thread() -> Callable[[tuple], Iterator[tuple]]:
+            seen: set[str] = set()
+            few: list[frozenset[str]] = []
+            index: dict[int, list[frozenset[str]]] = {}
+
+            def similar(w: frozenset[str]) -> bool:
+                if len(few) <= 64:
+                    lo, hi = len(w) * threshold - 1e-9, len(w) / threshold + 1e-9
+                    if any(lo <= len(s) <= hi and _alike(w, s, threshold) for s in few):
+                        return True
+                    few.append(w)
+                    if len(few) == 65:  # from here on kept sets are found by their keys
+                        for s in few:
+                            for k in keys(s):
+                                index.setdefault(k, []).append(s)
+                    return False
+                ks = keys(w)
+                if any(_alike(w, s, threshold) for k in ks for s in index.get(k, ())):
+                    return True
+                for k in ks:
+                    index.setdefault(k, []).append(w)
+                return False
+
+            def row(values: tuple) -> Iterator[tuple]:
+                n = " ".join(values[4].lower().split())
+                if len(n) >= SHORT:
+                    if n in seen:
+                        return
+                    seen.add(n)
+                    w = _words(values[4])
+                    if w is not None and values[0] is not None and similar(w):
+                        return
+                yield values
+
+            return row
+
+        return thread
+
+    x = paras.select(*cols, *[c for c in paras.columns if c not in cols])
+    return _sorted_groups(x, ["thread_id"], make, x.schema).select(*paras.columns)
+
+
+def _repeats(members: DataFrame, threshold: float, of: str = "true") -> DataFrame:
+    """Distinct ROW columns of members that are similar to an earlier one of their bucket for which `of` holds."""
+    x = members.select("thread_id", "bucket", *KEY, F.expr(of).alias("of"), "paragraph")
+
+    def make() -> Callable[[], Callable[[tuple], Iterator[tuple]]]:
+        def bucket() -> Callable[[tuple], Iterator[tuple]]:
+            seen: list[frozenset[str]] = []
+
+            def row(values: tuple) -> Iterator[tuple]:
+                w = _words(values[-1])
+                if any(_alike(w, s, threshold) for s in seen):
+                    yield values[0], *values[2:5]
+                if values[5]:
+                    seen.append(w)
+
+            return row
+
+        return bucket
+
+    out = T.StructType([x.schema[c] for c in ROW])
+    return _sorted_groups(x, ["thread_id", "bucket"], make, out).distinct()
+
+
+def _without_similar(exact: DataFrame, threshold: float, in_memory: int) -> DataFrame:
+    """exact, rows of threads too long for one task, without similar repetitions.
+
+    Similar paragraphs share a bucket of SetKeys; who shares none stays. In rounds, those with no earlier similar one are
+    kept and those similar to them go, without listing a pair; what is undecided in a thread is scanned as soon as it fits.
     """
-    classes = word_classes(paras).groupBy("thread_id", "w").agg(F.min("key").alias("key")).where(F.size("w") >= FEW_WORDS)
-    rare = classes.select("thread_id", F.explode("w").alias("t")).groupBy("thread_id", "t").agg(F.count("*").alias("df"))
-    toks = classes.select("thread_id", "key", F.size("w").alias("n"), F.explode("w").alias("t")).join(rare, ["thread_id", "t"])
-    order = toks.groupBy("thread_id", "key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))  # one paragraph's words
-    prefix = order.select("thread_id", "key", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("x")).select("thread_id", "key", "n", F.col("x.t").alias("t"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    close = (F.col("a.key") < F.col("b.key")) & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
-    cand = a.join(b, (F.col("a.thread_id") == F.col("b.thread_id")) & (F.col("a.t") == F.col("b.t")) & close).select(F.col("a.thread_id").alias("thread_id"), F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    ka = classes.select("thread_id", F.col("key").alias("a"), F.col("w").alias("wa"))
-    kb = classes.select("thread_id", F.col("key").alias("b"), F.col("w").alias("wb"))
-    return cand.join(ka, ["thread_id", "a"]).join(kb, ["thread_id", "b"]).withColumn("similarity", jaccard(F.col("wa"), F.col("wb"))).where(F.col("similarity") >= threshold).select("thread_id", "a", "b", "similarity")
+    schema = T.StructType([*[exact.schema[c] for c in ROW], T.StructField("bucket", T.LongType())])
 
+    def make() -> Callable[..., Iterator[tuple]]:
+        keys = SetKeys(threshold)
 
-def word_classes(paras: DataFrame) -> DataFrame:
-    """(thread_id, key, w): each paragraph with its sorted word set; key is (mail_ord, mail_id, para_ord)."""
-    return paras.where(F.length(normalised(F.col("paragraph"))) >= SHORT).select("thread_id", F.struct("mail_ord", "mail_id", "para_ord").alias("key"), F.array_sort(word_set(F.col("paragraph"))).alias("w"))
+        def row(*values: Any) -> Iterator[tuple]:
+            w = _words(values[-1])
+            for k in keys(w) if w is not None else ():
+                yield *values[:-1], k
 
+        return row
 
-def fuzzy_within_thread(paras: DataFrame, threshold: float = FUZZY) -> DataFrame:
+    texts = exact.where("thread_id IS NOT NULL").select(*ROW, "paragraph")
+    keyed = cut_lineage(flat_map(texts, make, schema))
+    shared = _matched(keyed, keyed.groupBy("thread_id", "bucket").agg(F.count("*").alias("n")).where("n > 1"), ("thread_id", "bucket"), "left_semi")
+    members = cut_lineage(_matched(shared, texts, ROW, "inner"))
+    gone = None
+    while not members.select(*ROW).distinct().groupBy("thread_id").count().where(F.col("count") > in_memory).isEmpty():
+        later = cut_lineage(_repeats(members, threshold).withColumn("later", F.lit(True)))
+        marked = cut_lineage(_matched(members, later, ROW, "left").withColumn("later", F.col("later").isNotNull()))
+        drop = cut_lineage(_repeats(marked, threshold, "NOT later"))
+        gone = drop if gone is None else gone.unionByName(drop)
+        members = cut_lineage(_matched(marked.where("later").drop("later"), drop, ROW, "left_anti"))
+    rest = members.select(*ROW, "paragraph").distinct()
+    drop = _matched(rest.select(*ROW), _scan(rest, threshold), ROW, "left_anti")
+    return _matched(exact, drop if gone is None else gone.unionByName(drop), ROW, "left_anti")
+
+
+def _matched(a: DataFrame, b: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """a joined with b on equal columns, where NULL equals NULL; columns that both have are a's."""
+    b = b.select(*[F.col(c).alias(f"_mw_{c}") for c in on], *[c for c in b.columns if c not in a.columns])
+    return a.join(b, [F.col(c).eqNullSafe(F.col(f"_mw_{c}")) for c in on], how).drop(*[f"_mw_{c}" for c in on])
+
+
+def fuzzy_within_thread(paras: DataFrame, threshold: float = FUZZY, in_memory: int = 20_000) -> DataFrame:
     """paras without exact repetitions and without those similar to an earlier kept paragraph of the thread, greedily in order.
 
-    The greedy order is resolved in rounds on the similarity graph instead of by a scan in one task: a paragraph with no
-    earlier undecided or kept neighbour is kept, one with a kept earlier neighbour goes. Rounds end when nothing is undecided.
+    Threads of up to in_memory paragraphs are scanned in one task each; longer ones are resolved distributed, with the
+    same result. The ids of long threads come to the driver: at most one for each in_memory paragraphs.
     """
-    exact = cut_lineage(first_occurrences(paras))
-    classes = word_classes(exact).where(F.size("w") >= FEW_WORDS)
-    heads = classes.groupBy("thread_id", "w").agg(F.min("key").alias("head"))
-    same = classes.join(heads, ["thread_id", "w"]).select("thread_id", "key", "head")  # equal sets: all but the first repeat it
-    edges = cut_lineage(similar_paragraphs(exact, threshold).select("thread_id", "a", "b"))
-    open_ = edges.select("thread_id", F.col("b").alias("key")).distinct()
-    gone = None
-    while True:
-        kept = open_.join(edges.select("thread_id", F.col("b").alias("key"), "a").join(open_.withColumnRenamed("key", "a"), ["thread_id", "a"], "left_semi").select("thread_id", "key"), ["thread_id", "key"], "left_anti")
-        # with no undecided earlier neighbour a paragraph is decided: it goes if an earlier neighbour is kept
-        if gone is None:
-            alive = edges
-        else:
-            alive = edges.join(gone.withColumnRenamed("key", "a"), ["thread_id", "a"], "left_anti")
-        drop = kept.join(alive.select("thread_id", F.col("b").alias("key")), ["thread_id", "key"], "left_semi")
-        gone_now = cut_lineage(drop if gone is None else gone.unionByName(drop).distinct())
-        open_next = cut_lineage(open_.join(kept, ["thread_id", "key"], "left_anti"))
-        gone, open_ = gone_now, open_next
-        if open_.isEmpty():
-            break
-    repeat = same.where("key <> head").select("thread_id", "key").unionByName(same.join(gone.withColumnRenamed("key", "head"), ["thread_id", "head"], "left_semi").select("thread_id", "key")).distinct()
-    keyed = exact.withColumn("key", F.struct("mail_ord", "mail_id", "para_ord"))
-    return keyed.join(repeat.select("key"), "key", "left_anti").drop("key")
+    long = [r[0] for r in paras.groupBy("thread_id").count().where(F.col("count") > in_memory).select("thread_id").collect()]
+    if not long:
+        return _scan(paras, threshold)
+    is_long = F.coalesce(F.col("thread_id").isin([x for x in long if x is not None]), F.lit(None in long))
+    exact = cut_lineage(first_occurrences(paras.where(is_long)))
+    return _scan(paras.where(~is_long), threshold).unionByName(_without_similar(exact, threshold, in_memory))
 
 
 def rebuilt_bodies(mails: DataFrame, paras: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-made cases per operator, and small brute-force versions of those that SQL can't express."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -79,6 +80,58 @@ def test_fuzzy(spark):
     assert (0, 1) not in within and (2, 0) in within
 
 
+def test_fuzzy_chain_takes_few_jobs(spark):
+    base = [f"w{i}" for i in range(20)]
+    chain = [" ".join([f"z{j}" for j in range(k)] + base[k:]) for k in range(20)] + [" ".join([f"y{j}" for j in range(k)] + [f"z{j}" for j in range(k, 20)]) for k in range(21)]
+    paras = P.paragraphs(mails(spark, ["\n\n".join(chain)]))
+    spark.sparkContext.setJobGroup("fuzzy chain", "")
+    got = [r["para_ord"] for r in P.fuzzy_within_thread(paras).orderBy("para_ord").collect()]
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("fuzzy chain")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == [k for _, k in greedy([((0, i), t) for i, t in enumerate(chain)])]
+    assert len(jobs) < 20  # a round of jobs for each link took hundreds
+
+
+def test_fuzzy_long_threads(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    base = [[rnd.choice(words) for _ in range(rnd.choice([6, 12, 25, 45, 80]))] for _ in range(12)]
+    threads = {}
+    for t, n in (("long", 220), ("short", 9), (None, 9)):
+        threads[t] = []
+        for _ in range(n):
+            w = list(rnd.choice(base))
+            for _ in range(rnd.choice([0, 1, 1, 2])):
+                w[rnd.randrange(len(w))] = f"n{rnd.randrange(6)}"
+            threads[t].append(" ".join(w) if rnd.random() < 0.9 else "Short ok")
+    rows = [(t, i // 4, f"{t}{i // 4}" if t != "long" or i > 3 else None, i % 4, x, i) for t, xs in threads.items() for i, x in enumerate(xs)]  # one mail without an id
+    paras = spark.createDataFrame(rows, "thread_id string, mail_ord int, mail_id string, para_ord int, paragraph string, extra int")
+    want = [(t, k) for t in ("long", "short") for k in greedy(list(enumerate(threads[t])))]
+    for in_memory in (3, 12, 10_000):  # rounds to the end, then a scan of what is left, then only scans
+        kept = P.fuzzy_within_thread(paras, in_memory=in_memory)
+        assert kept.columns == paras.columns
+        got = [(r["thread_id"], r["extra"]) for r in kept.collect()]
+        assert sorted(x for x in got if x[0]) == sorted(want)
+        exact = list(dict.fromkeys(x for x in threads[None] if len(x) >= 10))
+        assert len([x for x in got if x[0] is None]) == len(exact) + sum(len(x) < 10 for x in threads[None])  # no thread: nothing to compare with
+
+
+def test_similar_sets_share_a_key():
+    rnd = random.Random(7)
+    words = [f"v{i}" for i in range(400)]
+    for threshold in (1.0, 0.85, 0.6):
+        keys, pairs = P.SetKeys(threshold), 0
+        for _ in range(4000):
+            a = set(rnd.sample(words, rnd.choice([5, 6, 7, 9, 12, 14, 17, 21, 22, 25, 40, 120])))
+            b = set(a)
+            for _ in range(rnd.randrange(1 + len(a) // 4)):
+                b.discard(rnd.choice(sorted(b))) if rnd.random() < 0.5 else b.add(rnd.choice(words))
+            if len(b) >= 5 and len(a & b) / len(a | b) >= threshold:
+                pairs += 1
+                assert set(keys(frozenset(a))) & set(keys(frozenset(b)))
+        assert pairs > 300
+
+
 def test_fuzzy_on_table(spark, root):
     m = spark.read.parquet(f"{root}/messages.parquet").select("thread_id", F.col("message_ord").alias("mail_ord"), F.col("delivery_id").alias("mail_id"), F.coalesce("body", F.lit("")).alias("body"))
     paras = P.paragraphs(m)
